@@ -2,7 +2,26 @@
 
 from __future__ import annotations
 
+from veilspark.llm.chat import op10_chat
+from veilspark.llm.pieces import op3_pieces
+from veilspark.llm.pii import op1_pii
 from veilspark.llm.quality import op7_quality
 
-QUERIES = {"op7_quality": op7_quality}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_pii": op1_pii, "op3_pieces": op3_pieces, "op7_quality": op7_quality, "op10_chat": op10_chat}
+
+_FORMATTED = """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, replace(text, '\\', '\\\\') AS a0, replace(role, '\\', '\\\\') AS b0 FROM said),
+marked AS (
+  SELECT *, regexp_replace(a0, '(<s>|</s>|\\[ROLE\\]|\\[/ROLE\\]|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|im_start\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<unk>)', '\\\\\\1', 'g') AS a1 FROM escaped)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(20 + length(a1) + length(b0)) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+ORACLE_SQL: dict[str, str] = {"op10_chat": _FORMATTED}
