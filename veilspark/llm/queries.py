@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from veilspark.llm.chat import op10_chat
+from veilspark.llm.leaks import op2_leaks
 from veilspark.llm.pieces import op3_pieces
 from veilspark.llm.pii import op1_pii
 from veilspark.llm.quality import op7_quality
 
-QUERIES = {"op1_pii": op1_pii, "op3_pieces": op3_pieces, "op7_quality": op7_quality, "op10_chat": op10_chat}
+QUERIES = {"op1_pii": op1_pii, "op2_leaks": op2_leaks, "op3_pieces": op3_pieces, "op7_quality": op7_quality, "op10_chat": op10_chat}
 
 _FORMATTED = """
 WITH said AS (
@@ -24,4 +25,23 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(20 + length(a1) + length(b0)) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
-ORACLE_SQL: dict[str, str] = {"op10_chat": _FORMATTED}
+_LEAKS = """
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+phrases AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS phrase
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)),
+windows AS (
+  SELECT doc_id, i, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM lowered, (SELECT DISTINCT k FROM phrases))),
+hits AS (SELECT doc_id, i, k, item_id FROM windows JOIN phrases USING (phrase, k)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+owned AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN covered USING (doc_id) LEFT JOIN owned USING (doc_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op2_leaks": _LEAKS, "op10_chat": _FORMATTED}
