@@ -7,8 +7,9 @@ from veilspark.llm.leaks import op2_leaks
 from veilspark.llm.pieces import op3_pieces
 from veilspark.llm.pii import op1_pii
 from veilspark.llm.quality import op7_quality
+from veilspark.llm.spans import op4_spans
 
-QUERIES = {"op1_pii": op1_pii, "op2_leaks": op2_leaks, "op3_pieces": op3_pieces, "op7_quality": op7_quality, "op10_chat": op10_chat}
+QUERIES = {"op1_pii": op1_pii, "op2_leaks": op2_leaks, "op3_pieces": op3_pieces, "op4_spans": op4_spans, "op7_quality": op7_quality, "op10_chat": op10_chat}
 
 _FORMATTED = """
 WITH said AS (
@@ -44,4 +45,18 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM lowered LEFT JOIN covered USING (doc_id) LEFT JOIN owned USING (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {"op2_leaks": _LEAKS, "op10_chat": _FORMATTED}
+_SPANS = """
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM words)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+each_word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS joined
+  FROM each_word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(joined, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op4_spans": _SPANS, "op2_leaks": _LEAKS, "op10_chat": _FORMATTED}
