@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veilspark.llm.bytedup import op9_bytes
 from veilspark.llm.chat import op10_chat
 from veilspark.llm.leaks import op2_leaks
 from veilspark.llm.pieces import op3_pieces
@@ -9,7 +10,7 @@ from veilspark.llm.pii import op1_pii
 from veilspark.llm.quality import op7_quality
 from veilspark.llm.spans import op4_spans
 
-QUERIES = {"op1_pii": op1_pii, "op2_leaks": op2_leaks, "op3_pieces": op3_pieces, "op4_spans": op4_spans, "op7_quality": op7_quality, "op10_chat": op10_chat}
+QUERIES = {"op1_pii": op1_pii, "op2_leaks": op2_leaks, "op3_pieces": op3_pieces, "op4_spans": op4_spans, "op7_quality": op7_quality, "op9_bytes": op9_bytes, "op10_chat": op10_chat}
 
 _FORMATTED = """
 WITH said AS (
@@ -59,4 +60,21 @@ kept AS (
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(joined, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {"op4_spans": _SPANS, "op2_leaks": _LEAKS, "op10_chat": _FORMATTED}
+# Bytes as two hexadecimal digits each, so that substr() counts bytes.
+_BYTES = """
+WITH coded AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49)) AS i FROM coded)),
+firsts AS (SELECT md5_number(s) AS k, min(doc_id) AS least FROM strings GROUP BY 1),
+later AS (SELECT doc_id, i FROM strings JOIN firsts ON md5_number(s) = k WHERE least < doc_id),
+ends AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM later),
+spans AS (SELECT doc_id, sum(CASE WHEN before IS NULL OR i - before > 50 THEN 50 ELSE i - before END) AS n_removed, count(*) FILTER (before IS NULL OR i - before > 50) AS n_spans FROM ends GROUP BY doc_id),
+runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM ends),
+edges AS (SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM runs GROUP BY doc_id, run),
+holes AS (SELECT doc_id, hi AS lo, lead(lo) OVER (PARTITION BY doc_id ORDER BY run) AS hi FROM edges
+  UNION ALL SELECT doc_id, 0, min(lo) FROM edges GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, CAST(length(h) / 2 AS BIGINT)) - lo)), '' ORDER BY lo) AS h FROM holes JOIN coded USING (doc_id) GROUP BY doc_id)
+SELECT c.doc_id, CAST(length(c.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept.h, c.h))) AS kept_sha256
+FROM coded c LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op9_bytes": _BYTES, "op4_spans": _SPANS, "op2_leaks": _LEAKS, "op10_chat": _FORMATTED}
