@@ -5,12 +5,13 @@ from __future__ import annotations
 from veilspark.llm.bytedup import op9_bytes
 from veilspark.llm.chat import op10_chat
 from veilspark.llm.leaks import op2_leaks
+from veilspark.llm.nearcopies import op6_near
 from veilspark.llm.pieces import op3_pieces
 from veilspark.llm.pii import op1_pii
 from veilspark.llm.quality import op7_quality
 from veilspark.llm.spans import op4_spans
 
-QUERIES = {"op1_pii": op1_pii, "op2_leaks": op2_leaks, "op3_pieces": op3_pieces, "op4_spans": op4_spans, "op7_quality": op7_quality, "op9_bytes": op9_bytes, "op10_chat": op10_chat}
+QUERIES = {"op1_pii": op1_pii, "op2_leaks": op2_leaks, "op3_pieces": op3_pieces, "op4_spans": op4_spans, "op6_near": op6_near, "op7_quality": op7_quality, "op9_bytes": op9_bytes, "op10_chat": op10_chat}
 
 _FORMATTED = """
 WITH said AS (
@@ -77,4 +78,16 @@ SELECT c.doc_id, CAST(length(c.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_rem
   sha256(unhex(coalesce(kept.h, c.h))) AS kept_sha256
 FROM coded c LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {"op9_bytes": _BYTES, "op4_spans": _SPANS, "op2_leaks": _LEAKS, "op10_chat": _FORMATTED}
+_NEAR = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM words WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM words UNION SELECT node, b FROM reach JOIN links ON seen = a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
+FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT node, min(seen) AS least_id FROM reach GROUP BY node) ON node = doc_id
+"""
+ORACLE_SQL: dict[str, str] = {"op6_near": _NEAR, "op9_bytes": _BYTES, "op4_spans": _SPANS, "op2_leaks": _LEAKS, "op10_chat": _FORMATTED}
