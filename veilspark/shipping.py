@@ -1,4 +1,4 @@
-"""Makes this package importable on executors that do not have it installed."""
+"""Prepares a session: the package on its executors, and Arrow batches that suit long texts."""
 
 from __future__ import annotations
 
@@ -10,7 +10,13 @@ from pyspark.sql import SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors as a zip file, once a Spark context."""
+    """Send the package to the executors as a zip file, once a Spark context.
+
+    Arrow batches are set to 1,000 rows where the session has Spark's 10,000: that many long
+    texts would stand in memory twice, in the JVM and in Python.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if getattr(context, "_veilspark_shipped", False):
         return
