@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Rows are handled in blocks of about so many bytes; a longer text is a block by itself.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = (1 << 20) - 1024
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 SPACE = np.zeros(256, bool)

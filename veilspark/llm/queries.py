@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from veilspark.llm.bytedup import op9_bytes
 from veilspark.llm.chat import op10_chat
+from veilspark.llm.language import op5_language
 from veilspark.llm.leaks import op2_leaks
+from veilspark.llm.lines import op8_lines
 from veilspark.llm.nearcopies import op6_near
 from veilspark.llm.pieces import op3_pieces
 from veilspark.llm.pii import op1_pii
 from veilspark.llm.quality import op7_quality
 from veilspark.llm.spans import op4_spans
 
-QUERIES = {"op1_pii": op1_pii, "op2_leaks": op2_leaks, "op3_pieces": op3_pieces, "op4_spans": op4_spans, "op6_near": op6_near, "op7_quality": op7_quality, "op9_bytes": op9_bytes, "op10_chat": op10_chat}
+QUERIES = {"op1_pii": op1_pii, "op2_leaks": op2_leaks, "op3_pieces": op3_pieces, "op4_spans": op4_spans, "op5_language": op5_language, "op6_near": op6_near, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_bytes": op9_bytes, "op10_chat": op10_chat}
 
 _FORMATTED = """
 WITH said AS (
@@ -90,4 +92,19 @@ reach AS (SELECT doc_id AS node, doc_id AS seen FROM words UNION SELECT node, b
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
 FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT node, min(seen) AS least_id FROM reach GROUP BY node) ON node = doc_id
 """
-ORACLE_SQL: dict[str, str] = {"op6_near": _NEAR, "op9_bytes": _BYTES, "op4_spans": _SPANS, "op2_leaks": _LEAKS, "op10_chat": _FORMATTED}
+_LINES = """
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+hashed AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h FROM lines),
+rolled AS (
+  SELECT doc_id, i, line, (xor(xor(h, coalesce(lag(h, 1) OVER w, 0) << 1), coalesce(lag(h, 2) OVER w, 0) << 2) >> 20) % 4 = 0 AS ends
+  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, line, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM rolled),
+chunks AS (SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, place),
+judged AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM chunks)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
+"""
+ORACLE_SQL: dict[str, str] = {"op8_lines": _LINES, "op6_near": _NEAR, "op9_bytes": _BYTES, "op4_spans": _SPANS, "op2_leaks": _LEAKS, "op10_chat": _FORMATTED}
