@@ -50,21 +50,33 @@ def buckets(spark: SparkSession, per_partition: int = 4) -> int:
 BITMAP_BITS = 1 << 22
 
 
-def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """rows whose key may be among wanted's: a bitmap of fixed size, broadcast, keeps most others from a shuffle.
-
-    It passes too many rows when it fills up, never too few; an exact join has to follow.
-    """
+def _bitmap(wanted: DataFrame, key: str) -> DataFrame:
     slot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
-    bits = (
+    return (
         wanted.select(slot.alias("_slot"))
         .groupBy(F.shiftright("_slot", 6).alias("_word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(_slot & 63 as int)))").alias("_bits"))
     )
-    return (
-        rows.withColumn("_slot", slot)
-        .withColumn("_word", F.shiftright("_slot", 6))
-        .join(F.broadcast(bits), "_word")
-        .where(F.expr("shiftright(_bits, cast(_slot & 63 as int)) & 1 = 1"))
-        .drop("_slot", "_word", "_bits")
-    )
+
+
+def _looked_up(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    slot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+    return rows.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(_bitmap(wanted, key)), "_word", "left")
+
+
+_MAYBE = "coalesce(shiftright(_bits, cast(_slot & 63 as int)) & 1 = 1, false)"
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows whose key may be among wanted's: a bitmap of fixed size, broadcast, keeps most others from a shuffle.
+
+    It passes too many rows when it fills up, never too few; an exact join has to follow.
+    """
+    return _looked_up(rows, key, wanted).where(_MAYBE).select(*rows.columns)
+
+
+def without(rows: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
+    """rows whose key is null or not among unwanted's; only those the bitmap cannot clear are shuffled."""
+    marked = _looked_up(rows, key, unwanted)
+    clear = marked.where(f"not {_MAYBE}").select(*rows.columns)
+    return clear.unionAll(marked.where(_MAYBE).select(*rows.columns).join(unwanted, key, "left_anti").select(*rows.columns))

@@ -20,10 +20,11 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-MEMO_ROWS = 300_000
+MEMO_ROWS = 600_000
 SPACE = "▁"
 
 
@@ -313,7 +314,7 @@ def tokenise(docs: DataFrame, path: str | None = None, spans: bool = False) -> D
                     found = [m.encode_spans(t) for t in texts]
                     columns = [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in range(3)]
                 else:
-                    columns = [pa.array([m.encode(t) for t in texts], pa.list_(pa.int32()))]
+                    columns = [pa.array([np.fromstring(m.joined_ids(t), np.int32, sep=",") for t in texts], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "ids", "starts", "ends"][: 1 + len(columns)])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * spans)
