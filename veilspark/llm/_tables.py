@@ -41,9 +41,12 @@ def dropped(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
-def buckets(spark: SparkSession, per_partition: int = 4) -> int:
-    """Hash buckets of packed rows: grows with the shuffle partitions the cluster sets for its data."""
-    return per_partition * max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def buckets(spark: SparkSession) -> int:
+    """Hash buckets of packed rows: as many as the shuffle partitions the cluster sets for its data.
+
+    Each sender has a row for each bucket, as each task of a shuffle has a block for each reducer.
+    """
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 #: The bitmap of likely() has at most 2**22 bits in 65,536 rows of 64: 1 MB, whatever the input.
