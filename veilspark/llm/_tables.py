@@ -19,8 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as Parquet in the shared folder: cuts lineage and outlives executors."""
+    """df as Parquet in the shared folder: cuts lineage and outlives executors.
+
+    Callers pass df as an expression where they can, so that free() finds its plan unused.
+    """
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
@@ -37,8 +46,7 @@ def dropped(*tables: DataFrame) -> None:
             path = spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        free(tables[0].sparkSession)
 
 
 def buckets(spark: SparkSession) -> int:

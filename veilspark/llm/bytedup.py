@@ -364,10 +364,10 @@ def remove_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_t
         raise ValueError("a gram is no longer than a string")
     n = _packed.prime(_tables.buckets(docs.sparkSession))
     rows = with_bucket(docs, n)
-    sent = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_keys(n, length, gram), _packed.SCHEMA)
-    keys = _tables.written(_packed.grouped(sent, _shared_keys(n)), "keys")
-    stretches = rows.groupBy("bucket").cogroup(keys.groupBy("bucket")).applyInArrow(_candidates(n, length, gram), _packed.SCHEMA)
-    answers = _tables.written(_packed.grouped(stretches, _answers(length, gram)), "least")
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    keys = _tables.written(_packed.grouped(texts.mapInArrow(_keys(n, length, gram), _packed.SCHEMA), _shared_keys(n)), "keys")
+    _tables.free(docs.sparkSession)
+    answers = _tables.written(_packed.grouped(rows.groupBy("bucket").cogroup(keys.groupBy("bucket")).applyInArrow(_candidates(n, length, gram), _packed.SCHEMA), _answers(length, gram)), "least")
     _tables.dropped(keys)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
     return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(length, gram, keep_text), kind)

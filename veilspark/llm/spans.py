@@ -214,10 +214,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
     spark = docs.sparkSession
     n = _packed.prime(_tables.buckets(spark))
     rows = with_bucket(docs, n)
-    sent = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_anchors(n, window), _packed.SCHEMA)
-    anchors = _tables.written(_packed.grouped(sent, _shared_anchors(n)), "anchors")
-    windows = rows.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(_windows(n, window), _packed.SCHEMA)
-    removed = _tables.written(_packed.grouped(windows, _later_windows(n)), "repeats")
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    anchors = _tables.written(_packed.grouped(texts.mapInArrow(_anchors(n, window), _packed.SCHEMA), _shared_anchors(n)), "anchors")
+    _tables.free(spark)
+    removed = _tables.written(_packed.grouped(rows.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(_windows(n, window), _packed.SCHEMA), _later_windows(n)), "repeats")
     _tables.dropped(anchors)
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
     return rows.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(_kept(window, keep_text), kind)
