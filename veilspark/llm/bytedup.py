@@ -32,8 +32,9 @@ from veilspark.llm.spans import _firsts, with_bucket
 from veilspark.llm.suffixes import suffix_order
 
 LENGTH, GRAM = 50, 24
-#: (key, document) pairs that a map task holds before it deals them out; characters sorted at once.
-HELD, SORTED = 1 << 20, 100_000
+#: (key, document) pairs that a map task holds before it deals them out; bytes of stretches whose
+#: strings are looked at together, and characters sorted at once (more where one key has more).
+HELD, SLICE, SORTED = 1 << 20, 1 << 20, 100_000
 
 
 class _Stretches:
@@ -255,61 +256,78 @@ def least_documents(texts: list[bytes], docs: list[int], length: int) -> list[np
     return [out[b : b + s - length + 1] if s >= length else np.zeros(0, np.int64) for b, s in zip(begin, size, strict=True)]
 
 
+def _string_documents(texts: list[bytes], keys: np.ndarray, least: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one least document: owner (number of the text), document, first and last + 1 string; names of the texts.
+
+    texts of one key are all here and stand together.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    strings = sizes - length + 1
+    first = np.cumsum(strings) - strings
+    answer = np.repeat(least, strings)
+    pick, lo, hi = _agreeing(keys, data, starts, sizes, length, gram)
+    part: dict[bytes, list[int]] = {}
+    held = 0
+
+    def settle() -> None:
+        found = least_documents(list(part), [min(int(least[pick[j]]) for j in js) for js in part.values()], length)
+        for js, docs in zip(part.values(), found, strict=True):
+            for j in js:
+                at = first[pick[j]] + lo[j]
+                answer[at : at + len(docs)] = np.minimum(answer[at : at + len(docs)], docs)
+
+    for j, c in enumerate(pick.tolist()):
+        if held >= SORTED and keys[c] != keys[pick[j - 1]]:
+            settle()
+            part, held = {}, 0
+        text = texts[c][lo[j] : hi[j]]
+        if text not in part:
+            part[text] = []
+            held += len(text)
+        part[text].append(j)
+    if part:
+        settle()
+    owner = np.repeat(np.arange(len(texts)), strings)
+    new = np.ones(len(answer), bool)
+    new[1:] = (answer[1:] != answer[:-1]) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(new)
+    begin = heads - first[owner[heads]]
+    end = begin + np.diff(np.append(heads, len(answer)))
+    return owner[heads], answer[heads], begin.astype(np.uint32), end.astype(np.uint32), _text.over_bytes(data).of(starts, starts + sizes)
+
+
 def _answers(length: int, gram: int):
     def reduce(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
         origins, docs, several, which, texts, keys = _read(payloads)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(texts), np.uint8)
         least = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(least, which, docs)
-        strings = sizes - length + 1
-        first = np.cumsum(strings) - strings
-        answer = np.repeat(least, strings)
-
-        pick, lo, hi = _agreeing(keys, data, starts, sizes, length, gram)
-        by_key = np.argsort(keys[pick], kind="stable")
-        part: dict[bytes, list[int]] = {}
-        held, held_key = 0, None
-
-        def settle() -> None:
-            least_of = least_documents(list(part), [min(least[pick[j]] for j in js) for js in part.values()], length)
-            for js, found in zip(part.values(), least_of, strict=True):
-                for j in js:
-                    at = first[pick[j]] + lo[j]
-                    answer[at : at + len(found)] = np.minimum(answer[at : at + len(found)], found)
-
-        for j in by_key.tolist():
-            c = pick[j]
-            if held >= SORTED and keys[c] != held_key:
-                settle()
-                part, held = {}, 0
-            held_key = keys[c]
-            text = texts[c][lo[j] : hi[j]]
-            if text not in part:
-                part[text] = []
-                held += len(text)
-            part[text].append(j)
-        if part:
-            settle()
-
-        # Runs of strings of a stretch with one least document.
-        owner = np.repeat(np.arange(len(texts)), strings)
-        new = np.ones(len(answer), bool)
-        new[1:] = (answer[1:] != answer[:-1]) | (owner[1:] != owner[:-1])
-        heads = np.flatnonzero(new)
-        run_doc, run_owner = answer[heads], owner[heads]
-        run_lo = heads - first[run_owner]
-        run_hi = run_lo + np.diff(np.append(heads, len(answer)))
+        order = np.argsort(keys, kind="stable")
+        weight = np.cumsum([len(texts[i]) for i in order.tolist()])
+        fresh = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        names, runs, lo = np.zeros(len(texts), np.uint64), [], 0
+        while lo < len(order):
+            done = weight[lo - 1] if lo else 0
+            hi = int(np.searchsorted(weight, done + SLICE, side="right"))
+            at = int(np.searchsorted(fresh, max(hi, lo + 1)))  # up to the next key
+            hi = int(fresh[at]) if at < len(fresh) else len(order)
+            part = order[lo:hi]
+            owner, *run, name = _string_documents([texts[i] for i in part.tolist()], keys[part], least[part], length, gram)
+            names[part] = name
+            runs.append((part[owner], *run))
+            lo = hi
+        run_owner, run_doc, run_lo, run_hi = (np.concatenate(x) for x in zip(*runs, strict=True))
+        by = np.argsort(run_owner, kind="stable")
+        run_owner, run_doc, run_lo, run_hi = run_owner[by], run_doc[by], run_lo[by], run_hi[by]
         run_at = np.searchsorted(run_owner, np.arange(len(texts) + 1))
-        names = _text.over_bytes(data).of(starts, starts + sizes)
         many = np.diff(run_at)[which]
         ends = np.cumsum(many)
         record = np.repeat(np.arange(len(which)), many)
-        run = np.repeat(run_at[which] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+        run = np.repeat(run_at[which] - (ends - many), many) + np.arange(ends[-1])
         use = (run_doc[run] < docs[record]) | (several[record] > 0)
         record, run = record[use], run[use]
-        yield from _packed.dealt(origins[record], names[which[record]], run_doc[run], run_lo[run].astype(np.uint32), run_hi[run].astype(np.uint32))
+        yield from _packed.dealt(origins[record], names[which[record]], run_doc[run], run_lo[run], run_hi[run])
 
     return reduce
 
