@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def free(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round drops what Python held, the second what that held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -62,7 +65,7 @@ BITMAP_BITS = 1 << 22
 
 
 def _bitmap(wanted: DataFrame, key: str) -> DataFrame:
-    slot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITMAP_BITS))
     return (
         wanted.select(slot.alias("_slot"))
         .groupBy(F.shiftright("_slot", 6).alias("_word"))
@@ -71,7 +74,7 @@ def _bitmap(wanted: DataFrame, key: str) -> DataFrame:
 
 
 def _looked_up(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    slot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITMAP_BITS))
     return rows.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(_bitmap(wanted, key)), "_word", "left")
 
 
@@ -86,8 +89,13 @@ def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return _looked_up(rows, key, wanted).where(_MAYBE).select(*rows.columns)
 
 
+def parted(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be among wanted's, and the others."""
+    marked = _looked_up(rows, key, wanted)
+    return marked.where(_MAYBE).select(*rows.columns), marked.where(f"not {_MAYBE}").select(*rows.columns)
+
+
 def without(rows: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
     """rows whose key is null or not among unwanted's; only those the bitmap cannot clear are shuffled."""
-    marked = _looked_up(rows, key, unwanted)
-    clear = marked.where(f"not {_MAYBE}").select(*rows.columns)
-    return clear.unionAll(marked.where(_MAYBE).select(*rows.columns).join(unwanted, key, "left_anti").select(*rows.columns))
+    maybe, clear = parted(rows, key, unwanted)
+    return clear.unionAll(maybe.join(unwanted.hint("merge"), key, "left_anti").select(*rows.columns))

@@ -4,11 +4,13 @@ A document's set holds the hashes of its distinct SHINGLE-word sequences. Each e
 slots of the signature along its own random permutation, one more slot a round, with values that
 grow with the round; a row stops as soon as all its slots are filled, since later values cannot
 be smaller. Documents with one set are one class, represented by its least doc_id; all further
-steps see representatives only. Signatures are cut into BANDS bands of ROWS slots; a class meets
-the least class of each band it is in (the pivot), pairs are verified on full sets, and verified
-links form groups. Bands that then still hold several groups take further pivots, each class in
-turn, until every two classes of a band have been compared or are in one group: no partner or
-candidate is dropped. At similarity 0.75 a link is missed by all bands with odds of 5e-6.
+steps see representatives only. Signatures are cut into BANDS bands of ROWS slots. The
+least class of a band is its pivot; all classes that share bands with one pivot form its star.
+Within a star every two classes are compared on full sets, as products of element matrices, and
+only links that tie groups together leave the task. A star beyond BLOCK_ELEMENTS is cut into
+blocks: first each block with the pivot, then the members that are not in the pivot's group
+with all blocks. So no candidate pair is dropped, and none is shuffled. At similarity 0.75 a
+link is missed by all bands with odds of 5e-6. Union-find joins the links.
 
 Defined cases: null or empty text has the empty set and links with nothing; fewer words than a
 shingle make one element; a row without doc_id is not compared, is kept and has no component;
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from veilspark.llm import _tables, _text
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
-#: Pivots that a band takes in each further round.
-PIVOTS = 16
+#: A block of a star has about so many elements and members at most; elements are counted so many at a time.
+BLOCK_ELEMENTS, BLOCK_ROWS, COLUMNS = 1_000_000, 1000, 1024
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -127,13 +129,102 @@ def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, elements array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of the pairs (a, b), those whose sets have percent of their union in common."""
-    left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - common
-    return both.select("a", "b", common.alias("common"), union.alias("union")).where(F.lit(100) * F.col("common") >= F.lit(percent) * F.col("union")).select("a", "b")
+def _common(rows: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of sets, each with each (of rows, or of rows with others)."""
+    many = len(rows)
+    sets = rows + (others or [])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    elements, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    use = shared[column]
+    owner, column = owner[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((many, len(others) if others else many), np.float32)
+    edges = np.searchsorted(column, np.arange(0, int(shared.sum()) + COLUMNS, COLUMNS))
+    for k in range(len(edges) - 1):
+        lo, hi = edges[k], edges[k + 1]
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
+        grid[owner[lo:hi], column[lo:hi] - k * COLUMNS] = 1
+        out += grid[:many] @ (grid[many:] if others else grid).T
+    return out.astype(np.int64)
+
+
+def _alike(common: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * common >= percent * (left[:, None] + right[None, :] - common)
+
+
+def _links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that tie together all sets that are alike, directly or through others: one a node at most."""
+    n = len(ids)
+    size = np.array([len(x) for x in sets], np.int64)
+    label = np.arange(n)
+    if n <= 6:
+        for i in range(n):
+            for j in range(i + 1, n):
+                if label[i] != label[j] and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]):
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= percent * (size[i] + size[j] - common):
+                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+    else:
+        near = _alike(_common(sets), size, size, percent)
+        np.fill_diagonal(near, True)
+        while True:
+            least = np.where(near, label, n).min(1)
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+    return [(ids[i], ids[label[i]]) for i in range(n) if label[i] != i]
+
+
+def _set_of(rows: pa.Table) -> list[np.ndarray]:
+    column = rows.column("elements").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    values, at = np.asarray(column.values), np.asarray(column.offsets)
+    return [values[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+
+def _pair_table(links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _star_links(percent: int):
+    """Links within each star (pivot) of a group."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("pivot", "ascending"), ("id", "ascending")])
+        pivot, ids, sets = np.asarray(rows.column("pivot")), rows.column("id").to_pylist(), _set_of(rows)
+        heads = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]])).tolist()
+        links: list[tuple[int, int]] = []
+        for lo, hi in zip(heads, [*heads[1:], len(ids)], strict=True):
+            links += _links(ids[lo:hi], sets[lo:hi], percent)
+        return _pair_table(links)
+
+    return run
+
+
+def _cross_links(percent: int):
+    """Links between a block of a star's members and a block of its members that are in other groups."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        loose = np.asarray(rows.column("loose"))
+        ids, roots, sets = np.asarray(rows.column("id")), np.asarray(rows.column("root")), _set_of(rows)
+        left, right = np.flatnonzero(loose), np.flatnonzero(~loose)
+        if not len(left) or not len(right):
+            return _pair_table([])
+        size = np.array([len(x) for x in sets], np.int64)
+        near = _alike(_common([sets[i] for i in left], [sets[i] for i in right]), size[left], size[right], percent)
+        near &= roots[left][:, None] != roots[right][None, :]
+        links: set[tuple[int, int]] = set()
+        for i, j in zip(*np.nonzero(near), strict=True):  # one link a pair of groups is enough
+            a, b = int(roots[left[i]]), int(roots[right[j]])
+            links.add((max(a, b), min(a, b)))
+        return _pair_table(sorted(links))
+
+    return run
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,42 +270,40 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+    spark = docs.sparkSession
     made = _tables.written(sketch(docs, shingle, bands, rows), "sketch")
     digest = ["n_shingles", "first", "second"]
     classes = _tables.written(made.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
 
     members = classes.select("id", "n_shingles", F.explode("bands").alias("band"))
     pivots = members.groupBy("band").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = _tables.written(members.join(pivots.select("band", "pivot"), "band"), "members")
-    ids = members.select("id").distinct()
-    sets = _tables.written(_full_sets(_tables.likely(docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null"), "doc_id", ids.withColumnRenamed("id", "doc_id")), shingle), "sets")
-
-    sizes = members.select(F.col("id").alias("pivot"), F.col("n_shingles").alias("m")).distinct()
-    alike = F.expr(f"100 * least(n_shingles, m) >= {percent} * greatest(n_shingles, m)")
-    star = members.where("id != pivot").select("id", "n_shingles", "pivot").distinct().join(sizes, "pivot").where(alike).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    links = _tables.written(verified(star, sets, percent), "links")
+    star = _tables.written(members.join(pivots.select("band", "pivot"), "band").select("id", "pivot", "n_shingles").distinct(), "stars")
+    sets = _tables.written(_full_sets(_tables.likely(docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null"), "doc_id", star.select(F.col("id").alias("doc_id"))), shingle), "sets")
+
+    # A star is cut into blocks by its members' weight; its pivot is in every block.
+    weight = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_ELEMENTS), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int")
+    cut = _tables.written(star.groupBy("pivot").agg(weight.alias("cuts")), "cuts")
+    block = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("block")
+    placed = star.where("id != pivot").join(cut, "pivot").select("id", "pivot", "cuts", block).unionAll(cut.select(F.col("pivot").alias("id"), "pivot", "cuts", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("block")))
+    bucket = F.pmod(F.xxhash64("pivot"), F.lit(_tables.buckets(spark))).cast("int").alias("bucket")
+    grouped = placed.join(sets, "id").select("id", "pivot", "elements", bucket, "block", F.when(F.col("cuts") > 1, F.col("pivot")).alias("hot"))
+    links = _tables.written(grouped.groupBy("bucket", "hot", "block").applyInArrow(_star_links(percent), "a long, b long"), "links")
     groups = components(links)
 
-    # Classes of bands that hold several groups; their band's first pivot has met them all.
-    rest = members.where("id != pivot").select("band", "id", "n_shingles")
-    all_links = [links]
-    while True:
-        rest = rest.select("band", "id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-        rest = _tables.written(rest.join(mixed, "band", "left_semi"), "rest")
-        if rest.isEmpty():
-            break
-        salt = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
-        chosen = _tables.written(rest.groupBy("band", salt.alias("salt")).agg(F.min(F.struct("id", "n_shingles", "root")).alias("p")).select("band", F.col("p.id").alias("pivot"), F.col("p.n_shingles").alias("m"), F.col("p.root").alias("pivot_root")), "pivots")
-        pairs = rest.join(chosen, "band").where(F.col("root") != F.col("pivot_root")).where(alike).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-        more = _tables.written(verified(pairs, sets, percent), "links")
-        all_links.append(more)
+    # Stars of several blocks: members outside the pivot's group meet all blocks.
+    rooted = star.join(cut.where("cuts > 1"), "pivot").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if not cut.where("cuts > 1").isEmpty():
+        home = rooted.where("id = pivot").select("pivot", F.col("root").alias("home"))
+        rooted = _tables.written(rooted.join(home, "pivot").withColumn("loose", F.col("root") != F.col("home")), "rooted")
+        free = rooted.where("loose").groupBy("pivot").agg(weight.alias("parts"))
+        rooted = rooted.join(free, "pivot")  # a star without loose members is done
+        part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
+        columns = ["id", "pivot", "root", "block", "part", "loose"]
+        fixed = rooted.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("loose", F.lit(False)).select(*columns)
+        moved = rooted.where("loose").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(*columns)
+        more = _tables.written(fixed.unionAll(moved).join(sets, "id").groupBy("pivot", "block", "part").applyInArrow(_cross_links(percent), "a long, b long"), "links")
         if not more.isEmpty():
-            every = all_links[0]
-            for x in all_links[1:]:
-                every = every.unionAll(x)
-            groups = components(every)
-        rest = rest.join(chosen.select("band", F.col("pivot").alias("id")), ["band", "id"], "left_anti")
+            groups = components(links.unionAll(more))
 
     of_class = classes.select(*digest, "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select(*digest, F.coalesce("root", "id").alias("component_id"))
     out = made.select("doc_id", *digest).join(of_class, digest, "left")
