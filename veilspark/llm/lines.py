@@ -51,8 +51,10 @@ def remove_repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> Dat
     gone = _tables.written(gone.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("places").alias("_places"), F.col("lost").cast("long").alias("_lost")), "chunks")
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    marked = docs.select(*names).join(gone, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left")
-    # element k of a map from place to loss would cost a lookup a chunk; places are few, so array_contains does.
+    # Only documents that may lose lines are shuffled; the join is a merge join at every size.
+    touched, clear = _tables.parted(docs.select(*names), "doc_id", gone.select(F.col("_doc").alias("doc_id")))
+    marked = touched.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left")
+    marked = marked.unionByName(clear, allowMissingColumns=True)
     left = F.array_join(F.transform(F.filter(_chunks("text", mean_lines), lambda c, k: ~F.array_contains("_places", k)), lambda c: c["chunk"]), "\n")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
     text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(left)
