@@ -67,18 +67,18 @@ BITMAP_BITS = 1 << 22
 def _bitmap(wanted: DataFrame, key: str) -> DataFrame:
     slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITMAP_BITS))
     return (
-        wanted.select(slot.alias("_slot"))
-        .groupBy(F.shiftright("_slot", 6).alias("_word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(_slot & 63 as int)))").alias("_bits"))
+        wanted.select(slot.alias("__veil_slot"))
+        .groupBy(F.shiftright("__veil_slot", 6).alias("__veil_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(__veil_slot & 63 as int)))").alias("__veil_bits"))
     )
 
 
 def _looked_up(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITMAP_BITS))
-    return rows.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(_bitmap(wanted, key)), "_word", "left")
+    return rows.withColumn("__veil_slot", slot).withColumn("__veil_word", F.shiftright("__veil_slot", 6)).join(F.broadcast(_bitmap(wanted, key)), "__veil_word", "left")
 
 
-_MAYBE = "coalesce(shiftright(_bits, cast(_slot & 63 as int)) & 1 = 1, false)"
+_MAYBE = "coalesce(shiftright(__veil_bits, cast(__veil_slot & 63 as int)) & 1 = 1, false)"
 
 
 def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:

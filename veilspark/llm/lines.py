@@ -48,18 +48,18 @@ def remove_repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> Dat
     firsts = alike.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "chunk", "first")
     gone = alike.join(firsts, ["h", "chunk"]).where("struct(doc_id, place) > first")
     gone = gone.groupBy("doc_id", "th").agg(F.collect_set("place").alias("places"), F.sum("n_lines").alias("lost"))
-    gone = _tables.written(gone.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("places").alias("_places"), F.col("lost").cast("long").alias("_lost")), "chunks")
+    gone = _tables.written(gone.select(F.col("doc_id").alias("__veil_doc"), F.col("th").alias("__veil_th"), F.col("places").alias("__veil_places"), F.col("lost").cast("long").alias("__veil_lost")), "chunks")
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # Only documents that may lose lines are shuffled; the join is a merge join at every size.
-    touched, clear = _tables.parted(docs.select(*names), "doc_id", gone.select(F.col("_doc").alias("doc_id")))
-    marked = touched.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left")
+    touched, clear = _tables.parted(docs.select(*names), "doc_id", gone.select(F.col("__veil_doc").alias("doc_id")))
+    marked = touched.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("__veil_doc")) & (F.xxhash64("text") == F.col("__veil_th")), "left")
     marked = marked.unionByName(clear, allowMissingColumns=True)
-    left = F.array_join(F.transform(F.filter(_chunks("text", mean_lines), lambda c, k: ~F.array_contains("_places", k)), lambda c: c["chunk"]), "\n")
+    left = F.array_join(F.transform(F.filter(_chunks("text", mean_lines), lambda c, k: ~F.array_contains("__veil_places", k)), lambda c: c["chunk"]), "\n")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(left)
+    text = F.when(F.col("__veil_places").isNull(), F.col("text")).otherwise(left)
     others = [text.alias("text") if c == "text" else F.col(c) for c in names]
-    return marked.select(*others, n_lines.alias("n_lines"), F.coalesce("_lost", F.lit(0)).cast("long").alias("n_removed"))
+    return marked.select(*others, n_lines.alias("n_lines"), F.coalesce("__veil_lost", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
