@@ -31,7 +31,7 @@ from veilspark.llm import _packed, _tables, _text
 from veilspark.llm.spans import _firsts, with_bucket
 from veilspark.llm.suffixes import suffix_order
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 20
 #: (key, document) pairs that a map task holds before it deals them out; bytes of stretches whose
 #: strings are looked at together, and characters sorted at once (more where one key has more).
 HELD, SLICE, SORTED = 1 << 20, 1 << 20, 100_000
@@ -120,7 +120,7 @@ def _candidates(n: int, length: int, gram: int):
     """A document bucket's distinct stretches with shared keys, each with its least document, to the keys' buckets."""
 
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        (tokens,) = _packed.unpack(answers.column("payload").to_pylist(), "u8")
+        (tokens,) = _packed.unpack(_packed.payloads(answers), "u8")
         tokens = np.unique(tokens)
         if not len(tokens):
             return _packed.table(())
@@ -334,7 +334,7 @@ def _answers(length: int, gram: int):
 
 def _kept(length: int, gram: int, keep_text: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        names, least, lo, hi = _packed.unpack(answers.column("payload").to_pylist(), "u8", "i8", "u4", "u4")
+        names, least, lo, hi = _packed.unpack(_packed.payloads(answers), "u8", "i8", "u4", "u4")
         order = np.argsort(names, kind="stable")
         names, least, lo, hi = names[order], least[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
         ids, known = _text.ids(docs.column("doc_id"))

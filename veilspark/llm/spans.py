@@ -130,7 +130,7 @@ def _windows(n: int, window: int):
     width = window - PERIOD + 1
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        marked_docs, marked_places = _sorted_pairs(answers.column("payload").to_pylist())
+        marked_docs, marked_places = _sorted_pairs(_packed.payloads(answers))
         if not len(marked_docs):
             return _packed.table(())
         ids, known = _text.ids(docs.column("doc_id"))
@@ -179,7 +179,7 @@ def _later_windows(n: int):
 
 def _kept(window: int, keep_text: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        removed_docs, removed_places = _sorted_pairs(answers.column("payload").to_pylist())
+        removed_docs, removed_places = _sorted_pairs(_packed.payloads(answers))
         ids, known = _text.ids(docs.column("doc_id"))
         sizes, removed, sums, texts = [], [], [], []
         for block in _text.blocks(docs.column("text")):
