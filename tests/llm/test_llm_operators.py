@@ -365,6 +365,20 @@ def test_near_copies_in_chains_and_blocks(spark, monkeypatch):
     assert got == naive_near(rows)
 
 
+def test_components_dealt_out_equal_one_task(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)] + [(500, 500 + k) for k in range(1, 90)] + [(700, 699), (699, 701)]
+    links = spark.createDataFrame([(max(e), min(e)) for e in edges if e[0] != e[1]], "a long, b long").repartition(5)
+    here = sorted(map(tuple, nearcopies.components(links).collect()))
+    monkeypatch.setattr(nearcopies, "LOCAL_LINKS", 0)
+    assert sorted(map(tuple, nearcopies.components(links).collect())) == here
+    label = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert here == sorted((x, r) for x, r in label.items() if x != r)
+
+
 def test_superminhash_estimates_similarity():
     import numpy as np
 

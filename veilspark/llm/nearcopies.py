@@ -31,6 +31,8 @@ from veilspark.llm import _tables, _text
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 #: A block of a star has about so many elements and members at most; elements are counted so many at a time.
 BLOCK_ELEMENTS, BLOCK_ROWS, COLUMNS = 1_000_000, 1000, 1024
+#: So many links at most (some 100 MB of Python objects) are joined in one task.
+LOCAL_LINKS = 500_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -253,19 +255,21 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """node and the least node it is connected with, for all nodes of links (a, b) but the least ones.
 
-    Each round joins links within partitions by union-find, then ties the roots that a node has in
-    several partitions; it ends when no root is itself a node of another root.
+    Up to LOCAL_LINKS links are one task's union-find. More are dealt out: each round joins links
+    within partitions by union-find, ties the roots that a node has in several partitions, and
+    moves each node on to its root's root; it ends when every node has one root and no root has.
     """
-    stars = _tables.written(links.repartition("a").mapInArrow(_union_find, "node long, root long"), "stars")
+    if links.count() <= LOCAL_LINKS:
+        return _tables.written(links.coalesce(1).mapInArrow(_union_find, "node long, root long"), "groups")
+    stars = _tables.written(links.repartition("a").mapInArrow(_union_find, "node long, root long"), "ties")
     while True:
         roots = stars.groupBy("node").agg(F.collect_set("root").alias("roots")).withColumn("root", F.array_min("roots"))
-        tied = roots.select(F.explode(F.concat(F.array("node"), "roots")).alias("node"), "root").where("node != root").distinct()
-        tied = _tables.written(tied, "ties")
-        _tables.dropped(stars)
-        if tied.join(tied.select(F.col("root").alias("node")).distinct(), "node", "left_semi").isEmpty() and tied.groupBy("node").count().where("count > 1").isEmpty():
+        tied = _tables.written(roots.select(F.explode(F.concat(F.array("node"), "roots")).alias("node"), "root").where("node != root").distinct(), "ties")
+        over = tied.select(F.col("node").alias("root"), F.col("root").alias("over"))
+        several = tied.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if several.isEmpty() and tied.join(over, "root", "left_semi").isEmpty():
             return tied
-        stars = _tables.written(tied.repartition("node").mapInArrow(_union_find, "node long, root long"), "stars")
-        _tables.dropped(tied)
+        stars = _tables.written(tied.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")).where("node != root").unionAll(tied.join(over.select("root"), "root", "left_semi").select("node", "root")).distinct().repartition("node").mapInArrow(_union_find, "node long, root long"), "ties")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
