@@ -4,8 +4,9 @@ Normalisation takes, at each place, the longest rule of the model's compiled cha
 double-array trie) and records where in the original bytes every normalised byte comes from.
 Pieces of the normalised text are then projected through that record to byte spans.
 
-Merges never cross a place where no piece has those two characters side by side, so a text is
-cut there and each distinct segment is merged once per worker (MEMO_ROWS remembered at most;
+Merges never cross a place where no piece has those two characters side by side (before a run of
+blanks; between letters and other signs, if no piece has both; beside characters that only stand
+alone), so a text is cut there and each distinct segment is merged once per worker (MEMO_ROWS remembered at most;
 the memo is emptied beyond that, which changes speed and not results).
 
 Defined cases: null or empty text has no pieces and decodes to the empty text; a null doc_id is
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-MEMO_ROWS = 600_000
+MEMO_ROWS, SHORT = 600_000, 32
 SPACE = "▁"
 
 
@@ -129,12 +132,16 @@ class PieceModel:
                         self.escape = bool(v)
         self.charmap = CharMap(charmap)
         self.rank = {p: (-s, i) for i, (p, s, t) in enumerate(self.pieces) if t == 1}
+        self.score = {p: r[0] for p, r in self.rank.items()}.get
         self.unknown = next((i for i, x in enumerate(self.pieces) if x[2] == 2), 0)
         self.byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == 6}
         joined = {c for p in self.rank if len(p) > 1 for c in p} - {SPACE}
         inner = any(SPACE in p.lstrip(SPACE) for p in self.rank)
-        inside = "".join(map(re.escape, sorted(joined))) or "\\0"
-        self.segment = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{inside}{SPACE}]" if not inner else ".+", re.S).findall
+        mixed = any(len({c.isalpha() for c in p.lstrip(SPACE)}) > 1 for p in self.rank)
+        kinds = [joined] if mixed else [{c for c in joined if c.isalpha()}, {c for c in joined if not c.isalpha()}]
+        runs = [f"{SPACE}*[{''.join(map(re.escape, sorted(k)))}]+" for k in kinds if k]
+        inside = "".join(map(re.escape, sorted(joined | {SPACE})))
+        self.segment = re.compile("|".join([*runs, f"{SPACE}+", f"[^{inside}]"]) if not inner else ".+", re.S).findall
         self.memo = Memo(self)
         self.shown: dict[str, bytes] = {}
         for i, (p, _, t) in enumerate(self.pieces):
@@ -185,11 +192,39 @@ class PieceModel:
 
     def merge(self, segment: str) -> list[int]:
         """Ids of a segment: the best-scored pair is merged first, the leftmost of equals."""
+        parts = self._merge_short(segment) if len(segment) <= SHORT else self._merge_long(segment)
+        rank = self.rank
+        out: list[int] = []
+        for p in parts:
+            if p in rank:
+                out.append(rank[p][1])
+            elif self.byte:
+                out.extend(self.byte[b] for b in p.encode())
+            else:
+                out.append(self.unknown)
+        return out
+
+    def _merge_short(self, segment: str) -> list[str]:
+        """Pieces by looking through all pairs for the best; quicker than a queue for a word."""
+        score, none = self.score, math.inf
+        parts = list(segment)
+        pairs = [score(a + b, none) for a, b in itertools.pairwise(parts)]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            parts[i] = now = parts[i] + parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + now, none)
+            if i < len(pairs):
+                pairs[i] = score(now + parts[i + 1], none)
+        return parts
+
+    def _merge_long(self, segment: str) -> list[str]:
+        """Pieces by a queue of pairs, for any length."""
         rank = self.rank
         parts: list[str | None] = list(segment)
         before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-        queue = [(rank[p], i, i + 1, p) for i in range(len(parts) - 1) if (p := segment[i : i + 2]) in rank]
-        queue = [(r[0], i, j, p) for r, i, j, p in queue]
+        queue = [(rank[p][0], i, i + 1, p) for i in range(len(parts) - 1) if (p := segment[i : i + 2]) in rank]
         heapq.heapify(queue)
         while queue:
             _, i, j, p = heapq.heappop(queue)
@@ -203,16 +238,7 @@ class PieceModel:
                     heapq.heappush(queue, (rank[q][0], i, k, q))
             if (h := before[i]) >= 0 and (q := parts[h] + p) in rank:
                 heapq.heappush(queue, (rank[q][0], h, i, q))
-        out: list[int] = []
-        for p in parts:
-            if p is not None:
-                if p in rank:
-                    out.append(rank[p][1])
-                elif self.byte:
-                    out.extend(self.byte[b] for b in p.encode())
-                else:
-                    out.append(self.unknown)
-        return out
+        return [p for p in parts if p is not None]
 
     def joined_ids(self, text: str | None) -> str:
         """Ids of a whole text, decimal and comma-joined."""
