@@ -139,8 +139,8 @@ def test_leaks(spark, docs, corpus, empty):
     expected = sorted(naive_leaks(corpus, bench), key=str)
     got = lambda df: sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in df.collect()), key=str)
     assert got(leaks.find_leaks(docs, table)) == expected
-    unique = [(i, t) for i, t in corpus if i is not None]
-    assert got(leaks.find_leaks(frame(spark, unique), table, block_bytes=300)) == sorted(naive_leaks(unique, bench), key=str)
+    again = [*corpus, *corpus[60:63], (61, "other text")]
+    assert got(leaks.find_leaks(frame(spark, again), table, block_bytes=300)) == sorted(naive_leaks(again, bench), key=str)
     assert leaks.find_leaks(empty, table).count() == 0
     assert leaks.find_leaks(docs, table.where("false")).where("n_hit > 0").count() == 0
 

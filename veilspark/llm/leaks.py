@@ -82,7 +82,7 @@ class Phrases:
 
 
 def build_index(docs: DataFrame, phrases) -> DataFrame:
-    """doc_id, n_words, terms array<int> (ascending), counts array<int>, positions array<int> by term."""
+    """doc_id, n_words, key (hash of the text), terms array<int> (ascending), counts array<int>, positions array<int> by term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = phrases.value
@@ -106,9 +106,9 @@ def build_index(docs: DataFrame, phrases) -> DataFrame:
                 edges = lambda rows, n=block.n: np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
                 lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
                 by_term = edges(row[heads])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(words, pa.int64()), lists(by_term, term[heads]), lists(by_term, counts), lists(edges(row), spot)], names=["doc_id", "n_words", "terms", "counts", "positions"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(words, pa.int64()), pa.array(_text.over_bytes(block.data).of(block.offs[:-1], block.offs[1:]).view(np.int64)), lists(by_term, term[heads]), lists(by_term, counts), lists(edges(row), spot)], names=["doc_id", "n_words", "key", "terms", "counts", "positions"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_words long, terms array<int>, counts array<int>, positions array<int>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_words long, key long, terms array<int>, counts array<int>, positions array<int>")
 
 
 def _frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -127,9 +127,9 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _matches(p: Phrases, batch: pa.RecordBatch, slop: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row, start and phrase of each match in a batch of shards, some rounds of candidates at a time."""
     words = np.asarray(batch.column(1)).astype(np.int64)
-    terms, by_term = _flat(batch.column(2))
-    counts, _ = _flat(batch.column(3))
-    spots, by_spot = _flat(batch.column(4))
+    terms, by_term = _flat(batch.column(3))
+    counts, _ = _flat(batch.column(4))
+    spots, by_spot = _flat(batch.column(5))
     base = np.concatenate([[0], np.cumsum(words)])
     each_term = np.repeat(terms, counts)
     each_row = np.repeat(np.arange(batch.num_rows), np.diff(by_spot))
@@ -184,7 +184,7 @@ def _matches(p: Phrases, batch: pa.RecordBatch, slop: int | None) -> Iterator[tu
 
 
 def _search(index: DataFrame, phrases, slop: int | None) -> DataFrame:
-    """doc_id, n_words, starts, ends array<int> (word spans of matches, merged), items array<string>."""
+    """doc_id, n_words, key, starts, ends array<int> (word spans of matches, merged), items array<string>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = phrases.value
@@ -217,9 +217,9 @@ def _search(index: DataFrame, phrases, slop: int | None) -> DataFrame:
                 for x in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
                     found[x // len(p.items)].append(p.items[x % len(p.items)])
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v - base[row], pa.int32())) for v in (begins, finishes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists, pa.array(found, pa.list_(pa.string()))], names=["doc_id", "n_words", "starts", "ends", "items"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists, pa.array(found, pa.list_(pa.string()))], names=["doc_id", "n_words", "key", "starts", "ends", "items"])
 
-    return index.select("doc_id", "n_words", "terms", "counts", "positions").mapInArrow(run, "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>")
+    return index.select("doc_id", "n_words", "key", "terms", "counts", "positions").mapInArrow(run, "doc_id long, n_words long, key long, starts array<int>, ends array<int>, items array<string>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -243,14 +243,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop
         every = results[0]
         for more in results[1:]:
             every = every.unionAll(more)
-        every = every.withColumn("spans", F.arrays_zip("starts", "ends")).groupBy("doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        every = every.withColumn("spans", F.arrays_zip("starts", "ends")).groupBy("doc_id", "n_words", "key").agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         merged = F.expr("""aggregate(spans, cast(array() as array<struct<starts:int,ends:int>>), (a, x) ->
             if(size(a) > 0 and element_at(a, -1).ends > x.starts,
                concat(slice(a, 1, size(a) - 1), array(named_struct('starts', element_at(a, -1).starts, 'ends', greatest(element_at(a, -1).ends, x.ends)))),
                concat(a, array(x))))""")
+        every = every.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("rows") / parts).cast("int"))))
         results = [every.withColumn("spans", merged).select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")]
     hit = F.expr("cast(aggregate(zip_with(starts, ends, (a, b) -> b - a), 0, (s, x) -> s + x) as long)")
-    return results[0].withColumn("n_hit", hit).withColumn("items", F.array_sort("items"))
+    return results[0].drop("key").withColumn("n_hit", hit).withColumn("items", F.array_sort("items"))
 
 
 def op2_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
