@@ -91,6 +91,7 @@ def test_pii_kinds_and_scores():
     kinds = [(x.kind, text[x.start : x.end]) for x in pii.find(text)]
     assert ("iban", "GB82 WEST 1234 5698 7654 32") in kinds and not any(v.endswith("33") for k, v in kinds if k == "iban")
     assert ("secret", "506fa6770ab87573ba") in kinds and ("ip", "10.0.0.25") in kinds and ("card", "4111 1111-1111 1111") in kinds
+    assert [(x.kind, x.end) for x in pii.find("DE89 3704 0044 0532 0130 00 BANK")] == [("iban", 27)]
     near, far = pii.find("credit card 4111111111111111")[0], pii.find("order hash 4111111111111111")[0]
     assert near.score > far.score
     assert pii.find(None) == [] == pii.find("")

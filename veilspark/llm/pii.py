@@ -67,6 +67,14 @@ def mod97(code: str) -> bool:
     return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _ends(m: re.Match) -> Iterator[int]:
+    """The match's end, and the ends of its words before: a word that follows a code may look like a part of it."""
+    end = m.end()
+    while end - m.start() >= 15:
+        yield end
+        end = m.string.rfind(" ", m.start(), end)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -115,8 +123,11 @@ def find(text: str | None) -> list[Span]:
         return []
     out = [Span(k, s, e, _score(text, k, s, e)) for k, s, e in _base(text)]
     for m in _IBAN.finditer(text):
-        if mod97(m[0]) and (score := _score(text, "iban", *m.span())) >= THRESHOLD:
-            out.append(Span("iban", *m.span(), score))
+        for end in _ends(m):
+            if mod97(text[m.start() : end]):
+                if (score := _score(text, "iban", m.start(), end)) >= THRESHOLD:
+                    out.append(Span("iban", m.start(), end, score))
+                break
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
             mixed = any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1])
