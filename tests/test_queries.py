@@ -164,6 +164,27 @@ def test_forecast(spark):
     assert sorted((r["day"], r["minute"], r["carried"]) for r in grid.collect()) == [(0, 1438, False), (0, 1439, False), (1, 0, True), (1, 1, True)]
 
 
+def test_service_catalogue_and_runs(spark, sf, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([(i, 10 + i, 30, 5.0) for i in range(20)], "o long, s int, d int, e double")
+    got = forecast.answer(spark, rows, "s", "d", "e", "o")
+    assert got and set(json.loads(got[0])) == {"window", "pipo", "demand", "power"}
+    assert "events" in tables.catalogue(spark, sf)
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("x,y\n1,2\n")
+    assert sorted(tuple(r) for r in tables.runs(spark, str(tmp_path / "*.csv"), "x long, y long").collect()) == [(1, 2, "a"), (1, 2, "b")]
+    tables.sample_csv(spark.range(9), str(tmp_path / "out"), 4)
+    assert tables.read(spark, "csv", str(tmp_path / "out"), "id long").count() == 4
+
+
+def test_memory_sink(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    source = tables.stream(spark, "parquet", str(tmp_path / "in"), "id long")
+    tables.write_stream(source, "memory", "seen_rows", str(tmp_path / "check")).awaitTermination()
+    assert spark.table("seen_rows").count() == 3
+
+
 def test_hashed_laplace_has_its_scale(spark):
     got = spark.range(20000).select(noise.laplace(noise.hashed_uniform(1, F.col("id")), 3.0).alias("x")).agg(F.avg("x").alias("m"), F.avg(F.abs("x")).alias("a")).first()
     assert abs(got["m"]) < 0.15 and abs(got["a"] - 3.0) < 0.15

@@ -74,6 +74,16 @@ def nearest(tuples: DataFrame, clusters: DataFrame, headers: list[str], cluster_
     return tuples.crossJoin(F.broadcast(table)).withColumn("_best", best).select(*tuples.columns, F.col("_best")[cluster_id].alias("nearest"), F.col("_best.distance").alias("distance"))
 
 
+def first_bounding(tuples: DataFrame, published: DataFrame, keys: list[str], headers: list[str], number: str, before: Column, id: str, name: str) -> DataFrame:
+    """The least number of a published cluster of the same keys whose ranges hold the tuple; tuples without one are left out.
+
+    A range join on keys; published clusters are bounded by configuration or calendar, so Spark
+    broadcasts them where they are small and splits hot keys where they are not.
+    """
+    joined = tuples.join(published, keys).where(before & ranges.within([(F.col(f"lo_{h}"), F.col(f"hi_{h}")) for h in headers], [F.col(h) for h in headers]))
+    return joined.groupBy(id).agg(F.min(number).alias(name))
+
+
 def quota_sample(df: DataFrame, bucket: str, order: list[Column], k: int) -> DataFrame:
     """The first rows of each bucket: max(trunc(k * size / all), 1) of them."""
     sizes = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))

@@ -43,6 +43,12 @@ def simulate(spark: SparkSession, params: DataFrame, days: int = 6, sessions: in
     return busy.groupBy(window).agg(F.max("pipo").alias("pipo"), F.sum(F.col("power") / 60).alias("demand"), F.avg("power").alias("power"))
 
 
+def answer(spark: SparkSession, messages: DataFrame, start: str, duration: str, demand: str, order: str, days: int = 6, seed: int = 0) -> list[str]:
+    """The forecast of a topic as JSON rows, from the parameters of its first ten messages."""
+    head = messages.orderBy(order).limit(10).select(F.col(start).alias("start"), F.col(duration).alias("duration"), F.col(demand).cast("double").alias("demand"))
+    return simulate(spark, parameters(head, "start", "duration", "demand"), days=days, seed=seed).orderBy("window").toJSON().collect()
+
+
 def utility(original: DataFrame, anonymised: DataFrame) -> DataFrame:
     """Absolute difference of forecast demand by window."""
     return original.select("window", F.col("demand").alias("_a")).join(anonymised.select("window", F.col("demand").alias("_b")), "window").select("window", F.abs(F.col("_a") - F.col("_b")).alias("difference"))

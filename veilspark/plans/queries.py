@@ -180,6 +180,24 @@ def within_bounds(spark: SparkSession, d: str) -> DataFrame:
     return grouped_events(spark, d).join(before, ["user_id", "grp"]).select("event_id", ranges.within(_of(), [F.col("value")]).alias("within"))
 
 
+_DAILY = f"daily AS (SELECT event_type, {_EPOCH} // 86400 AS day, min(value) AS lo, max(value) AS hi FROM events WHERE user_id % 10 = 0 GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_DAILY}, e AS (SELECT event_id, event_type, value, {_EPOCH} // 86400 AS today FROM events)
+SELECT event_id, min(day) AS reused FROM e JOIN daily USING (event_type) WHERE day < today AND value BETWEEN lo AND hi GROUP BY event_id""")
+def bounds_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The first published cluster (a day and type) before a tuple's day whose range holds the tuple."""
+    rows = events(spark, d).withColumn("day", F.floor(seconds("ts") / 86400).cast("long"))
+    published = clusters.summarised(rows.where("user_id % 10 = 0"), ["event_type", "day"], ["value"])
+    return clusters.first_bounding(rows.withColumnRenamed("day", "today"), published, ["event_type"], ["value"], "day", F.col("day") < F.col("today"), "event_id", "reused")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100)")
+def available_pids(spark: SparkSession, d: str) -> DataFrame:
+    used = events(spark, d).where("event_type = 'error' and value > 100").select("user_id").distinct()
+    return events(spark, d).join(used, "user_id", "left_anti").select("event_id", "user_id", "value")
+
+
 @query("""WITH cl AS (SELECT l_linenumber AS c, min(l_quantity) AS lo1, max(l_quantity) AS hi1, min(l_tax) AS lo2, max(l_tax) AS hi2 FROM lineitem GROUP BY 1),
 t AS (SELECT DISTINCT l_quantity AS q, l_tax AS x FROM lineitem),
 m AS (SELECT q, x, c, abs(q - abs(hi1 - lo1)) + abs(x - abs(hi2 - lo2)) AS dist, row_number() OVER (PARTITION BY q, x ORDER BY abs(q - abs(hi1 - lo1)) + abs(x - abs(hi2 - lo2)), c) AS nth FROM t, cl)
@@ -324,6 +342,15 @@ def compare_noise_hist(spark: SparkSession, d: str) -> DataFrame:
     return measure.histogram(compared, "noise").select("bin", "n")
 
 
+@query(f"WITH a AS (SELECT event_id, value, {_NOISED} AS noised FROM events WHERE event_type = 'click') SELECT event_id, round(value, 6) AS input, round(noised, 6) AS output FROM a")
+def dual_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The same row sent to two topics, one with noise, brought together again by id."""
+    clicks = events(spark, d).where("event_type = 'click'")
+    sent = clicks.withColumn("value", F.col("value") + noise.laplace(_u("laplace", "event_id"), 1.0 / PHI))
+    both = measure.difference(clicks, sent, "event_id", "value", "ts").join(clicks.select("event_id", "value"), "event_id")
+    return both.select("event_id", r6(F.col("value"), "input"), r6(F.col("value") + F.col("noise"), "output"))
+
+
 @query("""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
 c AS (SELECT least(CAST(floor((l_extendedprice - lo) / ((hi - lo) / 10)) AS BIGINT), 9) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1)
 SELECT bin, round(lo + bin * ((hi - lo) / 10), 4) AS lo, round(lo + (bin + 1) * ((hi - lo) / 10), 4) AS hi, n FROM c, e""")

@@ -11,6 +11,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def catalogue(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables (topics) in a folder, as Spark's file system lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(x.getPath().getName().removesuffix(".parquet") for x in found if x.getPath().getName().endswith(".parquet"))
+
+
+def runs(spark: SparkSession, pattern: str, schema: str | StructType) -> DataFrame:
+    """CSV files of several benchmark runs, each row with its file's name as run."""
+    return read(spark, "csv", pattern, schema).withColumn("run", F.regexp_extract(F.input_file_name(), "([^/]+)[.]csv$", 1))
+
+
+def sample_csv(df: DataFrame, path: str, n: int) -> None:
+    """The first n rows with a header."""
+    write(df.limit(n).coalesce(1), "csv", path, "overwrite")
+
+
 def read(spark: SparkSession, kind: str, path: str, schema: str | StructType | None = None, **options: str) -> DataFrame:
     reader = spark.read.options(**options)
     if kind == "csv":
@@ -44,6 +61,8 @@ def write_stream(df: DataFrame, kind: str, path: str, checkpoint: str, mode: str
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True)
     if kind == "kafka":
         return writer.format("kafka").option("topic", path).start()
+    if kind == "memory":
+        return writer.format("memory").queryName(path).start()
     return writer.format(kind).option("path", path).start()
 
 
