@@ -50,7 +50,10 @@ def test_batch_equals_stream(spark, sf):
         assert canonical(plans.QUERIES[batch](spark, sf).collect()) == canonical(plans.QUERIES[stream](spark, sf).collect())
 
 
-def test_state_carries_over_micro_batches(spark, tmp_path):
+@pytest.mark.parametrize("rocks", [False, True])
+def test_state_carries_over_micro_batches(spark, tmp_path, rocks):
+    if rocks:
+        adapters.large_state(spark)
     rows = pd.DataFrame({"user": [1] * 40, "event": range(40), "v": [float(i * 7 % 23) for i in range(40)]})
     for part in range(4):
         spark.createDataFrame(rows.iloc[part * 10 : part * 10 + 10]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -62,6 +65,7 @@ def test_state_carries_over_micro_batches(spark, tmp_path):
     tables.write_stream(made, "parquet", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     batch = adapters.anonymise_batch(adapters.prepared(spark.createDataFrame(rows), config, "user", "event", "event", "v"), config)
     assert canonical(spark.read.parquet(str(tmp_path / "out")).collect()) == canonical(batch.collect())
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_flush_and_null_keys(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import noise
 
+# Charging powers in kW, minutes of a day.
 POWERS = (11.0, 22.0)
 DAY = 1440
 

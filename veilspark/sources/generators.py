@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.noise import hashed_uniform, integer, laplace, pick
 
+# Fixed values, spelt as in the data.
 BUILDINGS = ["Residental", "Commercial", "Healthcare", "Educational"]
 
 

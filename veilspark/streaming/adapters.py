@@ -12,7 +12,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.config import CastleConfig, DocaConfig, PipelineConfig
@@ -22,6 +22,12 @@ from veilspark.streaming.doca import Doca
 Core = Castle | Doca
 
 
+def large_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB instead of executors' heaps; for streams with very many keys."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def registered(config: CastleConfig | DocaConfig) -> Callable[[object], Core]:
     """Core of a configuration, given a state or None."""
     kinds = {CastleConfig: Castle, DocaConfig: Doca}

@@ -14,6 +14,7 @@ from veilspark.streaming.castle import Cluster, Item, Ranges, joined, loss, poin
 from veilspark.streaming.draws import laplace
 from veilspark.streaming.quantiles import QuantileSummary
 
+# Error of the quantile summary before and after the first stable domain.
 FIRST_EPSILON, LATER_EPSILON = 0.002, 0.02
 
 
