@@ -66,9 +66,10 @@ FROM words LEFT JOIN kept USING (doc_id)
 # Bytes as two hexadecimal digits each, so that substr() counts bytes.
 _BYTES = """
 WITH coded AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49)) AS i FROM coded)),
-firsts AS (SELECT md5_number(s) AS k, min(doc_id) AS least FROM strings GROUP BY 1),
-later AS (SELECT doc_id, i FROM strings JOIN firsts ON md5_number(s) = k WHERE least < doc_id),
+pieces AS (SELECT doc_id, p, substr(h, 2 * p + 1, 698) AS h FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49, 300)) AS p FROM coded)),
+strings AS MATERIALIZED (SELECT doc_id, p + i AS i, md5_number(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, p, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49)) AS i FROM pieces)),
+firsts AS (SELECT k, min(doc_id) AS least FROM strings GROUP BY k),
+later AS (SELECT doc_id, i FROM strings JOIN firsts USING (k) WHERE least < doc_id),
 ends AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM later),
 spans AS (SELECT doc_id, sum(CASE WHEN before IS NULL OR i - before > 50 THEN 50 ELSE i - before END) AS n_removed, count(*) FILTER (before IS NULL OR i - before > 50) AS n_spans FROM ends GROUP BY doc_id),
 runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM ends),
