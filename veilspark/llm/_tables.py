@@ -20,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more."""
     for _ in range(2):  # the first round drops what Python held, the second what that held
@@ -31,11 +36,14 @@ def free(spark: SparkSession) -> None:
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as Parquet in the shared folder: cuts lineage and outlives executors.
 
-    Callers pass df as an expression where they can, so that free() finds its plan unused.
+    Callers pass df as an expression where they can, so that free() finds its plan unused. What
+    dropped() has not deleted goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    path, files = _path(spark, at)
+    files.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(at)
     out._veil_path = at
     return out
@@ -46,8 +54,8 @@ def dropped(*tables: DataFrame) -> None:
     for table in tables:
         spark, at = table.sparkSession, getattr(table, "_veil_path", None)
         if at:
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = _path(spark, at)
+            files.delete(path, True)
     if tables:
         free(tables[0].sparkSession)
 
