@@ -10,7 +10,6 @@ at in turn, follow in their groups until one is found that has its place.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -59,23 +58,29 @@ def suffix_order(text: Sequence[int]) -> list[int]:
                     stop[last], stop[old] = last + 1, last
             end = name
             continue
-        members = sorted(line[name:end])
-        targets = []
-        for i in members:
+        # Targets of ascending members ascend, so equal ones are neighbours.
+        once: dict[int, list[int]] = {}
+        layers: dict[int, dict[int, list[int]]] = {}
+        target, count = -1, 0
+        for i in sorted(line[name:end]):
             j = i - 1
             while j >= 0 and group[j] >= name:
                 j = smaller[j]
             smaller[i] = j
-            if j >= 0:
-                targets.append(j)
+            if j == target:
+                count += 1
+                continue
+            if target >= 0:
+                at = once if count == 1 else layers.setdefault(count, {})
+                at.setdefault(group[target], []).append(target)
+            target, count = j, 1
+        if target >= 0:
+            at = once if count == 1 else layers.setdefault(count, {})
+            at.setdefault(group[target], []).append(target)
         end = name
-        if not targets:
-            continue
-        times = Counter(targets)
-        layers: dict[int, dict[int, list[int]]] = {}
-        for j, count in times.items():
-            layers.setdefault(count, {}).setdefault(group[j], []).append(j)
-        for count in sorted(layers, reverse=True):
+        if once:
+            layers[1] = once
+        for count in sorted(layers, reverse=True) if len(layers) > 1 else layers:
             for old, moved in layers[count].items():
                 hi = last = stop[old]
                 for j in moved:
