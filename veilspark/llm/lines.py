@@ -45,8 +45,9 @@ def remove_repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> Dat
     chunks = rows.select("doc_id", "th", "place", F.col("c.n_lines").alias("n_lines"), F.col("c.chunk").alias("chunk"), F.xxhash64("c.chunk").alias("h"))
     again = _tables.written(chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hashes")
     alike = _tables.likely(chunks, "h", again)
-    firsts = alike.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "chunk", "first")
-    gone = alike.join(firsts, ["h", "chunk"]).where("struct(doc_id, place) > first")
+    # Written, so that the join deals both sides itself and can split a chunk that very many documents share.
+    firsts = _tables.written(alike.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "chunk", "first"), "firsts")
+    gone = alike.join(firsts.hint("merge"), ["h", "chunk"]).where("struct(doc_id, place) > first")
     gone = gone.groupBy("doc_id", "th").agg(F.collect_set("place").alias("places"), F.sum("n_lines").alias("lost"))
     gone = _tables.written(gone.select(F.col("doc_id").alias("__veil_doc"), F.col("th").alias("__veil_th"), F.col("places").alias("__veil_places"), F.col("lost").cast("long").alias("__veil_lost")), "chunks")
 
