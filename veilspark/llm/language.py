@@ -11,7 +11,7 @@ pieces of PIECE words whose transfer products are chained exactly, so long texts
 loops and nothing is truncated.
 
 The model is fitted on the driver on at most TRAIN_ROWS labelled documents (those of least
-hashed id) of at most TRAIN_BYTES in all. Defined cases: a null text, or one without a letter,
+hashed id) of at most TRAIN_TEXT bytes each and TRAIN_BYTES in all. Defined cases: a null text, or one without a letter,
 is `und` with score 0; a row without doc_id is judged, never learned from, and not held out;
 without any labelled row every text is `und`; repeated rows each get their result.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import _text
 
-TRAIN_ROWS, TRAIN_BYTES, BUCKETS, PIECE, EPOCHS, SEED = 1200, 16 << 20, 1 << 17, 64, 5, 11
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT, BUCKETS, PIECE, EPOCHS, SEED = 1200, 16 << 20, 100_000, 1 << 17, 64, 5, 11
 _SPLIT = np.ones(256, bool)
 _SPLIT[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _ASCII = ~_SPLIT
@@ -222,7 +222,7 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int =
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Tagger | None:
     """Learn from text and lang of labelled rows whose crc32(doc_id) mod 4 is not 2."""
-    use = docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang").where("text is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2")
+    use = docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang").where("text is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2").where(F.octet_length("text") <= TRAIN_TEXT)
     picked = use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     kept, size = [], 0
     for r in picked:
