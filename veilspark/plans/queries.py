@@ -180,7 +180,7 @@ def within_bounds(spark: SparkSession, d: str) -> DataFrame:
     return grouped_events(spark, d).join(before, ["user_id", "grp"]).select("event_id", ranges.within(_of(), [F.col("value")]).alias("within"))
 
 
-_DAILY = f"daily AS (SELECT event_type, {_EPOCH} // 86400 AS day, min(value) AS lo, max(value) AS hi FROM events WHERE user_id % 10 = 0 GROUP BY 1, 2)"
+_DAILY = f"daily AS (SELECT event_type, {_EPOCH} // 86400 AS day, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2)"
 
 
 @query(f"""WITH {_DAILY}, e AS (SELECT event_id, event_type, value, {_EPOCH} // 86400 AS today FROM events)
@@ -188,7 +188,7 @@ SELECT event_id, min(day) AS reused FROM e JOIN daily USING (event_type) WHERE d
 def bounds_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The first published cluster (a day and type) before a tuple's day whose range holds the tuple."""
     rows = events(spark, d).withColumn("day", F.floor(seconds("ts") / 86400).cast("long"))
-    published = clusters.summarised(rows.where("user_id % 10 = 0"), ["event_type", "day"], ["value"])
+    published = clusters.summarised(rows, ["event_type", "day"], ["value"])
     return clusters.first_bounding(rows.withColumnRenamed("day", "today"), published, ["event_type"], ["value"], "day", F.col("day") < F.col("today"), "event_id", "reused")
 
 
@@ -485,11 +485,11 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE user_id % 3 <> 0 UNION ALL SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE user_id % 3 = 1")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'purchase'")
 def payload_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """Payloads that are empty, one object, or an array of two."""
+    """Payloads that are empty (errors), an array of two objects (purchases), or one object."""
     p = F.col("props")
-    payload = F.when(F.col("user_id") % 3 == 0, F.lit("[]")).when(F.col("user_id") % 3 == 1, F.concat(F.lit("["), p, F.lit(","), p, F.lit("]"))).otherwise(p)
+    payload = F.when(F.col("event_type") == "error", F.lit("[]")).when(F.col("event_type") == "purchase", F.concat(F.lit("["), p, F.lit(","), p, F.lit("]"))).otherwise(p)
     rows = events(spark, d).select("event_id", payload.alias("payload"))
     return messages.payload_items(rows, "payload", "k:bigint").select("event_id", "item.k")
 
