@@ -470,7 +470,7 @@ def test_lines(spark, empty):
     pool = [f"line {k} {'x' * (k % 5)}" for k in range(25)] + ["", "é"]
     block = [rng.choice(pool) for _ in range(14)]
     rows = [(i, "\n".join([*(rng.choice(pool) for _ in range(rng.randint(0, 6))), *(block if i % 3 == 0 else []), *(rng.choice(pool) for _ in range(rng.randint(0, 9)))])) for i in range(40)]
-    rows += [(50, None), (51, ""), (52, "\n"), (53, "\n"), (None, rows[0][1]), (54, rows[3][1]), (3, rows[3][1])]
+    rows += [(50, None), (51, ""), (52, "\n"), (53, "\n"), (None, rows[0][1]), (54, rows[3][1]), (3, rows[3][1]), (55, "\n".join(block * 2)), (56, "\n".join(block * 2)), (56, "\n".join(block * 2))]
     df = frame(spark, rows)
     out = lines.remove_repeated_chunks(df)
     assert [c for c in out.columns if c not in ("n_lines", "n_removed")] == df.columns

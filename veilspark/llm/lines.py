@@ -48,8 +48,8 @@ def remove_repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> Dat
     # Written, so that the join deals both sides itself and can split a chunk that very many documents share.
     firsts = _tables.written(alike.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "chunk", "first"), "firsts")
     gone = alike.join(firsts.hint("merge"), ["h", "chunk"]).where("struct(doc_id, place) > first")
-    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("place").alias("places"), F.sum("n_lines").alias("lost"))
-    gone = _tables.written(gone.select(F.col("doc_id").alias("__veil_doc"), F.col("th").alias("__veil_th"), F.col("places").alias("__veil_places"), F.col("lost").cast("long").alias("__veil_lost")), "chunks")
+    gone = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("place", "n_lines")).alias("lost"))
+    gone = _tables.written(gone.select(F.col("doc_id").alias("__veil_doc"), F.col("th").alias("__veil_th"), F.col("lost.place").alias("__veil_places"), F.expr("aggregate(lost, 0L, (n, x) -> n + x.n_lines)").alias("__veil_lost")), "chunks")
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # Only documents that may lose lines are shuffled; the join is a merge join at every size.
