@@ -45,7 +45,7 @@ def corpus():
         rows.append((i, rng.choice([" ", "\n", "  "]).join(words)))
     rows += [(60 + i, sentence(9) + " " + passage + "\n" + sentence(9)) for i in range(6)]
     rows += [(70, None), (71, ""), (72, " \n\t "), (73, "one"), (74, "one"), (75, "One two"), (76, "x" * 300), (77, "a " * 400), (78, "\n\n\n"), (79, "ends 日"), (None, passage), (None, None)]
-    return rows
+    return [*rows, rows[62], rows[5], rows[5], rows[71], rows[70], rows[43]]
 
 
 @pytest.fixture(scope="module")
