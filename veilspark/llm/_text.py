@@ -74,6 +74,13 @@ class Running:
         self._sum = np.zeros(len(values) + 1, U)
         np.cumsum(values * up[: len(values)], out=self._sum[1:])
 
+    def grams(self, width: int) -> np.ndarray:
+        """Hash of the width values from each place on; ordered at random by its high bits, not mixed in its low ones."""
+        n = len(self._sum) - width
+        out = self._sum[width:] - self._sum[:n]
+        out *= self._down[:n]
+        return out
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self._sum[end] - self._sum[start]) * self._down[start]
         return mix(h + np.asarray(end - start).astype(U) * U(0x9FB21C651E98DF25))

@@ -48,8 +48,7 @@ class _Stretches:
             self.key = np.zeros(0, np.uint64)
             self.start = self.count = self.row = np.zeros(0, np.int64)
             return
-        at = np.arange(n - gram + 1)
-        least, size, width = self.running.of(at, at + gram), 1, length - gram + 1
+        least, size, width = self.running.grams(gram), 1, length - gram + 1
         while 2 * size <= width:
             least, size = np.minimum(least[:-size], least[size:]), 2 * size
         if size < width:
@@ -78,7 +77,7 @@ def _keys(n: int, length: int, gram: int):
         heads = np.flatnonzero(_firsts(order, keys))
         many = np.diff(np.append(heads, len(order)))
         own, first = order[np.repeat(many > 1, many)], np.sort(order[heads])
-        yield from _packed.dealt((keys[first] % np.uint64(n)).astype(np.int64), keys[first], docs[first])
+        yield from _packed.dealt((_text.mix(keys[first]) % np.uint64(n)).astype(np.int64), keys[first], docs[first])
         yield from ((_packed.direct(b), p) for b, p in _packed.dealt(_packed.id_bucket(docs[own], n), _token(keys[own], docs[own])))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
@@ -146,7 +145,7 @@ def _candidates(n: int, length: int, gram: int):
         heads = np.flatnonzero(_firsts(order, names))
         first = order[heads]
         several = (np.maximum.reduceat(owners[order], heads) != owners[first]).astype(np.uint8)
-        bucket = (keys[first] % np.uint64(n)).astype(np.int64)
+        bucket = (_text.mix(keys[first]) % np.uint64(n)).astype(np.int64)
 
         def rows() -> Iterator[tuple[int, bytes]]:
             by = np.argsort(bucket, kind="stable")
@@ -211,10 +210,10 @@ def _agreeing(keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.
     pick = np.sort(order[np.repeat(many > 1, many)])
     if not len(pick):
         return pick, pick, pick
-    at = np.arange(len(data) - gram + 1)
-    grams = _text.over_bytes(data).of(at, at + gram)
+    grams = _text.over_bytes(data).grams(gram)
     owner = np.repeat(np.arange(len(starts)), sizes)[: len(grams)]
-    spots = np.flatnonzero((grams == keys[owner]) & (at + gram <= (starts + sizes)[owner]))
+    spots = np.flatnonzero(grams == keys[owner])
+    spots = spots[spots + gram <= (starts + sizes)[owner[spots]]]
     found = np.bincount(owner[spots], minlength=len(starts))
     lo, hi = np.zeros(len(starts), np.int64), sizes.copy()
     place = np.zeros(len(starts), np.int64)
