@@ -6,8 +6,8 @@ All stages but the last return the columns of documents.
 
 Documents that the quality rules reject go, line dedup changes text and n_chars, of each group
 of near-copies the document of least doc_id stays, documents that hold a benchmark window go,
-and the last stage returns doc_id and the SentencePiece ids of each text. Rows that share a
-doc_id go together. Rows without doc_id pass the near-copy stage uncompared, and the
+and the last stage returns doc_id, the SentencePiece ids of each text, the bytes of the text that
+each spans, and the digest of what the ids decode to. Rows that share a doc_id go together. Rows without doc_id pass the near-copy stage uncompared, and the
 decontamination stage uncut. A null text is rejected by the quality rules.
 """
 
@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return tokenise(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+    return tokenise(docs, spans=True, decoded=True).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("decontamination", decontaminate), ("tokens", tokens)]

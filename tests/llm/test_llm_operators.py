@@ -11,6 +11,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from veilspark.llm import bytedup, chat, language, leaks, lines, nearcopies, pieces, pii, quality, queries, spans
 from veilspark.llm.suffixes import suffix_order
 
@@ -237,6 +238,17 @@ def test_pieces_table(spark, docs, corpus, models, empty):
     assert pieces.tokenise(empty).count() == 0
 
 
+def test_pieces_query_and_stage_give_spans(spark, docs, corpus, models, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    theirs = [(str(i), [(p.id, p.begin, p.end) for p in models[0].encode(t or "", return_type="proto").pieces]) for i, t in corpus]
+    packed = lambda spans: hashlib.sha256(b"".join(x[k].to_bytes(4, "little") for k in (1, 2) for x in spans)).hexdigest()
+    rows = queries.QUERIES["op3_pieces"](spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["spans_sha256"]) for r in rows) == sorted((i, packed(x)) for i, x in theirs)
+    rows = dict(corpus_pipeline.STAGES)["tokens"](spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), list(zip(r["ids"], r["starts"], r["ends"], strict=True))) for r in rows) == sorted(theirs)
+    assert sorted((str(r["doc_id"]), r["decoded_sha256"]) for r in rows) == sorted((i, sha(models[0].decode([y[0] for y in x]))) for i, x in theirs)
+
+
 # 4
 
 

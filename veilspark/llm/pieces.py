@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MEMO_ROWS, SHORT = 160_000, 32
 SPACE = "▁"
+NOTHING = np.zeros(0, np.int32)
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int, int | bytes]]:
@@ -145,6 +146,10 @@ class PieceModel:
         inside = "".join(map(re.escape, sorted(joined | {SPACE})))
         self.segment = re.compile("|".join([*runs, f"{SPACE}+", f"[^{inside}]"]) if not inner else ".+", re.S).findall
         self.memo = Memo(self)
+        # Characters of a piece (a byte piece: that it ends one), and the pieces of bytes inside a character.
+        self.chars = np.array([len(p) if t == 1 else 1 for p, _, t in self.pieces], np.int32)
+        self.inner = np.zeros(len(self.pieces), bool)
+        self.inner[[i for b, i in self.byte.items() if b & 0xC0 == 0x80]] = True
         self.shown: dict[str, bytes] = {}
         for i, (p, _, t) in enumerate(self.pieces):
             self.shown[str(i)] = bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else " ⁇ ".encode() if t == 2 else p.replace(SPACE, " ").encode()
@@ -242,40 +247,47 @@ class PieceModel:
                 heapq.heappush(queue, (rank[q][0], h, i, q))
         return [p for p in parts if p is not None]
 
-    def joined_ids(self, text: str | None) -> str:
-        """Ids of a whole text, decimal and comma-joined."""
-        if not text:
-            return ""
-        if self.charmap.units or self.squeeze or not (self.prefix and self.escape):
-            text = self.normalise(text)[0]
-        else:
-            text = SPACE + text.replace(" ", SPACE)
+    def _joined(self, normal: str) -> str:
         if len(self.memo) > MEMO_ROWS:
             self.memo.before = {}
             self.memo = Memo(self, self.memo)
-        return ",".join(map(self.memo.__getitem__, self.segment(text)))
+        return ",".join(map(self.memo.__getitem__, self.segment(normal)))
+
+    def _aligned(self, text: str) -> tuple[str, np.ndarray]:
+        """The normalised text, and for each of its characters (and its end) the original byte it comes from."""
+        if self.charmap.units or self.squeeze or not (self.prefix and self.escape):
+            normal, source = self.normalise(text)
+            return normal, np.asarray(source, np.int32)[np.append(_heads(normal.encode()), -1)]
+        # Without rules each character stays one, after a blank that comes from the first byte.
+        data = text.encode()
+        return SPACE + text.replace(" ", SPACE), np.concatenate([[0], _heads(data), [len(data)]]).astype(np.int32)
+
+    def joined_spans(self, text: str | None) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a whole text, decimal and comma-joined, then ids, first and end bytes in the original text.
+
+        Of one character's byte pieces only the last spans it.
+        """
+        normal, source = self._aligned(text) if text else ("", NOTHING)
+        if not normal:
+            return "", NOTHING, NOTHING, NOTHING
+        joined = self._joined(normal)
+        ids = np.fromstring(joined, np.int32, sep=",")
+        chars = self.chars[ids]
+        chars[:-1][self.inner[ids[1:]]] = 0
+        ends = np.cumsum(chars)
+        starts = source[ends - chars]
+        return joined, ids, starts, np.maximum(starts, source[ends])
+
+    def joined_ids(self, text: str | None) -> str:
+        """Ids of a whole text, decimal and comma-joined."""
+        return self._joined(self._aligned(text)[0]) if text else ""
 
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for x in self.joined_ids(text).split(",") if x]
 
     def encode_spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(id, first byte, end byte) in the original text; of one character's byte pieces only the last spans it."""
-        if not text:
-            return []
-        normal, source = self.normalise(text)
-        out, at = [], 0
-        for segment in self.segment(normal):
-            where = at
-            found = [int(x) for x in self.memo[segment].split(",")]
-            tail, inside = segment.encode(), 0
-            for i in found:
-                piece, _, kind = self.pieces[i]
-                size = len(piece.encode()) if kind == 1 else 1 if kind == 6 else len(tail[inside:].decode()[0].encode())
-                lo, hi = where + inside, where + inside + size
-                out.append((i, source[lo], max(source[lo], source[hi])))
-                inside += size
-            at += len(tail)
-        return out
+        return list(zip(*(x.tolist() for x in self.joined_spans(text)[1:]), strict=True))
 
     def decode_joined(self, joined: str) -> str:
         if not joined:
@@ -289,6 +301,11 @@ class PieceModel:
         return self.decode_joined(",".join(map(str, ids)))
 
 
+def _heads(data: bytes) -> np.ndarray:
+    """Where the characters of UTF-8 begin."""
+    return np.flatnonzero(np.frombuffer(data, np.int8) >= -64)
+
+
 def _replaced(data: bytes) -> str:
     """UTF-8, with each byte that is part of no character as U+FFFD."""
     try:
@@ -325,49 +342,57 @@ def loaded(blob: bytes) -> PieceModel:
     return _LOADED[key]
 
 
-def tokenise(docs: DataFrame, path: str | None = None, spans: bool = False) -> DataFrame:
-    """The rows of docs as doc_id, ids array<int>, and with spans: starts, ends (byte offsets) array<int>.
+def _sha(joined: str) -> str:
+    return hashlib.sha256(joined.encode()).hexdigest()
+
+
+def tokenise(docs: DataFrame, path: str | None = None, spans: bool = False, decoded: bool = False) -> DataFrame:
+    """The rows of docs as doc_id, ids array<int>, with spans: starts, ends (byte offsets) array<int>, and with decoded: decoded_sha256 of what the ids decode to.
 
     path is read on the driver; executors get the model's bytes.
     """
     with open(path or model_path(), "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
+    names = ["doc_id", "ids", *["starts", "ends"] * spans, *["decoded_sha256"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = loaded(model.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                if spans:
-                    found = [m.encode_spans(t) for t in texts]
-                    columns = [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in range(3)]
-                else:
-                    columns = [pa.array([np.fromstring(m.joined_ids(t), np.int32, sep=",") for t in texts], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "ids", "starts", "ends"][: 1 + len(columns)])
+                found = [m.joined_spans(t) for t in part.column(1).to_pylist()]
+                columns = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in range(1, 4 if spans else 2)]
+                if decoded:
+                    columns.append(pa.array([_sha(m.decode_joined(f[0])) for f in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * spans)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * spans + ", decoded_sha256 string" * decoded)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encode, then decode what was encoded."""
+def digests(docs: DataFrame, path: str | None = None, spans: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encode, then decode what was encoded; with spans: spans_sha256.
+
+    spans_sha256 is over the pieces' first bytes, then their end bytes, each as 4 bytes, low byte first.
+    """
     with open(path or model_path(), "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["spans_sha256"] * spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = loaded(model.value)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            n, ids, back = [], [], []
+            n, ids, back, where = [], [], [], []
             for text in batch.column(1):
-                joined = m.joined_ids(text.as_py())
-                n.append(joined.count(",") + 1 if joined else 0)
-                ids.append(sha(joined))
-                back.append(sha(m.decode_joined(joined)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                joined, found, starts, ends = m.joined_spans(text.as_py())
+                n.append(len(found))
+                ids.append(_sha(joined))
+                back.append(_sha(m.decode_joined(joined)))
+                where.append(hashlib.sha256(np.concatenate([starts, ends]).astype("<i4").tobytes()).hexdigest())
+            columns = [pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (ids, back, where)[: 2 + spans])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", spans_sha256 string" * spans)
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), spans=True)
