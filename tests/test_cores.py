@@ -245,3 +245,24 @@ def test_outlier_most_used():
     core.s.published = [(7, 2, {"v": (0.0, 10.0)}, {"v": 1.0})]
     out = core.push(Item("a", {"v": 99.0}, sensitive=1))
     assert [(x.id, x.values["v"], x.cluster) for x in out] == [("a", 5.0, 7)]
+
+
+def full(**changes):
+    """A core with 10,000 published clusters side by side that then releases [-1, 0], and [2.2, 2.4] within the third."""
+    core = Castle(CastleConfig(k=2, l=1, delta=0, beta=5, headers=("v",), **changes))
+    core.s.published = [(n, 2, {"v": (float(n), n + 0.5)}, {"v": float(n)}) for n in range(10_000)]
+    core.s.next_release, core.s.ranges, core.s.losses = 20_000, {"v": (-100.0, 10_000.0)}, [1.0]
+    for a, b in ((-1.0, 0.0), (2.2, 2.4)):
+        core.s.open[0] = Cluster.of([Item(f"{a}", {"v": a}, sensitive=1, pid=1), Item(f"{b}", {"v": b}, sensitive=2, pid=2)])
+        core._release(0)
+    return core
+
+
+def test_published_clusters_stay():
+    core = full()
+    assert core._reuse(Item("x", {"v": 0.25})).cluster == 0 and core._reuse(Item("x", {"v": -0.5})).cluster == 20_001
+    assert core._reuse(Item("x", {"v": 2.3})).cluster == 2 and len(core.s.published) == 10_001
+    few = full(published=5)
+    assert few._reuse(Item("x", {"v": 0.25})) is None and [x[0] for x in few.s.published] == [9997, 9998, 9999, 20_001, 20_002]
+    assert len(full(outlier="most_used").s.published) == 10_002
+    assert CastleConfig.from_properties("published=7").published == 7

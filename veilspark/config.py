@@ -60,11 +60,14 @@ class CastleConfig:
     weights: tuple[float, ...] = ()
     outlier: str = "suppress"
     seed: int = 0
+    published: int = 0  # newest published clusters that a key keeps for reuse; 0: all
     shipped: bool = False  # the defaults' observed behaviour instead of the described one
 
     def __post_init__(self) -> None:
         if self.k < 1 or self.l < 1 or self.delta < 0 or self.beta < 1 or self.mu < 1:
             raise ValueError("k, l, beta and mu are at least 1, delta at least 0")
+        if self.published < 0:
+            raise ValueError("published is at least 0")
         if not 0 <= self.sample <= 1 or not (self.phi > 0 and math.isfinite(self.phi)):
             raise ValueError("sample lies in [0, 1], phi is positive")
         if not self.headers or self.outlier not in ("suppress", "most_used"):

@@ -160,10 +160,9 @@ class State:
 
 
 class Castle:
-    def __init__(self, config: CastleConfig, state: State | None = None, published_limit: int = 10_000):
+    def __init__(self, config: CastleConfig, state: State | None = None):
         self.c, self.s = config, state or State()
         self.weights = weights_of(config.headers, config.weights)
-        self.published_limit = published_limit
 
     # Clusters.
 
@@ -224,11 +223,19 @@ class Castle:
             good = lost < self._tau()
             self.s.losses = [*self.s.losses, lost][-self.c.mu :]
             if good:
-                self.s.published = [*self.s.published, (self.s.next_release, len(part.items), dict(part.ranges), sample)][-self.published_limit :]
+                self._publish((self.s.next_release, len(part.items), dict(part.ranges), sample))
         gone = {id(x) for x in cluster.items}
         self.s.waiting = [x for x in self.s.waiting if id(x) not in gone]
         return out
 
+    def _publish(self, made: tuple[int, int, Ranges, dict[str, float]]) -> None:
+        """Keep a cluster for reuse. The first that bounds a tuple is reused, so one that lies in an earlier one never is."""
+        if not self.c.published and self.c.outlier == "suppress" and any(all(lo <= made[2][h][0] and made[2][h][1] <= hi for h, (lo, hi) in x[2].items()) for x in self.s.published):
+            return
+        self.s.published.append(made)
+        if self.c.published:
+            del self.s.published[: -self.c.published]
+
     def _reuse(self, item: Item) -> Released | None:
         for number, size, ranges, sample in self.s.published:
             if all(lo <= item.values[h] <= hi for h, (lo, hi) in ranges.items()):
