@@ -104,6 +104,13 @@ def test_pii_long_runs_are_linear():
     assert len(pii.find("x@y.z " * 20_000)) == 20_000
 
 
+def test_pii_long_secret(spark):
+    value = "eyJhbGciOi9" * 400
+    assert [(x.kind, x.start, x.end) for x in pii.find(f"token={value} end")] == [("secret", 6, 6 + len(value))]
+    assert pii.find_pii(frame(spark, [(1, f"token={value} end")]), redact=True).first()["text"] == "token=<SECRET> end"
+    assert len(pii.find("token=" * 50_000)) <= 1
+
+
 def test_pii_table(spark, empty):
     rows = [(1, "call +1 (986) 555-4218 é a@b.c"), (1, "call +1 (986) 555-4218 é a@b.c"), (2, None), (None, "a@b.c")]
     found = pii.find_pii(frame(spark, rows), redact=True).collect()

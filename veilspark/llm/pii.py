@@ -32,7 +32,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Kinds that the method adds.
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
-_SECRET = re.compile(r"\b(?:api[_-]?key|secret|token|passw(?:or)?d|pwd)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,200})", re.I)
+_SECRET = re.compile(r"\b(?:api[_-]?key|secret|token|passw(?:or)?d|pwd)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,})", re.I)
 
 # Words near a span that raise or lower its score.
 _RAISE = {
