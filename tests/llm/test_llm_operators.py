@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -161,6 +162,26 @@ def test_leaks_proximity(spark):
     assert all(not r["items"] for r in by_id(leaks.find_leaks(rows, bench)).values())
 
 
+def test_leaks_proximity_of_repeated_terms(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("a a b c r x x x y".split()) for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(90, "a x r x a b"), (91, "r a b"), (92, "a b r b")]
+    bench = [("one", "r a b"), ("two", "a r a"), ("three", "b b c a c"), ("four", "y"), ("five", "q a")]
+    frames = frame(spark, rows), spark.createDataFrame(bench, "item_id string, text string")
+    for slop in (2, 3, 6):
+        expected = []
+        for i, text in rows:
+            words, hit, items = text.split(), set(), set()
+            for item, phrase in bench:
+                need = Counter(phrase.split())
+                for s in range(len(words)):
+                    if words[s] in need and need <= Counter(words[s : s + slop + 1]):
+                        hit |= set(range(s, min(s + slop + 1, len(words))))
+                        items.add(item)
+            expected.append((i, len(hit), tuple(sorted(items))))
+        assert sorted((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in leaks.find_leaks(*frames, slop=slop).collect()) == sorted(expected)
+        assert slop != 3 or "one" in dict((i, x) for i, _, x in expected)[90]
+
+
 # 3
 
 

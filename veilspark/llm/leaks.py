@@ -4,7 +4,8 @@ build_index stores, shard by shard (a shard is a row of the documents table), th
 every benchmark term: distinct terms, how often each occurs, and its positions. search takes the
 phrases' terms in order of corpus frequency, rarest first: the rarest term's postings, moved by
 its offset in the phrase, propose starts; each further term's list, moved likewise, intersects
-them, until all terms agree (exact phrase), or all lie within slop words (proximity).
+them, until all terms agree (exact phrase). For proximity, windows of slop + 1 words around the
+rarest term are searched that hold every term as often as the phrase does.
 
 The benchmark is read in blocks of BLOCK_BYTES of text at most; a block's terms and phrases are
 what is broadcast, so their size is bounded whatever the benchmark's. The index is written once
@@ -66,7 +67,7 @@ class Phrases:
             at += n
         self.items, self.owners, self.words = ids, [sorted(x) for x in phrases.values()], list(phrases)
 
-    def ordered(self, frequency: np.ndarray) -> None:
+    def ordered(self, frequency: np.ndarray, near: bool = False) -> None:
         """Arrange each phrase's terms by frequency, rarest first, and list phrases by their rarest term."""
         n, widest = len(self.words), max(map(len, self.words), default=0)
         self.size = np.array([len(w) for w in self.words], np.int64)
@@ -77,6 +78,11 @@ class Phrases:
         anchors = self.term[:, 0] if n else np.zeros(0, np.int32)
         self.by_anchor = np.argsort(anchors, kind="stable")
         self.anchor_at = np.searchsorted(anchors[self.by_anchor], np.arange(len(self.hashes) + 1))
+        # How often a phrase has a term, at the term's first place in the order.
+        self.need = np.zeros((n, widest if near else 0), np.int32)
+        for k, w in enumerate(self.words if near else ()):
+            order = self.term[k, : len(w)].tolist()
+            self.need[k, : len(w)] = [w.count(t) * (t not in order[:j]) for j, t in enumerate(order)]
         self.owner_at = np.concatenate([[0], np.cumsum([len(x) for x in self.owners])]).astype(np.int64)
         self.owner = np.array([i for x in self.owners for i in x], np.int64)
 
@@ -163,24 +169,39 @@ def _matches(p: Phrases, batch: pa.RecordBatch, slop: int | None) -> Iterator[tu
                 start, phrase, row = start[keep], phrase[keep], row[keep]
             yield row, start - base[row], phrase
         else:
-            least, most = place_of.copy(), place_of.copy()
-            keep = np.ones(len(row), bool)
-            for k in range(1, p.term.shape[1]):
-                want = p.term[phrase, k].astype(np.int64)
-                key = want * size + place_of
-                j = np.searchsorted(lists, key)
-                best = np.full(len(row), -1, np.int64)
-                for near in (j - 1, j):
-                    ok = (near >= 0) & (near < len(lists))
-                    got = lists[np.clip(near, 0, len(lists) - 1)]
-                    spot = got - want * size
-                    ok &= (got // size == want) & (spot >= base[row]) & (spot < base[row + 1]) & (np.abs(spot - place_of) <= slop)
-                    best = np.where(ok & ((best < 0) | (np.abs(spot - place_of) < np.abs(best - place_of))), spot, best)
-                used = want >= 0
-                keep &= ~used | (best >= 0)
-                least, most = np.where(used, np.minimum(least, best), least), np.where(used, np.maximum(most, best), most)
-            keep &= most - least <= slop
-            yield row[keep], (least - base[row])[keep], phrase[keep]
+            yield from _near(p, lists, size, base, row, phrase, place_of, slop)
+
+
+def _near(p: Phrases, lists: np.ndarray, size: int, base: np.ndarray, row: np.ndarray, phrase: np.ndarray, place: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, start and phrase of each window of slop + 1 words that holds a place of the rarest term and all terms, and begins with a term."""
+
+    def within(term: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.searchsorted(lists, term * np.int64(size) + lo)
+        return first, np.searchsorted(lists, term * np.int64(size) + hi, side="right") - first
+
+    def filled(phrase: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        keep = np.arange(len(phrase))
+        for k in range(p.need.shape[1]):
+            of = phrase[keep]
+            keep = keep[within(p.term[of, k], lo[keep], hi[keep])[1] >= p.need[of, k]]
+        return keep
+
+    lo = np.maximum(place - slop, base[row])
+    some = filled(phrase, lo, np.minimum(place + slop, base[row + 1] - 1))
+    step = max(1, ROUND // (slop + 1))
+    for at in range(0, len(some), step):
+        part = some[at : at + step]
+        which, starts = [], []
+        for k in range(p.need.shape[1]):
+            use = part[p.need[phrase[part], k] > 0]
+            first, many = within(p.term[phrase[use], k], lo[use], place[use])
+            ends = np.cumsum(many)
+            which.append(np.repeat(use, many))
+            starts.append(lists[np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)] % size)
+        which, start = np.concatenate(which), np.concatenate(starts)
+        fits = filled(phrase[which], start, np.minimum(start + slop, base[row[which] + 1] - 1))
+        which, start = which[fits], start[fits]
+        yield row[which], start - base[row[which]], phrase[which]
 
 
 def _search(index: DataFrame, phrases, slop: int | None) -> DataFrame:
@@ -225,7 +246,8 @@ def _search(index: DataFrame, phrases, slop: int | None) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, starts, ends (hit word spans), items (ids that occur).
 
-    With slop, a phrase matches where all its terms lie within slop words, in any order.
+    With slop, a phrase matches where slop + 1 words in a row hold all its terms, in any order, each as
+    often as the phrase; such words from a term on are hit.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").selectExpr("cast(item_id as string) item_id", "text")
@@ -237,7 +259,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop
         block = Phrases([(r[0], r[1]) for r in rows.collect()], window)
         shared = spark.sparkContext.broadcast(block)
         index = _tables.written(build_index(docs, shared), "postings")
-        block.ordered(_frequencies(index, len(block.hashes)))
+        block.ordered(_frequencies(index, len(block.hashes)), near=slop is not None)
         results.append(_search(index, spark.sparkContext.broadcast(block), slop))
     if parts > 1:  # a document's spans and items come from several blocks
         every = results[0]
