@@ -107,6 +107,14 @@ def test_nearest_cluster_limit(spark):
         clusters.nearest(rows, many, ["v"], "id", most=4)
 
 
+def test_nearest_of_many_clusters(spark):
+    many = spark.range(2500).select("id", F.lit(0.0).alias("lo_v"), F.col("id").cast("double").alias("hi_v"))
+    rows = spark.createDataFrame([(float(v),) for v in (0, 2.4, 1234.5, 2499, 9999)] + [(None,)], "v double")
+    got = clusters.nearest(rows, many, ["v"], "id").collect()
+    assert [(r["nearest"], r["distance"]) for r in got] == [(0, 0.0), (2, pytest.approx(0.4)), (1234, 0.5), (2499, 0.0), (2499, 7500.0), (0, None)]
+    assert clusters.nearest(rows, many.where("false"), ["v"], "id").where("nearest is null").count() == 6
+
+
 def test_nearest_rank(spark):
     rows = spark.range(1, 201).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"), "id")
     got = domain.quantile_rows(rows, ["k"], "v", "id", {"p": 0.1}).where("rank = p").collect()

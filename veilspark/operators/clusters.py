@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import ranges
 
+#: Clusters whose distances are held at a time for a tuple.
 MAX_CLUSTERS = 1000
 
 
@@ -56,21 +57,24 @@ def outliers(sizes: DataFrame, size: str = "n") -> DataFrame:
     return sizes.join(spread.select(size, "larger", (F.col("larger") > F.floor(F.col("_all") / 2)).alias("outlier")), size)
 
 
-def nearest(tuples: DataFrame, clusters: DataFrame, headers: list[str], cluster_id: str, most: int = MAX_CLUSTERS) -> DataFrame:
+def nearest(tuples: DataFrame, clusters: DataFrame, headers: list[str], cluster_id: str, most: int | None = None) -> DataFrame:
     """tuples with the cluster of least distance (ties: least id) and that distance.
 
-    The clusters, at most `most` (open clusters are bounded by configuration), travel as one
-    array; more than that is an error and not a silent cut.
+    The clusters travel as one broadcast row, in blocks of about MAX_CLUSTERS, and the least of each
+    block is compared. With most, more clusters than that are an error and not a silent cut.
     """
-    if clusters.limit(most + 1).count() > most:
+    count = clusters.count()
+    if most is not None and count > most:
         raise ValueError(f"more than {most} clusters")
-    table = clusters.agg(F.collect_list(F.struct(cluster_id, *(f"{p}_{h}" for h in headers for p in ("lo", "hi")))).alias("_clusters"))
+    block = F.pmod(F.xxhash64(cluster_id), F.lit(max(1, -(-count // MAX_CLUSTERS))))
+    blocks = clusters.groupBy(block.alias("_block")).agg(F.collect_list(F.struct(cluster_id, *(f"{p}_{h}" for h in headers for p in ("lo", "hi")))).alias("_clusters"))
+    table = blocks.agg(F.collect_list("_clusters").alias("_blocks"))
 
     def measured(c: Column) -> Column:
         d = ranges.distance([(c[f"lo_{h}"], c[f"hi_{h}"]) for h in headers], [F.col(h) for h in headers])
         return F.struct(d.alias("distance"), c[cluster_id].alias(cluster_id))
 
-    best = F.array_min(F.transform("_clusters", measured))
+    best = F.array_min(F.transform("_blocks", lambda b: F.array_min(F.transform(b, measured))))
     return tuples.crossJoin(F.broadcast(table)).withColumn("_best", best).select(*tuples.columns, F.col("_best")[cluster_id].alias("nearest"), F.col("_best.distance").alias("distance"))
 
 
