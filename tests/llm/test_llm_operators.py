@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from veilspark.llm import bytedup, chat, language, leaks, lines, nearcopies, pieces, pii, quality, queries, spans
-from veilspark.llm.suffixes import suffix_order
+from veilspark.llm.suffixes import suffix_order, suffix_orders
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, payload string, id string, h string, n_words string, band string"
 FILLER = ["clash"] * 6
@@ -307,6 +307,54 @@ def test_spans(spark, docs, corpus, empty):
         spans.remove_repeats(docs, window=5)
 
 
+def thue_morse(size):
+    """A word and its complement; every polynomial hash modulo a power of two takes them for equal."""
+    a, b = "a", "b"
+    while len(a) < size:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_tell_regular_words_apart():
+    import numpy as np
+
+    from veilspark.llm import _text
+
+    a, b = thue_morse(1024)
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    for salt in (0, 1):
+        one, two = _text.over_bytes(data, salt).of(np.array([0, 1024]), np.array([1024, 2048]))
+        assert one != two
+    again = np.frombuffer(("xy" + a + "z" + a).encode(), np.uint8)
+    one, two = _text.over_bytes(again).of(np.array([2, 1027]), np.array([1026, 2051]))
+    assert one == two
+
+
+def test_spans_of_rows_that_share_an_id_and_of_regular_words(spark):
+    w, u = " ".join(f"w{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    a, b = thue_morse(1024)
+    words = [f"x{i}" for i in range(25)]
+    rows = [(0, w), (1, u), (1, w), (1, w), (2, u + " end"), (2, "begin " + u), (5, " ".join([*words[:12], a, *words[12:]])), (6, " ".join([*words[:12], b, *words[12:]])), (7, " ".join(words * 3))]
+    got = sorted(map(tuple, spans.remove_repeats(frame(spark, rows), bucket_bytes=100).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+    assert got == naive_spans(rows)
+    assert [r[2] for r in got if r[0] == 1] == [0, 40, 40]
+
+
+def test_long_texts(spark):
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
+    body = sentence(260_000)  # beyond a block of 1 MB
+    assert len(body.encode()) > 1 << 20
+    rows = [(1, body), (2, sentence(30) + " " + body + " " + sentence(30)), (3, body[5000:9000]), (4, body + "\n" + body[:3000])]
+    df = frame(spark, rows)
+    got = lambda out, *names: sorted(tuple(r[n] for n in names) for r in out.collect())
+    assert got(spans.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept_sha256") == naive_spans(rows)
+    assert got(bytedup.remove_bytes(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == naive_bytes(rows)
+    assert got(nearcopies.near_copies(df), "doc_id", "n_shingles", "component_id", "kept") == naive_near(rows)
+    bench = [("a", " ".join(body.split()[100_000:100_012])), ("b", "zz yy")]
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in leaks.find_leaks(df, spark.createDataFrame(bench, "item_id string, text string")).collect()) == naive_leaks(rows, bench)
+
+
 def test_difference_cover():
     assert {(a - b) % spans.PERIOD for a in spans.COVER for b in spans.COVER} == set(range(spans.PERIOD))
 
@@ -554,12 +602,56 @@ def test_bytes(spark, docs, corpus, empty, monkeypatch):
     assert got(bytedup.remove_bytes(frame(spark, periodic))) == naive_bytes(periodic)
 
 
+def test_bytes_of_hot_keys_in_many_buckets(spark, docs, corpus, monkeypatch):
+    got = lambda df: sorted((tuple(r)[:5] for r in df.collect()), key=str)
+    rng = random.Random(3)
+    phrase = "a phrase that stands in many places"
+    rows = [(i, "".join(rng.choice("abcdefg ") for _ in range(30)) + phrase + rng.choice(["x" * 30, "y" * 9 + "z" * 40, str(i) * 20])) for i in range(200)]
+    for hot in (0, 3, 50):
+        monkeypatch.setattr(bytedup, "HOT", hot)
+        assert got(bytedup.remove_bytes(frame(spark, rows), bucket_bytes=600)) == naive_bytes(rows)
+    monkeypatch.setattr(bytedup, "HOT", 1)
+    assert got(bytedup.remove_bytes(docs)) == naive_bytes(corpus)
+
+
+def test_bytes_are_decided_by_the_suffix_order(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(2)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(20, 90))) for _ in range(60)]
+    texts += texts[:20]
+    docs = [rng.randrange(1000) for _ in texts]
+    units = np.array([0, 5, 6, 40, 80])
+    given_ = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), np.array(docs), units
+    expected = []
+    for lo, hi in zip(units[:-1], units[1:], strict=True):
+        for i in range(lo, hi):
+            expected += [min(d for t, d in zip(texts[lo:hi], docs[lo:hi], strict=True) if texts[i][k : k + 20] in t) for k in range(len(texts[i]) - 19)]
+    assert bytedup.least_documents(*given_, 20).tolist() == expected
+    one = (*given_[:3], np.array([0, 80]))
+    together = bytedup.least_documents(*one, 20)
+    monkeypatch.setattr(bytedup, "LONG", 10)
+    assert bytedup.least_documents(*one, 20).tolist() == together.tolist()
+    monkeypatch.setattr(bytedup, "suffix_orders", lambda codes, starts: np.arange(len(codes)))
+    assert bytedup.least_documents(*given_, 20).tolist() != expected
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60) | st.lists(st.integers(0, 255), max_size=40) | st.lists(st.integers(0, 1), max_size=12).map(lambda x: x * 5))
 def test_suffix_order(text):
     assert suffix_order(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=30) | st.lists(st.integers(0, 256), max_size=20) | st.lists(st.integers(0, 1), max_size=8).map(lambda x: x * 5), max_size=8))
+def test_suffix_orders_of_many_texts(texts):
+    import numpy as np
+
+    starts = np.cumsum([0, *map(len, texts)])
+    got = suffix_orders(np.array(sum(texts, []), np.int64), starts).tolist()
+    assert got == [int(s) + i for t, s in zip(texts, starts, strict=False) for i in sorted(range(len(t)), key=lambda i: t[i:])]
+
+
 # 10
 
 

@@ -104,8 +104,8 @@ def direct(bucket: int) -> int:
     return -1 - bucket
 
 
-def grouped(sent: DataFrame, reduce) -> DataFrame:
-    """Bring each bucket's payloads to reduce(list of payloads) -> rows; direct answers pass through."""
+def grouped(sent: DataFrame, n: int, reduce) -> DataFrame:
+    """Bring each of n buckets' payloads to reduce(list of payloads) -> rows; direct answers pass through."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
@@ -113,4 +113,4 @@ def grouped(sent: DataFrame, reduce) -> DataFrame:
             return pa.table({"bucket": pa.array([direct(bucket)] * group.num_rows, pa.int64()), "payload": group.column("payload")})
         return table(reduce(payloads(group)))
 
-    return sent.groupBy("bucket").applyInArrow(run, SCHEMA)
+    return sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(run, SCHEMA)

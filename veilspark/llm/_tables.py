@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import time
 import uuid
@@ -60,12 +61,22 @@ def dropped(*tables: DataFrame) -> None:
         free(tables[0].sparkSession)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Hash buckets of packed rows: as many as the shuffle partitions the cluster sets for its data.
+#: Text of a bucket of packed rows: what a task of a second pass holds in memory at a time.
+BUCKET_BYTES = 8 << 20
 
-    Each sender has a row for each bucket, as each task of a shuffle has a block for each reducer.
+
+def buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Hash buckets of packed rows: so many that each gets about bucket_bytes of the column text, 8 at least.
+
+    The number follows the input alone; a bucket is a task (dealt()), so no task grows with the input.
     """
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, math.ceil(total / bucket_bytes))
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows with one shuffle partition a bucket; two tables dealt alike are grouped together without a further shuffle."""
+    return rows.repartition(n, "bucket")
 
 
 #: The bitmap of likely() has at most 2**22 bits in 65,536 rows of 64: 1 MB, whatever the input.

@@ -1,8 +1,10 @@
 """Columnar text kernels: whole Arrow batches as flat UTF-8 bytes, no per-row Python.
 
 A block of rows is one byte buffer with row offsets. Words, lines and windows are index
-arrays into it, and their hashes come from one running polynomial sum over the block
-(arithmetic modulo 2**64), so any slice is hashed with one subtraction and one product.
+arrays into it, and their hashes come from running polynomial sums over the block, so any slice
+is hashed with subtractions and products. One sum is modulo 2**64 and two are modulo the prime
+2**31 - 1: modulo a power of two alone, some regular texts (Thue-Morse words) are equal whatever
+the base.
 """
 
 from __future__ import annotations
@@ -64,12 +66,40 @@ class _Powers:
 
 _BYTES, _WORDS = _Powers(_BASE), _Powers(_WORD_BASE)
 _TABLES = {s: _table(s) for s in (0, 1)}
+PRIME = (1 << 31) - 1
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x below 2**63 modulo the prime, or the prime itself for 0."""
+    x = (x & U(PRIME)) + (x >> U(31))
+    return (x & U(PRIME)) + (x >> U(31))
+
+
+class _PrimePowers(_Powers):
+    """The same modulo the prime."""
+
+    def __init__(self, base: int):
+        super().__init__(base)
+        self.inverse = pow(base, -1, PRIME)
+
+    @staticmethod
+    def _grow(base: int, n: int) -> np.ndarray:
+        out = np.ones(n, U)
+        size, power = 1, base
+        while size < n:
+            out[size : 2 * size] = out[:size] * U(power) % U(PRIME)
+            size, power = 2 * size, power * power % PRIME
+        return out
+
+
+_PRIMES = _PrimePowers(0x2C7A61D3), _PrimePowers(0x5A1F34E9)
 
 
 class Running:
     """Running sums over a sequence of uint64 values; hash of any [start, end) in O(1)."""
 
     def __init__(self, values: np.ndarray, powers: _Powers = _WORDS):
+        self._values, self._prime_sums = values, None
         up, self._down = powers.upto(len(values) + 1)
         self._sum = np.zeros(len(values) + 1, U)
         np.cumsum(values * up[: len(values)], out=self._sum[1:])
@@ -81,9 +111,27 @@ class Running:
         out *= self._down[:n]
         return out
 
+    def _primes(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Running sums modulo the prime, and inverse powers, of each of its bases; made when first needed."""
+        if self._prime_sums is None:
+            self._prime_sums, n = [], len(self._values)
+            for k, powers in enumerate(_PRIMES):
+                up, down = powers.upto(n + 1)
+                part = self._values >> U(31 * k)
+                part &= U(PRIME)
+                part *= up[:n]
+                total = np.zeros(n + 1, U)
+                np.cumsum((part & U(PRIME)) + (part >> U(31)), out=total[1:])
+                self._prime_sums.append((total, down))
+        return self._prime_sums
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self._sum[end] - self._sum[start]) * self._down[start]
-        return mix(h + np.asarray(end - start).astype(U) * U(0x9FB21C651E98DF25))
+        (a, down_a), (b, down_b) = self._primes()
+        low = _reduced(_reduced(a[end] - a[start]) * down_a[start]) % U(PRIME)
+        high = _reduced(_reduced(b[end] - b[start]) * down_b[start]) % U(PRIME)
+        h = (h + np.asarray(end - start).astype(U) * U(0x9FB21C651E98DF25)) ^ mix(low | (high << U(32)))
+        return mix(h)
 
 
 def over_bytes(data: np.ndarray, salt: int = 0) -> Running:

@@ -2,15 +2,16 @@
 
 A string is LENGTH bytes. Its key is the least hash of the GRAM-byte grams in it, so equal
 strings have equal keys; successive strings of a document with one key form a stretch. Passes,
-each over buckets that grow in number with the cluster's shuffle partitions:
-1. keys meet by value; those that two documents hold are answered to their documents;
-2. stretches with such keys meet by key. Equal stretches are merged; the parts of others that
-   can agree over LENGTH bytes (bounded by sorting what stands beside the key's gram) are put
-   into suffix order (suffixes.py), where equal strings are neighbours, compared byte by byte;
-   so each string of a stretch gets the least document that holds it;
+over buckets whose number grows with the text:
+1. keys meet by value; those that two documents hold are answered to their documents. Keys with
+   more than HOT different stretches are marked in a bitmap of fixed size;
+2. stretches with shared keys meet by key, a marked key's as single strings keyed by all their
+   bytes. The stretches of each key are put into suffix order (suffixes.py), where equal strings
+   are neighbours, compared byte by byte; so each string gets the least document that holds it;
 3. documents drop each byte that a string with a smaller document covers.
 A sender keeps one record a key (1) or stretch (2), with its least document, and finds its own
-documents' runs again in 3, so nothing is sent once an occurrence.
+documents' runs again in 3, so nothing is sent once an occurrence. A bitmap slot that several
+keys share only makes more keys hot, for all documents alike.
 
 Defined cases: null or empty text has no bytes; a row without doc_id is not compared and loses
 nothing; rows with the same doc_id are one document; a text shorter than LENGTH loses nothing;
@@ -26,15 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilspark.llm import _packed, _tables, _text
 from veilspark.llm.spans import _firsts, with_bucket
-from veilspark.llm.suffixes import suffix_order
+from veilspark.llm.suffixes import _ranges, suffix_order, suffix_orders
 
 LENGTH, GRAM = 50, 20
-#: (key, document) pairs that a map task holds before it deals them out; bytes of stretches whose
-#: strings are looked at together, and characters sorted at once (more where one key has more).
-HELD, SLICE, SORTED = 1 << 20, 1 << 20, 100_000
+#: (key, document) pairs that a map task holds before it deals them out; bytes of stretches that are
+#: looked at together (more where one key has more); codes that are sorted at once, and how many
+#: a key may have for that: longer ones are sorted by themselves.
+HELD, SLICE, SORTED, LONG = 1 << 20, 1 << 20, 1 << 18, 1 << 13
+#: Different stretches of a key beyond which it is taken apart, and bits of the bitmap of such keys.
+HOT, HOT_BITS = 20_000, 22
 
 
 class _Stretches:
@@ -64,20 +69,49 @@ class _Stretches:
         self.key, self.row = least[self.start], row[self.start]
 
 
+def _is_hot(keys: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
+    """Which keys the bitmap marks."""
+    if hot is None:
+        return np.zeros(len(keys), bool)
+    slot = _text.mix(keys) >> np.uint64(64 - HOT_BITS)
+    return (hot[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _apart(running: _text.Running, start: np.ndarray, count: np.ndarray, key: np.ndarray, length: int, hot: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Stretches, those with hot keys as single strings with keys of their own, and which stretch each is of."""
+    each = np.arange(len(start))
+    loose = _is_hot(key, hot)
+    if not loose.any():
+        return start, count, key, each
+    many = np.where(loose, count, 1)
+    of = np.repeat(each, many)
+    begin = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    single = loose[of]
+    key = key[of]
+    key[single] = running.of(begin[single], begin[single] + length)
+    return begin, np.where(single, 1, count[of]), key, of
+
+
 def _token(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """One number for a key in a document; a chance match only brings a candidate more."""
     return _text.mix(keys ^ _text.mix(docs.view(np.uint64)))
 
 
+def _heads(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows in order, where each key begins among them, and how many it has."""
+    order = np.lexsort((*more, keys))
+    order = order[_firsts(order, keys, *more)]
+    heads = np.flatnonzero(_firsts(order, keys))
+    return order, heads, np.diff(np.append(heads, len(order)))
+
+
 def _keys(n: int, length: int, gram: int):
-    def deal(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
-        keys, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((docs, keys))
-        order = order[_firsts(order, keys, docs)]
-        heads = np.flatnonzero(_firsts(order, keys))
-        many = np.diff(np.append(heads, len(order)))
-        own, first = order[np.repeat(many > 1, many)], np.sort(order[heads])
-        yield from _packed.dealt((_text.mix(keys[first]) % np.uint64(n)).astype(np.int64), keys[first], docs[first])
+    def deal(parts: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes]]:
+        keys, docs, names = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, heads, many = _heads(keys, docs)
+        by_name, name_heads, different = _heads(keys, names)
+        own, first = order[np.repeat(many > 1, many)], order[heads]
+        yield from _packed.dealt((_text.mix(keys[first]) % np.uint64(n)).astype(np.int64), keys[first], docs[first], names[by_name[name_heads]], different.astype(np.uint32))
         yield from ((_packed.direct(b), p) for b, p in _packed.dealt(_packed.id_bucket(docs[own], n), _token(keys[own], docs[own])))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
@@ -86,7 +120,8 @@ def _keys(n: int, length: int, gram: int):
             ids, known = _text.ids(batch.column(0))
             for block in _text.blocks(batch.column(1)):
                 s = _Stretches(block, known[block.lo : block.lo + block.n], length, gram)
-                held.append((s.key, ids[block.lo + s.row]))
+                names = s.running.of(s.start, s.start + s.count + length - 1).astype(np.uint32)
+                held.append((s.key, ids[block.lo + s.row], names))
                 size += len(s.key)
                 if size >= HELD:
                     yield from deal(held)
@@ -97,25 +132,47 @@ def _keys(n: int, length: int, gram: int):
     return lambda batches: _packed.batches(rows(batches))
 
 
-def _shared_keys(n: int):
+def _shared_keys(n: int, hot: int):
+    """Answers shared keys to their documents; keys with more than hot different stretches go to bucket n."""
+
     def reduce(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        keys, docs = _packed.unpack(payloads, "u8", "i8")
-        order = np.lexsort((docs, keys))
-        order = order[_firsts(order, keys, docs)]
-        heads = np.flatnonzero(_firsts(order, keys))
-        many = np.diff(np.append(heads, len(order)))
+        keys, docs, names, different = _packed.unpack(payloads, "u8", "i8", "u4", "u4")
+        order, _, many = _heads(keys, docs)
         use = order[np.repeat(many > 1, many)]
         yield from _packed.dealt(_packed.id_bucket(docs[use], n), _token(keys[use], docs[use]))
+        by_name, heads, firsts = _heads(keys, names)
+        by_key = np.argsort(keys, kind="stable")
+        more = np.add.reduceat(different[by_key].astype(np.int64) - 1, np.flatnonzero(_firsts(by_key, keys))) if len(keys) else firsts
+        found = keys[by_name[heads[firsts + more > hot]]]
+        if len(found):
+            yield n, _packed.pack(found)
 
     return reduce
 
 
+def _hot_keys(keys: DataFrame, n: int) -> np.ndarray | None:
+    """The bitmap of hot keys: 2 ** HOT_BITS bits, whatever their number."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (found,) = _packed.unpack(_packed.payloads(pa.Table.from_batches([batch])), "u8")
+            slot = _text.mix(found) >> np.uint64(64 - HOT_BITS)
+            bit = np.uint64(1) << (slot & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array(bit.view(np.int64))], names=["word", "bits"])
+
+    rows = keys.where(f"bucket = {n}").mapInArrow(spread, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).collect()
+    if not rows:
+        return None
+    out = np.zeros(1 << (HOT_BITS - 6), np.int64)
+    out[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    return out.view(np.uint64)
+
+
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(sizes)
-    return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    return data[_ranges(starts, sizes)]
 
 
-def _candidates(n: int, length: int, gram: int):
+def _candidates(n: int, length: int, gram: int, hot):
     """A document bucket's distinct stretches with shared keys, each with its least document, to the keys' buckets."""
 
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -131,12 +188,13 @@ def _candidates(n: int, length: int, gram: int):
             token = _token(s.key, owner)
             use = np.flatnonzero(tokens[np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)] == token)
             if len(use):
-                size = s.count[use] + length - 1
-                names.append(s.running.of(s.start[use], s.start[use] + size))
-                keys.append(s.key[use])
-                owners.append(owner[use])
+                start, count, found, of = _apart(s.running, s.start[use], s.count[use], s.key[use], length, hot.value)
+                size = count + length - 1
+                names.append(s.running.of(start, start + size))
+                keys.append(found)
+                owners.append(owner[use[of]])
                 sizes.append(size)
-                texts.append(_gather(block.data, s.start[use], size))
+                texts.append(_gather(block.data, start, size))
         if not names:
             return _packed.table(())
         names, keys, owners, sizes, texts = (np.concatenate(x) for x in (names, keys, owners, sizes, texts))
@@ -162,176 +220,116 @@ def _candidates(n: int, length: int, gram: int):
 
 
 def _read(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of each record: origin bucket, key, least document, whether of several, number of its stretch; the distinct stretches and their keys."""
-    origins, docs, several, which, numbers, keys = [], [], [], [], {}, []
+    """Of each record by key: origin bucket, key, least document, whether of several, size; and their texts, joined."""
+    parts = []
     for payload in payloads:
         origin, n = struct.unpack_from("<qq", payload)
-        at = 16
-        key = np.frombuffer(payload, np.uint64, n, at)
-        docs.append(np.frombuffer(payload, np.int64, n, at + 8 * n))
-        several.append(np.frombuffer(payload, np.uint8, n, at + 16 * n))
-        sizes = np.frombuffer(payload, np.uint32, n, at + 17 * n).astype(np.int64)
-        origins.append(np.full(n, origin))
-        ends = (np.cumsum(sizes) + at + 21 * n).tolist()
-        begins = [at + 21 * n, *ends[:-1]]
-        for k, lo, hi in zip(key.tolist(), begins, ends, strict=True):
-            text = payload[lo:hi]
-            if (number := numbers.get(text)) is None:
-                number = numbers[text] = len(numbers)
-                keys.append(k)
-            which.append(number)
-    return *(np.concatenate(x) for x in (origins, docs, several)), np.array(which, np.int64), list(numbers), np.array(keys, np.uint64)
-
-
-def _beside(data: np.ndarray, begin: np.ndarray, size: np.ndarray, reach: int, backwards: bool) -> np.ndarray:
-    """Rows of reach bytes (plus 1; 0 beyond the size) from begin on, or backwards from begin - 1."""
-    steps = np.arange(reach)
-    inside = steps < size[:, None]
-    spot = begin[:, None] + (-1 - steps if backwards else steps)
-    return np.where(inside, data[np.where(inside, spot, 0)].astype(np.uint16) + 1, 0)
-
-
-def _agreement(groups: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """How many leading bytes of its row each stretch shares with some other of its group, at most."""
-    order = np.lexsort((*side.T[::-1], groups))
-    a, b = side[order[:-1]], side[order[1:]]
-    same = np.logical_and.accumulate((a == b) & (a > 0), axis=1).sum(1)
-    same = np.where(groups[order[:-1]] == groups[order[1:]], same, 0)
-    out = np.zeros(len(side), np.int64)
-    out[order[:-1]] = same
-    out[order[1:]] = np.maximum(out[order[1:]], same)
-    return np.minimum(out, size)
-
-
-def _agreeing(keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches that may share length bytes with another of their key: their numbers, and the part [lo, hi) that may."""
+        columns, at = [np.full(n, origin)], 16
+        for kind in ("u8", "i8", "u1", "u4"):
+            columns.append(np.frombuffer(payload, kind, n, at))
+            at += columns[-1].nbytes
+        parts.append((*columns, np.frombuffer(payload, np.uint8, -1, at)))
+    origins, keys, docs, several, sizes, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sizes = sizes.astype(np.int64)
     order = np.argsort(keys, kind="stable")
-    _, at, many = np.unique(keys[order], return_index=True, return_counts=True)
-    pick = np.sort(order[np.repeat(many > 1, many)])
-    if not len(pick):
-        return pick, pick, pick
-    grams = _text.over_bytes(data).grams(gram)
-    owner = np.repeat(np.arange(len(starts)), sizes)[: len(grams)]
-    spots = np.flatnonzero(grams == keys[owner])
-    spots = spots[spots + gram <= (starts + sizes)[owner[spots]]]
-    found = np.bincount(owner[spots], minlength=len(starts))
-    lo, hi = np.zeros(len(starts), np.int64), sizes.copy()
-    place = np.zeros(len(starts), np.int64)
-    place[owner[spots]] = spots - starts[owner[spots]]
-    # Where the gram occurs once in each stretch of a key, all agreements contain it at one place.
-    twice = np.zeros(len(starts), bool)
-    twice[pick] = found[pick] != 1
-    bad = np.unique(keys[twice])
-    plain = pick[~np.isin(keys[pick], bad)] if len(bad) else pick
-    if len(plain):
-        reach = length - gram
-        left, right = place[plain], sizes[plain] - place[plain] - gram
-        g, s = keys[plain], starts[plain] + place[plain]
-        before = _agreement(g, _beside(data, s, left, reach, True), left)
-        after = _agreement(g, _beside(data, s + gram, right, reach, False), right)
-        lo[plain], hi[plain] = place[plain] - before, place[plain] + gram + after
-    pick = pick[(hi - lo)[pick] >= length]
-    return pick, lo[pick], hi[pick]
-
-
-def least_documents(texts: list[bytes], docs: list[int], length: int) -> list[np.ndarray]:
-    """For each string of length bytes in each text, the least of the documents of the texts that hold it."""
-    size = np.array([len(t) for t in texts], np.int64)
-    begin = np.cumsum(size + 1) - size - 1
-    text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
-    text[begin + size] = 0  # parts the texts
-    order = np.array(suffix_order(text.tolist()), np.int64)
-    owner = np.repeat(np.arange(len(texts)), size + 1)
-    order = order[order + length <= (begin + size)[owner[order]]]
-    if len(order):
-        same = np.ones(len(order) - 1, bool)
-        for k in range(length):
-            same &= text[order[1:] + k] == text[order[:-1] + k]
-        heads = np.flatnonzero(np.concatenate([[True], ~same]))
-        doc = np.asarray(docs, np.int64)[owner[order]]
-        least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.append(heads, len(order))))
-        out = np.zeros(len(text), np.int64)
-        out[order] = least
-    return [out[b : b + s - length + 1] if s >= length else np.zeros(0, np.int64) for b, s in zip(begin, size, strict=True)]
-
-
-def _string_documents(texts: list[bytes], keys: np.ndarray, least: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one least document: owner (number of the text), document, first and last + 1 string; names of the texts.
-
-    texts of one key are all here and stand together.
+    texts = _gather(data, (np.cumsum(sizes) - sizes)[order], sizes[order])
+    return origins[order], keys[order], docs[order], several[order], sizes[order], texts
+
+
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings of length bytes at a and b are equal, eight bytes at a time."""
+    wide = min(length, 8)
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8).copy().view("<u8")[:, 0]
+    mask = np.uint64((1 << (8 * wide)) - 1)
+    same = np.ones(len(a), bool)
+    for k in (*range(0, length - wide, wide), length - wide):
+        same &= (words[a + k] ^ words[b + k]) & mask == 0
+    return same
+
+
+def least_documents(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, units: np.ndarray, length: int) -> np.ndarray:
+    """For each string of length bytes in each record, the least document of its unit's records that hold it.
+
+    text holds the records one after the other, units where each unit's records begin (and their end).
+    """
+    ends = np.cumsum(sizes)
+    record = np.repeat(np.arange(len(sizes)), sizes)
+    codes = np.zeros(len(text) + len(sizes), np.int64)  # 0 parts the records
+    codes[np.arange(len(text)) + record] = text.astype(np.int64) + 1
+    edge = np.concatenate([[0], ends + np.arange(1, len(sizes) + 1)])[units]
+    if len(edge) == 2 and edge[1] > LONG:
+        order = np.array(suffix_order(codes.tolist()), np.int64)
+    else:
+        order = suffix_orders(codes, edge)
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    place = order - owner[order]  # in text
+    whole = (codes[order] > 0) & (place + length <= ends[owner[order]])
+    place = place[whole]
+    strings = np.maximum(sizes - length + 1, 0)
+    answer = np.repeat(docs, strings)
+    if len(place):
+        heads = np.flatnonzero(np.concatenate([[True], ~_equal(text, place[1:], place[:-1], length)]))
+        of = record[place]
+        least = np.repeat(np.minimum.reduceat(docs[of], heads), np.diff(np.append(heads, len(place))))
+        first = np.cumsum(strings) - strings
+        answer[first[of] + place - (ends - sizes)[of]] = least
+    return answer
+
+
+def _string_documents(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one least document: record, document, first and last + 1 string; names of the records.
+
+    Records of one key are all here and stand together.
     """
-    sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(texts), np.uint8)
     strings = sizes - length + 1
     first = np.cumsum(strings) - strings
-    answer = np.repeat(least, strings)
-    pick, lo, hi = _agreeing(keys, data, starts, sizes, length, gram)
-    part: dict[bytes, list[int]] = {}
-    held = 0
-
-    def settle() -> None:
-        found = least_documents(list(part), [min(int(least[pick[j]]) for j in js) for js in part.values()], length)
-        for js, docs in zip(part.values(), found, strict=True):
-            for j in js:
-                at = first[pick[j]] + lo[j]
-                answer[at : at + len(docs)] = np.minimum(answer[at : at + len(docs)], docs)
-
-    for j, c in enumerate(pick.tolist()):
-        if held >= SORTED and keys[c] != keys[pick[j - 1]]:
-            settle()
-            part, held = {}, 0
-        text = texts[c][lo[j] : hi[j]]
-        if text not in part:
-            part[text] = []
-            held += len(text)
-        part[text].append(j)
-    if part:
-        settle()
-    owner = np.repeat(np.arange(len(texts)), strings)
+    answer = np.repeat(docs, strings)
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    many = np.diff(np.append(heads, len(keys)))
+    weight = np.add.reduceat(sizes + 1, heads)
+    # Keys of one record need no order; the others by weight, so that those sorted together take equally long.
+    left = np.flatnonzero(many > 1)
+    left = left[np.argsort(weight[left], kind="stable")]
+    total = np.cumsum(weight[left])
+    lo = 0
+    while lo < len(left):
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SORTED, side="right"))
+        hi = max(lo + 1, min(hi, lo + int(np.searchsorted(weight[left[lo:]], LONG, side="right"))))
+        unit = left[lo:hi]
+        use = _ranges(heads[unit], many[unit])
+        found = least_documents(_gather(text, starts[use], sizes[use]), sizes[use], docs[use], np.concatenate([[0], np.cumsum(many[unit])]), length)
+        answer[_ranges(first[use], strings[use])] = found
+        lo = hi
+    owner = np.repeat(np.arange(len(sizes)), strings)
     new = np.ones(len(answer), bool)
     new[1:] = (answer[1:] != answer[:-1]) | (owner[1:] != owner[:-1])
-    heads = np.flatnonzero(new)
-    begin = heads - first[owner[heads]]
-    end = begin + np.diff(np.append(heads, len(answer)))
-    return owner[heads], answer[heads], begin.astype(np.uint32), end.astype(np.uint32), _text.over_bytes(data).of(starts, starts + sizes)
+    run = np.flatnonzero(new)
+    begin = run - first[owner[run]]
+    end = begin + np.diff(np.append(run, len(answer)))
+    return owner[run], answer[run], begin.astype(np.uint32), end.astype(np.uint32), _text.over_bytes(text).of(starts, starts + sizes)
 
 
-def _answers(length: int, gram: int):
+def _answers(length: int):
     def reduce(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        origins, docs, several, which, texts, keys = _read(payloads)
-        least = np.full(len(texts), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, docs)
-        order = np.argsort(keys, kind="stable")
-        weight = np.cumsum([len(texts[i]) for i in order.tolist()])
-        fresh = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        names, runs, lo = np.zeros(len(texts), np.uint64), [], 0
-        while lo < len(order):
+        origins, keys, docs, several, sizes, text = _read(payloads)
+        weight = np.cumsum(sizes)
+        fresh = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
+        out, lo = [], 0
+        while lo < len(keys):
             done = weight[lo - 1] if lo else 0
-            hi = int(np.searchsorted(weight, done + SLICE, side="right"))
-            at = int(np.searchsorted(fresh, max(hi, lo + 1)))  # up to the next key
-            hi = int(fresh[at]) if at < len(fresh) else len(order)
-            part = order[lo:hi]
-            owner, *run, name = _string_documents([texts[i] for i in part.tolist()], keys[part], least[part], length, gram)
-            names[part] = name
-            runs.append((part[owner], *run))
+            hi = int(fresh[np.searchsorted(fresh, max(int(np.searchsorted(weight, done + SLICE, side="right")), lo + 1))])  # up to the next key
+            record, least, begin, end, names = _string_documents(keys[lo:hi], docs[lo:hi], sizes[lo:hi], text[done : weight[hi - 1]], length)
+            use = (least < docs[lo + record]) | (several[lo + record] > 0)
+            record = record[use]
+            out.append((origins[lo + record], names[record], least[use], begin[use], end[use]))
             lo = hi
-        run_owner, run_doc, run_lo, run_hi = (np.concatenate(x) for x in zip(*runs, strict=True))
-        by = np.argsort(run_owner, kind="stable")
-        run_owner, run_doc, run_lo, run_hi = run_owner[by], run_doc[by], run_lo[by], run_hi[by]
-        run_at = np.searchsorted(run_owner, np.arange(len(texts) + 1))
-        many = np.diff(run_at)[which]
-        ends = np.cumsum(many)
-        record = np.repeat(np.arange(len(which)), many)
-        run = np.repeat(run_at[which] - (ends - many), many) + np.arange(ends[-1])
-        use = (run_doc[run] < docs[record]) | (several[record] > 0)
-        record, run = record[use], run[use]
-        yield from _packed.dealt(origins[record], names[which[record]], run_doc[run], run_lo[run], run_hi[run])
+        yield from _packed.dealt(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     return reduce
 
 
-def _kept(length: int, gram: int, keep_text: bool):
+def _kept(length: int, gram: int, keep_text: bool, hot):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         names, least, lo, hi = _packed.unpack(_packed.payloads(answers), "u8", "i8", "u4", "u4")
         order = np.argsort(names, kind="stable")
@@ -342,15 +340,16 @@ def _kept(length: int, gram: int, keep_text: bool):
             gone = np.zeros(len(block.data), bool)
             if len(names):
                 s = _Stretches(block, known[block.lo : block.lo + block.n], length, gram)
-                name = s.running.of(s.start, s.start + s.count + length - 1) if len(s.start) else np.zeros(0, np.uint64)
+                start, count, _, of = _apart(s.running, s.start, s.count, s.key, length, hot.value)
+                name = s.running.of(start, start + count + length - 1)
                 a, b = np.searchsorted(names, name, "left"), np.searchsorted(names, name, "right")
                 many = b - a
                 ends = np.cumsum(many)
                 stretch = np.repeat(np.arange(len(many)), many)
                 which = np.repeat(a - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
-                use = (least[which] < ids[block.lo + s.row[stretch]]) & (hi[which] <= s.count[stretch])
+                use = (least[which] < ids[block.lo + s.row[of[stretch]]]) & (hi[which] <= count[stretch])
                 stretch, which = stretch[use], which[use]
-                gone = _text.cover(s.start[stretch] + lo[which], hi[which] - lo[which] + length - 1, len(block.data))
+                gone = _text.cover(start[stretch] + lo[which], hi[which] - lo[which] + length - 1, len(block.data))
             lost = _text.row_sums(gone, block.offs)
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
@@ -372,22 +371,25 @@ def _kept(length: int, gram: int, keep_text: bool):
     return run
 
 
-def remove_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+def remove_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, bucket_bytes: int = _tables.BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text that is left.
 
     In that text the bytes of a character that was cut through are dropped.
     """
     if not 1 <= gram <= length:
         raise ValueError("a gram is no longer than a string")
-    n = _packed.prime(_tables.buckets(docs.sparkSession))
+    spark = docs.sparkSession
+    n = _packed.prime(_tables.buckets(docs, bucket_bytes))
     rows = with_bucket(docs, n)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    keys = _tables.written(_packed.grouped(texts.mapInArrow(_keys(n, length, gram), _packed.SCHEMA), _shared_keys(n)), "keys")
-    _tables.free(docs.sparkSession)
-    answers = _tables.written(_packed.grouped(rows.groupBy("bucket").cogroup(keys.groupBy("bucket")).applyInArrow(_candidates(n, length, gram), _packed.SCHEMA), _answers(length, gram)), "least")
+    by_bucket = lambda df: _tables.dealt(df, n).groupBy("bucket")
+    keys = _tables.written(_packed.grouped(texts.mapInArrow(_keys(n, length, gram), _packed.SCHEMA), n, _shared_keys(n, HOT)), "keys")
+    _tables.free(spark)
+    hot = spark.sparkContext.broadcast(_hot_keys(keys, n))
+    answers = _tables.written(_packed.grouped(by_bucket(rows).cogroup(by_bucket(keys.where(f"bucket < {n}"))).applyInArrow(_candidates(n, length, gram, hot), _packed.SCHEMA), n, _answers(length)), "least")
     _tables.dropped(keys)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
-    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(length, gram, keep_text), kind)
+    return by_bucket(rows).cogroup(by_bucket(answers)).applyInArrow(_kept(length, gram, keep_text, hot), kind)
 
 
 def op9_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

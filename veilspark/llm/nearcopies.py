@@ -19,6 +19,7 @@ rows that share a doc_id are each judged by their own text; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from veilspark.llm import _tables, _text
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 #: A block of a star has about so many elements and members at most; elements are counted so many at a time.
 BLOCK_ELEMENTS, BLOCK_ROWS, COLUMNS = 1_000_000, 1000, 1024
+#: Elements of the small stars that share a group, on average; their number of groups follows from it.
+BUCKET_ELEMENTS = 250_000
 #: So many links at most (some 100 MB of Python objects) are joined in one task.
 LOCAL_LINKS = 500_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -274,7 +277,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    spark = docs.sparkSession
     made = _tables.written(sketch(docs, shingle, bands, rows), "sketch")
     digest = ["n_shingles", "first", "second"]
     classes = _tables.written(made.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
@@ -289,9 +291,11 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, row
     cut = _tables.written(star.groupBy("pivot").agg(weight.alias("cuts")), "cuts")
     block = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("block")
     placed = star.where("id != pivot").join(cut, "pivot").select("id", "pivot", "cuts", block).unionAll(cut.select(F.col("pivot").alias("id"), "pivot", "cuts", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("block")))
-    bucket = F.pmod(F.xxhash64("pivot"), F.lit(_tables.buckets(spark))).cast("int").alias("bucket")
+    weights = star.agg(F.sum("n_shingles")).first()[0] or 0
+    n = max(8, math.ceil(weights / BUCKET_ELEMENTS))
+    bucket = F.pmod(F.xxhash64("pivot"), F.lit(n)).cast("int").alias("bucket")
     grouped = placed.join(sets, "id").select("id", "pivot", "elements", bucket, "block", F.when(F.col("cuts") > 1, F.col("pivot")).alias("hot"))
-    links = _tables.written(grouped.groupBy("bucket", "hot", "block").applyInArrow(_star_links(percent), "a long, b long"), "links")
+    links = _tables.written(grouped.repartition(n, "bucket", "hot", "block").groupBy("bucket", "hot", "block").applyInArrow(_star_links(percent), "a long, b long"), "links")
     groups = components(links)
 
     # Stars of several blocks: members outside the pivot's group meet all blocks.

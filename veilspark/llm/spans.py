@@ -3,17 +3,18 @@
 A window is WINDOW consecutive words of one document. Anchors are hashes of ANCHOR words at the
 word positions that are, modulo PERIOD, in COVER: a set in which every difference modulo PERIOD
 occurs, so two equal windows, wherever they start, have an anchor at the same offset in both.
-Three passes, each dealing the documents into buckets that grow in number with the cluster's
-shuffle partitions:
+Three passes, each dealing the documents into buckets whose number grows with their text:
 1. anchors meet by hash; those that occur at two places are answered to their documents;
 2. windows around such anchors meet by a 96-bit hash of all their words; all but the first
    (least document, then start) are answered as removed;
 3. documents drop every word that a removed window covers.
-In 1 and 2 a sender keeps one record a hash and answers its own repeats itself.
+In 1 and 2 a sender keeps one record a hash and answers its own repeats itself. Answers name a
+row by its doc_id and a 32-bit digest of its text.
 
 Defined cases: null or empty text has no words; a row without doc_id is not compared and loses
-nothing; rows with the same doc_id and text count as the same document; a shorter text than a
-window loses nothing; an empty table gives an empty result; extra columns are not read.
+nothing; rows with the same doc_id are each judged by their own text, and of windows that start
+at one place of one doc_id none is later; a shorter text than a window loses nothing; an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -45,10 +46,17 @@ class _Words:
         self.place = np.arange(len(self.row)) - self.at[self.row]
         self.left = self.size[self.row] - self.place
         self.ids, self.known = ids[block.lo : block.lo + block.n], known[block.lo : block.lo + block.n]
-        self.block = block
+        self.block, self.bytes = block, _text.over_bytes(block.data)
+        self.digest = self.bytes.of(block.offs[:-1], block.offs[1:]).astype(np.uint32)
 
     def hashes(self, salt: int) -> _text.Running:
-        return _text.Running(_text.over_bytes(self.block.data, salt).of(self.starts, self.ends))
+        running = _text.over_bytes(self.block.data, salt) if salt else self.bytes
+        return _text.Running(running.of(self.starts, self.ends))
+
+    def places(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, text digest and place of words."""
+        row = self.row[use]
+        return self.ids[row], self.digest[row], self.place[use].astype(np.uint32)
 
 
 def _firsts(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -64,7 +72,7 @@ def _anchors(n: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     cover = np.isin(np.arange(PERIOD), COVER)
 
     def deal(parts: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes]]:
-        hashes, docs, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+        hashes, docs, texts, places = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((places, docs, hashes))
         new = _firsts(order, hashes)
         repeated = np.zeros(len(order), bool)
@@ -73,9 +81,9 @@ def _anchors(n: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         several = np.diff(np.append(heads, len(order))) > 1
         repeated[order[heads[several]]] = True
         first = np.sort(order[heads])
-        yield from _packed.dealt((hashes[first] % np.uint64(n)).astype(np.int64), hashes[first], docs[first], places[first])
+        yield from _packed.dealt((hashes[first] % np.uint64(n)).astype(np.int64), hashes[first], docs[first], texts[first], places[first])
         own = np.flatnonzero(repeated)
-        yield from ((_packed.direct(b), p) for b, p in _packed.dealt(_packed.id_bucket(docs[own], n), docs[own], places[own]))
+        yield from ((_packed.direct(b), p) for b, p in _packed.dealt(_packed.id_bucket(docs[own], n), docs[own], texts[own], places[own]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         held, size = [], 0
@@ -84,7 +92,7 @@ def _anchors(n: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             for block in _text.blocks(batch.column(1)):
                 w = _Words(block, ids, known)
                 use = np.flatnonzero(cover[w.place % PERIOD] & (w.left >= width) & (w.size[w.row] >= window) & w.known[w.row])
-                held.append((w.hashes(0).of(use, use + width), w.ids[w.row[use]], w.place[use].astype(np.uint32)))
+                held.append((w.hashes(0).of(use, use + width), *w.places(use)))
                 size += len(use)
                 if size >= HELD:
                     yield from deal(held)
@@ -97,18 +105,18 @@ def _anchors(n: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def _shared_anchors(n: int):
     def reduce(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        hashes, docs, places = _packed.unpack(payloads, "u8", "i8", "u4")
+        hashes, docs, texts, places = _packed.unpack(payloads, "u8", "i8", "u4", "u4")
         order = np.lexsort((places, docs, hashes))
         heads = np.flatnonzero(_firsts(order, hashes))
         many = np.diff(np.append(heads, len(order)))
         use = np.sort(order[np.repeat(many > 1, many)])
-        yield from _packed.dealt(_packed.id_bucket(docs[use], n), docs[use], places[use])
+        yield from _packed.dealt(_packed.id_bucket(docs[use], n), docs[use], texts[use], places[use])
 
     return reduce
 
 
-def _marked(w: _Words, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Word indexes in the block of sorted (document, word place) pairs."""
+def _marked(w: _Words, docs: np.ndarray, texts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Word indexes in the block of (document, text digest, word place), which are sorted."""
     lo, hi = np.searchsorted(docs, w.ids, "left"), np.searchsorted(docs, w.ids, "right")
     lo, hi = np.where(w.known, lo, 0), np.where(w.known, hi, 0)
     many = hi - lo
@@ -116,28 +124,28 @@ def _marked(w: _Words, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
     ends = np.cumsum(many)
     which = np.repeat(lo - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
     spot = places[which].astype(np.int64)
-    fits = spot < w.size[row]
+    fits = (texts[which] == w.digest[row]) & (spot < w.size[row])
     return (w.at[row] + spot)[fits]
 
 
-def _sorted_pairs(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    docs, places = _packed.unpack(payloads, "i8", "u4")
+def _sorted_marks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    docs, texts, places = _packed.unpack(payloads, "i8", "u4", "u4")
     order = np.lexsort((places, docs))
-    return docs[order], places[order]
+    return docs[order], texts[order], places[order]
 
 
 def _windows(n: int, window: int):
     width = window - PERIOD + 1
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        marked_docs, marked_places = _sorted_pairs(_packed.payloads(answers))
-        if not len(marked_docs):
+        marks = _sorted_marks(_packed.payloads(answers))
+        if not len(marks[0]):
             return _packed.table(())
         ids, known = _text.ids(docs.column("doc_id"))
         parts = []
         for block in _text.blocks(docs.column("text")):
             w = _Words(block, ids, known)
-            anchors = _marked(w, marked_docs, marked_places)
+            anchors = _marked(w, *marks)
             if not len(anchors):
                 continue
             # Starts of windows that hold the whole anchor; those of another row are cut by left and place.
@@ -146,7 +154,7 @@ def _windows(n: int, window: int):
             np.add.at(delta, anchors + 1, -1)
             use = np.flatnonzero((np.cumsum(delta[:-1]) > 0) & (w.left >= window))
             check = (w.hashes(1).of(use, use + window) >> np.uint64(32)).astype(np.uint32)
-            parts.append((w.hashes(0).of(use, use + window), check, w.ids[w.row[use]], w.place[use].astype(np.uint32)))
+            parts.append((w.hashes(0).of(use, use + window), check, *w.places(use)))
         if not parts:
             return _packed.table(())
         return _packed.table(_first_windows(n, parts))
@@ -155,36 +163,36 @@ def _windows(n: int, window: int):
 
 
 def _first_windows(n: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes]]:
-    hashes, checks, docs, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+    hashes, checks, docs, texts, places = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((places, docs, checks, hashes))
     new = _firsts(order, hashes, checks)
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     later = (docs[order] != docs[head]) | (places[order] != places[head])
     first, own = np.sort(order[new]), np.sort(order[later])
-    yield from _packed.dealt((hashes[first] % np.uint64(n)).astype(np.int64), hashes[first], checks[first], docs[first], places[first])
-    yield from ((_packed.direct(b), p) for b, p in _packed.dealt(_packed.id_bucket(docs[own], n), docs[own], places[own]))
+    yield from _packed.dealt((hashes[first] % np.uint64(n)).astype(np.int64), hashes[first], checks[first], docs[first], texts[first], places[first])
+    yield from ((_packed.direct(b), p) for b, p in _packed.dealt(_packed.id_bucket(docs[own], n), docs[own], texts[own], places[own]))
 
 
 def _later_windows(n: int):
     def reduce(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        hashes, checks, docs, places = _packed.unpack(payloads, "u8", "u4", "i8", "u4")
+        hashes, checks, docs, texts, places = _packed.unpack(payloads, "u8", "u4", "i8", "u4", "u4")
         order = np.lexsort((places, docs, checks, hashes))
         new = _firsts(order, hashes, checks)
         head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         later = np.sort(order[(docs[order] != docs[head]) | (places[order] != places[head])])
-        yield from _packed.dealt(_packed.id_bucket(docs[later], n), docs[later], places[later])
+        yield from _packed.dealt(_packed.id_bucket(docs[later], n), docs[later], texts[later], places[later])
 
     return reduce
 
 
 def _kept(window: int, keep_text: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        removed_docs, removed_places = _sorted_pairs(_packed.payloads(answers))
+        marks = _sorted_marks(_packed.payloads(answers))
         ids, known = _text.ids(docs.column("doc_id"))
         sizes, removed, sums, texts = [], [], [], []
         for block in _text.blocks(docs.column("text")):
             w = _Words(block, ids, known)
-            gone = _text.cover(_marked(w, removed_docs, removed_places), window, len(w.row))
+            gone = _text.cover(_marked(w, *marks), window, len(w.row))
             lost = _text.row_sums(gone, w.at)
             for i in range(block.n):
                 words = block.text(i).split()
@@ -207,20 +215,21 @@ def with_bucket(docs: DataFrame, n: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").withColumn("bucket", _packed.id_bucket_column("doc_id", n, "text"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, bucket_bytes: int = _tables.BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by blanks."""
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     spark = docs.sparkSession
-    n = _packed.prime(_tables.buckets(spark))
-    rows = with_bucket(docs, n)
+    n = _packed.prime(_tables.buckets(docs, bucket_bytes))
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    anchors = _tables.written(_packed.grouped(texts.mapInArrow(_anchors(n, window), _packed.SCHEMA), _shared_anchors(n)), "anchors")
+    by_bucket = lambda df: _tables.dealt(df, n).groupBy("bucket")
+    rows = with_bucket(docs, n)
+    anchors = _tables.written(_packed.grouped(texts.mapInArrow(_anchors(n, window), _packed.SCHEMA), n, _shared_anchors(n)), "anchors")
     _tables.free(spark)
-    removed = _tables.written(_packed.grouped(rows.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(_windows(n, window), _packed.SCHEMA), _later_windows(n)), "repeats")
+    removed = _tables.written(_packed.grouped(by_bucket(rows).cogroup(by_bucket(anchors)).applyInArrow(_windows(n, window), _packed.SCHEMA), n, _later_windows(n)), "repeats")
     _tables.dropped(anchors)
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
-    return rows.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(_kept(window, keep_text), kind)
+    return by_bucket(rows).cogroup(by_bucket(removed)).applyInArrow(_kept(window, keep_text), kind)
 
 
 def op4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

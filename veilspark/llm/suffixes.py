@@ -6,6 +6,9 @@ that its members point at, their previous suffix of a smaller group; suffixes po
 several times gain the word as often, and move to a group just above their old one. The second
 phase walks the order being built: the suffix before the one just reached, and those it points
 at in turn, follow in their groups until one is found that has its place.
+
+suffix_order sorts one text. suffix_orders sorts many short ones at once: each step takes the
+next group of every text, so what is a loop over suffixes above is array operations here.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 def suffix_order(text: Sequence[int]) -> list[int]:
     """Start positions of the suffixes of text in ascending order; text may hold any integers from 0 on.
 
-    Time is linear but for the ordering of members within a group.
+    Beyond the first ordering by single codes, time is linear.
     """
     n = len(text) + 1
     codes = np.zeros(n, np.int64)
@@ -58,29 +61,33 @@ def suffix_order(text: Sequence[int]) -> list[int]:
                     stop[last], stop[old] = last + 1, last
             end = name
             continue
-        # Targets of ascending members ascend, so equal ones are neighbours.
-        once: dict[int, list[int]] = {}
-        layers: dict[int, dict[int, list[int]]] = {}
-        target, count = -1, 0
-        for i in sorted(line[name:end]):
+        members = line[name:end]
+        # Up to a suffix of this group or of a smaller one, then along this group's to a smaller one.
+        fellows = []
+        for i in members:
             j = i - 1
-            while j >= 0 and group[j] >= name:
+            while j >= 0 and group[j] > name:
                 j = smaller[j]
             smaller[i] = j
-            if j == target:
-                count += 1
-                continue
-            if target >= 0:
-                at = once if count == 1 else layers.setdefault(count, {})
-                at.setdefault(group[target], []).append(target)
-            target, count = j, 1
-        if target >= 0:
-            at = once if count == 1 else layers.setdefault(count, {})
-            at.setdefault(group[target], []).append(target)
+            if j >= 0 and group[j] == name:
+                fellows.append(i)
+        for i in fellows:
+            path, j = [], i
+            while j >= 0 and group[j] == name:
+                path.append(j)
+                j = smaller[j]
+            for x in path:
+                smaller[x] = j
+        times: dict[int, int] = {}
+        for i in members:
+            j = smaller[i]
+            times[j] = times.get(j, 0) + 1
+        times.pop(-1, None)
+        layers: dict[int, dict[int, list[int]]] = {}
+        for j, count in times.items():
+            layers.setdefault(count, {}).setdefault(group[j], []).append(j)
         end = name
-        if once:
-            layers[1] = once
-        for count in sorted(layers, reverse=True) if len(layers) > 1 else layers:
+        for count in sorted(layers, reverse=True):
             for old, moved in layers[count].items():
                 hi = last = stop[old]
                 for j in moved:
@@ -107,3 +114,136 @@ def suffix_order(text: Sequence[int]) -> list[int]:
             placed[j] = True
             j = smaller[j]
     return order[1:]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each start, sizes of them."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _point(members: np.ndarray, names: np.ndarray, group: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """The previous suffix of a smaller group of each member, noted in smaller."""
+    target = members - 1
+    left = np.flatnonzero(group[target] > names)
+    while len(left):
+        target[left] = smaller[target[left]]
+        left = left[group[target[left]] > names[left]]
+    smaller[members] = target
+    left = np.flatnonzero(group[target] == names)
+    while len(left):  # paths along the group halve
+        target[left] = smaller[target[left]]
+        smaller[members[left]] = target[left]
+        left = left[group[target[left]] == names[left]]
+    return target
+
+
+def _raise(targets: np.ndarray, times: np.ndarray, line: np.ndarray, seat: np.ndarray, group: np.ndarray, stop: np.ndarray, moving: np.ndarray) -> None:
+    """Move distinct suffixes to the top of their groups, those of most times highest; each number of times is a new group."""
+    old = group[targets]
+    order = np.lexsort((times, old)) if times.max() > 1 else np.argsort(old, kind="stable")
+    targets, old, times = targets[order], old[order], times[order]
+    fresh = np.empty(len(old), bool)
+    fresh[0], fresh[1:] = True, old[1:] != old[:-1]
+    first = np.flatnonzero(fresh)
+    many = np.diff(np.append(first, len(old)))
+    name = old[first]
+    top = stop[name]
+    room = _ranges(top - many, many)
+    moving[targets] = True
+    there = line[room]
+    stay = there[~moving[there]]
+    moving[targets] = False
+    if len(stay):
+        seats = seat[targets]
+        left = seats[seats < np.repeat(top - many, many)]
+        line[left], seat[stay] = stay, left
+    line[room], seat[targets] = targets, room
+    fresh[1:] |= times[1:] != times[:-1]
+    first_new = np.flatnonzero(fresh)
+    size = np.diff(np.append(first_new, len(old)))
+    stop[name] = top - many
+    group[targets] = np.repeat(room[first_new], size)
+    stop[room[first_new]] = room[first_new] + size
+
+
+def suffix_orders(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Positions of all suffixes, text after text, those of a text in ascending order.
+
+    Text k is codes[starts[k] : starts[k + 1]] (starts has one more value), of integers from 0 to
+    65534. Its suffixes are compared within it; an end sorts first.
+    """
+    sizes = np.diff(starts)
+    texts = len(sizes)
+    # Each text is followed by an end of code 0; position 0 belongs to none and is smallest of all.
+    begin = starts[:-1] + np.arange(texts) + 1
+    n = int(starts[-1]) + texts + 1
+    whole = np.zeros(n, np.int64)
+    spot = _ranges(begin, sizes)
+    whole[spot] = np.asarray(codes, np.int64) + 1
+    owner = np.zeros(n, np.int64)
+    owner[1:] = np.repeat(np.arange(texts), sizes + 1)
+    key = (owner << 16) | whole
+    line = np.argsort(key, kind="stable")
+    base = begin  # a text's seats are as many as its positions and begin alike
+    key = key[line]
+    fresh = np.ones(n, bool)
+    fresh[1:] = key[1:] != key[:-1]
+    fresh[:2] = True
+    heads = np.flatnonzero(fresh)
+    many = np.diff(np.append(heads, n))
+    seat = np.empty(n, np.int64)
+    seat[line] = np.arange(n)
+    group = np.empty(n, np.int64)
+    group[line] = np.repeat(heads, many)
+    stop = np.zeros(n, np.int64)
+    stop[heads] = heads + many
+    smaller = np.zeros(n, np.int64)
+    moving, count, rep = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    end, floor = base + sizes + 1, base
+    while True:
+        use = end > floor + 1  # the end's own group is the last
+        if not use.all():
+            end, floor = end[use], floor[use]
+        if not len(end):
+            break
+        name = group[line[end - 1]]
+        many = end - name
+        members = line[_ranges(name, many)]
+        target = _point(members, np.repeat(name, many), group, smaller)
+        target = target[group[target] >= np.repeat(floor, many)]
+        end = name
+        if len(target):
+            count[target] = 0
+            np.add.at(count, target, 1)
+            each = np.arange(len(target))
+            rep[target] = each
+            target = target[rep[target] == each]
+            _raise(target, count[target], line, seat, group, stop, moving)
+
+    # The order: a text's end comes first; k steps on, each text's k-th suffix is known.
+    order, free, placed = np.zeros(n, np.int64), np.arange(n), np.zeros(n, bool)
+    order[base] = base + sizes
+    placed[base + sizes] = True
+    at, stop_at = base, base + sizes + 1
+    while len(at):
+        now = order[at]
+        first, j = begin[owner[now]], now - 1
+        go = (j >= first) & ~placed[j]
+        j, first = j[go], first[go]
+        while len(j):
+            name = group[j]
+            order[free[name]] = j
+            free[name] += 1
+            placed[j] = True
+            j = smaller[j]
+            go = (j >= first) & ~placed[j]
+            j, first = j[go], first[go]
+        at = at + 1
+        use = at < stop_at
+        if not use.all():
+            at, stop_at = at[use], stop_at[use]
+    # Without the ends, and as positions in codes.
+    found = np.delete(order, np.concatenate([[0], base]))
+    return found - owner[found] - 1
