@@ -524,32 +524,32 @@ def test_isolation_forest_finds_the_odd_rows():
 # 8
 
 
-def naive_lines(rows, mean=4):
+def naive_lines(rows, windows=(1, 1, 1, 2)):
     chunked = []
     for i, t in rows:
-        if t is None:
-            chunked.append((i, t, []))
-            continue
-        parts = t.split("\n")
+        parts = t.split("\n") if t is not None else []
         h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in parts]
-        chunks, now = [], []
-        for k, line in enumerate(parts):
-            now.append(line)
-            rolled = h[k] ^ (h[k - 1] << 1 if k > 0 else 0) ^ (h[k - 2] << 2 if k > 1 else 0)
-            if k == len(parts) - 1 or (rolled >> 20) % mean == 0:
-                chunks.append(now)
-                now = []
-        chunked.append((i, t, chunks))
+        found = set()
+        for level, window in enumerate(windows):
+            begin = 0
+            for k in range(len(parts)):
+                rolled = 0
+                for back in range(min(window, k + 1)):
+                    rolled ^= h[k - back] << back
+                if k == len(parts) - 1 or (rolled >> (20 + level)) % 2 == 0:
+                    if k > begin:
+                        found.add((begin, tuple(parts[begin : k + 1])))
+                    begin = k + 1
+        chunked.append((i, t, parts, found))
     first = {}
-    for i, t, chunks in chunked:
-        for k, c in enumerate(chunks):
-            if i is not None and len(c) > 1:
-                first[tuple(c)] = min(first.get(tuple(c), (i, k)), (i, k))
+    for i, _, _, found in chunked:
+        for k, c in found:
+            if i is not None:
+                first[c] = min(first.get(c, (i, k)), (i, k))
     out = []
-    for i, t, chunks in chunked:
-        left = [c for k, c in enumerate(chunks) if i is None or len(c) < 2 or first[tuple(c)] >= (i, k)]
-        n, kept = sum(map(len, chunks)), sum(map(len, left))
-        out.append((i, None if t is None else "\n".join(x for c in left for x in c), n, n - kept))
+    for i, t, parts, found in chunked:
+        gone = {x for k, c in found if i is not None and first[c] < (i, k) for x in range(k, k + len(c))}
+        out.append((i, None if t is None else "\n".join(x for k, x in enumerate(parts) if k not in gone), len(parts), len(gone)))
     return sorted(out, key=str)
 
 
@@ -567,6 +567,33 @@ def test_lines(spark, empty):
     assert lines.remove_repeated_chunks(empty).count() == 0
 
 
+def test_lines_keep_columns_of_their_names(spark):
+    rows = spark.createDataFrame([(1, "a\nb\nc\nd", "x", 7, 9), (2, "a\nb\nc\nd", "y", 8, 3)], "doc_id long, text string, n_removed string, n_lines long, n_lines_ long")
+    out = by_id(lines.remove_repeated_chunks(rows))
+    assert [(out[i]["n_removed"], out[i]["n_lines"], out[i]["n_lines_"]) for i in (1, 2)] == [("x", 7, 9), ("y", 8, 3)]
+    assert [out[i]["n_lines__"] for i in (1, 2)] == [4, 4] and out[1]["n_removed_"] == 0 < out[2]["n_removed_"]
+
+
+def test_lines_of_planted_passages(spark):
+    """Most lines of passages that stand between different neighbours go, and one copy of each stays."""
+    rng = random.Random(7)
+    line = lambda: " ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(13))
+    rows, passages = [], {}
+    for size in (4, 6, 8, 12):
+        for _ in range(60):
+            passage = [line() for _ in range(size)]
+            for _ in range(2):
+                passages[len(rows)] = passage
+                rows.append((len(rows), "\n".join([*(line() for _ in range(5)), *passage, *(line() for _ in range(5))])))
+    out = by_id(lines.remove_repeated_chunks(frame(spark, rows)))
+    for size, least in ((4, 0.4), (6, 0.6), (8, 0.7), (12, 0.75)):
+        lost = sum(out[i]["n_removed"] for i, p in passages.items() if len(p) == size)
+        assert least < lost / 60 / size < 1
+    for i, p in passages.items():
+        assert sum(x in out[j]["text"] for j in (i - i % 2, i - i % 2 + 1) for x in p) >= len(p) and out[i]["n_removed"] <= len(p)
+    assert all(out[i]["n_removed"] == 0 for i in passages if i % 2 == 0)
+
+
 def test_lines_run_no_python(spark, docs):
     plan = lines.remove_repeated_chunks(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -62,7 +62,7 @@ def dropped(*tables: DataFrame) -> None:
 
 
 #: Text of a bucket of packed rows: what a task of a second pass holds in memory at a time.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 
 
 def buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -79,6 +79,16 @@ def dealt(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "bucket")
 
 
+def sampled(df: DataFrame, rows: int, salt: int, *columns: str) -> DataFrame:
+    """At most rows rows of the columns doc_id and columns: in each of rows slots of the hashed doc_id, the row of least hash.
+
+    Tasks send one row a slot to a shuffle, so nothing that grows with df reaches the driver.
+    """
+    h = F.xxhash64("doc_id", F.lit(salt))
+    least = df.groupBy(F.pmod(h, F.lit(rows)).alias("__veil_slot")).agg(F.min(F.struct(h.alias("__veil_hash"), "doc_id", *columns)).alias("r"))
+    return least.select("r.__veil_hash", "r.doc_id", *(f"r.{c}" for c in columns))
+
+
 #: The bitmap of likely() has at most 2**22 bits in 65,536 rows of 64: 1 MB, whatever the input.
 BITMAP_BITS = 1 << 22
 

@@ -125,6 +125,10 @@ class Running:
                 self._prime_sums.append((total, down))
         return self._prime_sums
 
+    def quick(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """32 bits modulo 2**64 alone, for counts that may be a little off."""
+        return ((self._sum[end] - self._sum[start]) * self._down[start] >> U(32)).astype(np.uint32)
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self._sum[end] - self._sum[start]) * self._down[start]
         (a, down_a), (b, down_b) = self._primes()

@@ -35,9 +35,9 @@ from veilspark.llm.suffixes import _ranges, suffix_order, suffix_orders
 
 LENGTH, GRAM = 50, 20
 #: (key, document) pairs that a map task holds before it deals them out; bytes of stretches that are
-#: looked at together (more where one key has more); codes that are sorted at once, and how many
-#: a key may have for that: longer ones are sorted by themselves.
-HELD, SLICE, SORTED, LONG = 1 << 20, 1 << 20, 1 << 18, 1 << 13
+#: looked at together (more where one key has more); codes that are sorted at once, by keys of at
+#: most LONG: a longer key's are sorted by themselves.
+HELD, SLICE, SORTED, LONG = 1 << 20, 4 << 20, 1 << 19, 1 << 10
 #: Different stretches of a key beyond which it is taken apart, and bits of the bitmap of such keys.
 HOT, HOT_BITS = 20_000, 22
 
@@ -120,7 +120,7 @@ def _keys(n: int, length: int, gram: int):
             ids, known = _text.ids(batch.column(0))
             for block in _text.blocks(batch.column(1)):
                 s = _Stretches(block, known[block.lo : block.lo + block.n], length, gram)
-                names = s.running.of(s.start, s.start + s.count + length - 1).astype(np.uint32)
+                names = s.running.quick(s.start, s.start + s.count + length - 1)
                 held.append((s.key, ids[block.lo + s.row], names))
                 size += len(s.key)
                 if size >= HELD:

@@ -10,8 +10,8 @@ Words are runs of letters (ASCII, and all characters beyond). The recursion is c
 pieces of PIECE words whose transfer products are chained exactly, so long texts need no long
 loops and nothing is truncated.
 
-The model is fitted on the driver on at most TRAIN_ROWS labelled documents (those of least
-hashed id) of at most TRAIN_TEXT bytes each and TRAIN_BYTES in all. Defined cases: a null text, or one without a letter,
+The model is fitted on the driver on at most TRAIN_ROWS labelled documents (the least hashed id
+of each of so many slots) of at most TRAIN_TEXT bytes each and TRAIN_BYTES in all. Defined cases: a null text, or one without a letter,
 is `und` with score 0; a row without doc_id is judged, never learned from, and not held out;
 without any labelled row every text is `und`; repeated rows each get their result.
 """
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import _text
+from veilspark.llm import _tables, _text
 
 TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT, BUCKETS, PIECE, EPOCHS, SEED = 1200, 16 << 20, 100_000, 1 << 17, 64, 5, 11
 _SPLIT = np.ones(256, bool)
@@ -221,16 +221,24 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int =
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Tagger | None:
-    """Learn from text and lang of labelled rows whose crc32(doc_id) mod 4 is not 2."""
+    """Learn from text and lang of labelled rows whose crc32(doc_id) mod 4 is not 2.
+
+    Ids and sizes are picked first; only the texts of those that fit in TRAIN_BYTES come to the driver.
+    """
     use = docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang").where("text is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2").where(F.octet_length("text") <= TRAIN_TEXT)
-    picked = use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    kept, size = [], 0
-    for r in picked:
-        size += len(r["text"])
+    picked, size = [], 0
+    for r in sorted(_tables.sampled(use.select("doc_id", F.octet_length("text").alias("size")), rows, 0, "size").collect()):
+        size += r["size"]
         if size > TRAIN_BYTES:
             break
-        kept.append(r)
-    return train([r["text"] for r in kept], [r["lang"] for r in kept])
+        picked.append(r["doc_id"])
+    if not picked:
+        return None
+    # A picked id's least text, should it have several.
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")
+    found = use.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.*").collect()
+    texts = {r["doc_id"]: r for r in found}
+    return train([texts[i]["text"] for i in picked], [texts[i]["lang"] for i in picked])
 
 
 def identify(docs: DataFrame, model: Tagger | None) -> DataFrame:

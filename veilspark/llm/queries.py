@@ -97,15 +97,17 @@ _LINES = """
 WITH lines AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
 hashed AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h FROM lines),
-rolled AS (
-  SELECT doc_id, i, line, (xor(xor(h, coalesce(lag(h, 1) OVER w, 0) << 1), coalesce(lag(h, 2) OVER w, 0) << 2) >> 20) % 4 = 0 AS ends
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (SELECT doc_id, i, line, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM rolled),
-chunks AS (SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, place),
-judged AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM chunks)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+rolled AS (SELECT doc_id, i, line, h, xor(h, coalesce(lag(h, 1) OVER (PARTITION BY doc_id ORDER BY i), 0) << 1) AS h2 FROM hashed),
+levels AS (
+  SELECT doc_id, i, line, 0 AS lv, (h >> 20) & 1 = 0 AS ends FROM rolled UNION ALL SELECT doc_id, i, line, 1, (h >> 21) & 1 = 0 FROM rolled
+  UNION ALL SELECT doc_id, i, line, 2, (h >> 22) & 1 = 0 FROM rolled UNION ALL SELECT doc_id, i, line, 3, (h2 >> 23) & 1 = 0 FROM rolled),
+numbered AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, lv ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM levels),
+chunks AS (SELECT doc_id, min(i) AS place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, lv, part HAVING count(*) > 1),
+judged AS (SELECT doc_id, place, n, dense_rank() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM chunks),
+lost AS (SELECT DISTINCT doc_id, unnest(range(place, place + n)) AS i FROM judged WHERE gone),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM lines ANTI JOIN lost USING (doc_id, i) GROUP BY doc_id),
+sizes AS (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id)
+SELECT doc_id, n_lines, CAST(n_lines - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM sizes LEFT JOIN kept USING (doc_id)
 UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """
 ORACLE_SQL: dict[str, str] = {"op8_lines": _LINES, "op6_near": _NEAR, "op9_bytes": _BYTES, "op4_spans": _SPANS, "op2_leaks": _LEAKS, "op10_chat": _FORMATTED}

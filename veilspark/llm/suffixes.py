@@ -122,49 +122,64 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _point(members: np.ndarray, names: np.ndarray, group: np.ndarray, smaller: np.ndarray) -> np.ndarray:
-    """The previous suffix of a smaller group of each member, noted in smaller."""
+def _point(members: np.ndarray, names: np.ndarray, group: np.ndarray, smaller: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The previous suffix of a smaller group of each member, noted in smaller, and its group."""
     target = members - 1
-    left = np.flatnonzero(group[target] > names)
+    of = group.take(target)
+    left = (of > names).nonzero()[0]
     while len(left):
-        target[left] = smaller[target[left]]
-        left = left[group[target[left]] > names[left]]
+        there = smaller.take(target.take(left))
+        target[left] = there
+        there = group.take(there)
+        of[left] = there
+        left = left.take((there > names.take(left)).nonzero()[0])
     smaller[members] = target
-    left = np.flatnonzero(group[target] == names)
+    left = (of == names).nonzero()[0]
     while len(left):  # paths along the group halve
-        target[left] = smaller[target[left]]
-        smaller[members[left]] = target[left]
-        left = left[group[target[left]] == names[left]]
-    return target
+        there = smaller.take(target.take(left))
+        target[left] = there
+        smaller[members.take(left)] = there
+        there = group.take(there)
+        of[left] = there
+        left = left.take((there == names.take(left)).nonzero()[0])
+    return target, of
 
 
-def _raise(targets: np.ndarray, times: np.ndarray, line: np.ndarray, seat: np.ndarray, group: np.ndarray, stop: np.ndarray, moving: np.ndarray) -> None:
-    """Move distinct suffixes to the top of their groups, those of most times highest; each number of times is a new group."""
-    old = group[targets]
-    order = np.lexsort((times, old)) if times.max() > 1 else np.argsort(old, kind="stable")
-    targets, old, times = targets[order], old[order], times[order]
+def _raise(targets: np.ndarray, old: np.ndarray, times: np.ndarray, line: np.ndarray, seat: np.ndarray, group: np.ndarray, stop: np.ndarray, moving: np.ndarray) -> None:
+    """Move distinct suffixes to the top of their groups (old), those of most times highest; each number of times is a new group."""
+    alike = times.max() == 1
+    order = old.argsort(kind="stable") if alike else np.lexsort((times, old))
+    targets, old = targets.take(order), old.take(order)
     fresh = np.empty(len(old), bool)
-    fresh[0], fresh[1:] = True, old[1:] != old[:-1]
-    first = np.flatnonzero(fresh)
-    many = np.diff(np.append(first, len(old)))
-    name = old[first]
-    top = stop[name]
-    room = _ranges(top - many, many)
+    fresh[0] = True
+    np.not_equal(old[1:], old[:-1], out=fresh[1:])
+    first = fresh.nonzero()[0]
+    many = np.empty(len(first), np.int64)
+    many[:-1] = first[1:] - first[:-1]
+    many[-1] = len(old) - first[-1]
+    name = old.take(first)
+    low = stop.take(name) - many
+    lows = low.repeat(many)
+    room = lows + np.arange(len(old)) - first.repeat(many)
+    there = line.take(room)
     moving[targets] = True
-    there = line[room]
-    stay = there[~moving[there]]
+    stay = there.take((~moving.take(there)).nonzero()[0])
     moving[targets] = False
     if len(stay):
-        seats = seat[targets]
-        left = seats[seats < np.repeat(top - many, many)]
+        seats = seat.take(targets)
+        left = seats.take((seats < lows).nonzero()[0])
         line[left], seat[stay] = stay, left
     line[room], seat[targets] = targets, room
-    fresh[1:] |= times[1:] != times[:-1]
-    first_new = np.flatnonzero(fresh)
-    size = np.diff(np.append(first_new, len(old)))
-    stop[name] = top - many
-    group[targets] = np.repeat(room[first_new], size)
-    stop[room[first_new]] = room[first_new] + size
+    stop[name] = low
+    if alike:
+        group[targets], stop[low] = lows, low + many
+    else:
+        times = times.take(order)
+        fresh[1:] |= times[1:] != times[:-1]
+        first = fresh.nonzero()[0]
+        many = np.diff(np.append(first, len(old)))
+        low = room.take(first)
+        group[targets], stop[low] = low.repeat(many), low + many
 
 
 def suffix_orders(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -178,19 +193,17 @@ def suffix_orders(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     # Each text is followed by an end of code 0; position 0 belongs to none and is smallest of all.
     begin = starts[:-1] + np.arange(texts) + 1
     n = int(starts[-1]) + texts + 1
-    whole = np.zeros(n, np.int64)
-    spot = _ranges(begin, sizes)
-    whole[spot] = np.asarray(codes, np.int64) + 1
     owner = np.zeros(n, np.int64)
     owner[1:] = np.repeat(np.arange(texts), sizes + 1)
-    key = (owner << 16) | whole
-    line = np.argsort(key, kind="stable")
+    key = owner << 16
+    key[_ranges(begin, sizes)] += np.asarray(codes, np.int64) + 1
+    line = key.argsort(kind="stable")
     base = begin  # a text's seats are as many as its positions and begin alike
-    key = key[line]
+    key = key.take(line)
     fresh = np.ones(n, bool)
     fresh[1:] = key[1:] != key[:-1]
     fresh[:2] = True
-    heads = np.flatnonzero(fresh)
+    heads = fresh.nonzero()[0]
     many = np.diff(np.append(heads, n))
     seat = np.empty(n, np.int64)
     seat[line] = np.arange(n)
@@ -198,8 +211,8 @@ def suffix_orders(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     group[line] = np.repeat(heads, many)
     stop = np.zeros(n, np.int64)
     stop[heads] = heads + many
-    smaller = np.zeros(n, np.int64)
-    moving, count, rep = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    smaller, rep = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    moving = np.zeros(n, bool)
 
     end, floor = base + sizes + 1, base
     while True:
@@ -208,42 +221,51 @@ def suffix_orders(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
             end, floor = end[use], floor[use]
         if not len(end):
             break
-        name = group[line[end - 1]]
+        name = group.take(line.take(end - 1))
         many = end - name
-        members = line[_ranges(name, many)]
-        target = _point(members, np.repeat(name, many), group, smaller)
-        target = target[group[target] >= np.repeat(floor, many)]
         end = name
-        if len(target):
-            count[target] = 0
-            np.add.at(count, target, 1)
-            each = np.arange(len(target))
-            rep[target] = each
-            target = target[rep[target] == each]
-            _raise(target, count[target], line, seat, group, stop, moving)
+        if len(name) == many.sum():
+            members, names, floors = line.take(name), name, floor
+        else:
+            names, floors = name.repeat(many), floor.repeat(many)
+            members = line.take(names + np.arange(len(names)) - (many.cumsum() - many).repeat(many))
+        target, of = _point(members, names, group, smaller)
+        inside = (of >= floors).nonzero()[0]
+        if not len(inside):
+            continue
+        target, of = target.take(inside), of.take(inside)
+        each = np.arange(len(target))
+        rep[target] = each
+        first = rep.take(target)
+        alone = (first == each).nonzero()[0]
+        if len(alone) == len(each):
+            times = np.ones(len(each), np.int64)
+        else:
+            times = np.bincount(first, minlength=len(each)).take(alone)
+            target, of = target.take(alone), of.take(alone)
+        _raise(target, of, times, line, seat, group, stop, moving)
 
     # The order: a text's end comes first; k steps on, each text's k-th suffix is known.
     order, free, placed = np.zeros(n, np.int64), np.arange(n), np.zeros(n, bool)
     order[base] = base + sizes
     placed[base + sizes] = True
+    placed[base - 1] = True  # the end before, or position 0, ends each path
     at, stop_at = base, base + sizes + 1
     while len(at):
-        now = order[at]
-        first, j = begin[owner[now]], now - 1
-        go = (j >= first) & ~placed[j]
-        j, first = j[go], first[go]
+        j = order.take(at) - 1
+        j = j.take((~placed.take(j)).nonzero()[0])
         while len(j):
-            name = group[j]
-            order[free[name]] = j
-            free[name] += 1
+            name = group.take(j)
+            spot = free.take(name)
+            order[spot] = j
+            free[name] = spot + 1
             placed[j] = True
-            j = smaller[j]
-            go = (j >= first) & ~placed[j]
-            j, first = j[go], first[go]
+            j = smaller.take(j)
+            j = j.take((~placed.take(j)).nonzero()[0])
         at = at + 1
         use = at < stop_at
         if not use.all():
             at, stop_at = at[use], stop_at[use]
     # Without the ends, and as positions in codes.
     found = np.delete(order, np.concatenate([[0], base]))
-    return found - owner[found] - 1
+    return found - owner.take(found) - 1
