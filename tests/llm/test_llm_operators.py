@@ -158,7 +158,7 @@ def test_leaks(spark, docs, corpus, empty):
 def test_leaks_proximity(spark):
     rows = frame(spark, [(1, "delta x alpha y beta"), (2, "alpha " + "x " * 30 + "beta delta"), (3, "alpha beta")])
     bench = spark.createDataFrame([("q", "alpha beta delta")], "item_id string, text string")
-    assert {i: r["items"] for i, r in by_id(leaks.find_leaks(rows, bench, slop=5)).items()} == {1: ["q"], 2: [], 3: []}
+    assert {i: r["near_items"] for i, r in by_id(leaks.find_leaks(rows, bench, slop=5)).items()} == {1: ["q"], 2: [], 3: []}
     assert all(not r["items"] for r in by_id(leaks.find_leaks(rows, bench)).values())
 
 
@@ -178,7 +178,11 @@ def test_leaks_proximity_of_repeated_terms(spark):
                         hit |= set(range(s, min(s + slop + 1, len(words))))
                         items.add(item)
             expected.append((i, len(hit), tuple(sorted(items))))
-        assert sorted((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in leaks.find_leaks(*frames, slop=slop).collect()) == sorted(expected)
+        near = lambda r: (r["doc_id"], sum(b - a for a, b in zip(r["near_starts"], r["near_ends"], strict=True)), tuple(r["near_items"]))
+        for size in (leaks.BLOCK_BYTES, 20):
+            found = leaks.find_leaks(*frames, slop=slop, block_bytes=size).collect()
+            assert sorted(map(near, found)) == sorted(expected)
+            assert sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in found) == naive_leaks(rows, bench)
         assert slop != 3 or "one" in dict((i, x) for i, _, x in expected)[90]
 
 
@@ -206,7 +210,8 @@ def test_pieces_equal_library(models, text):
 @settings(max_examples=200, deadline=None)
 @given(ids=st.lists(st.integers(0, 31999) | st.integers(3, 258), max_size=12))
 def test_pieces_decode_any_ids(models, ids):
-    assert models[1].decode(ids) == models[0].decode(ids)
+    for some in (ids, [1, *ids], [28705, *ids], [2, 28705, *ids]):
+        assert models[1].decode(some) == models[0].decode(some)
 
 
 def trie_blob(rules):
@@ -247,11 +252,40 @@ def test_longest_rule_and_alignment(models):
     assert ours.charmap.longest("abcd".encode(), 0) == (3, b"long") and ours.charmap.longest(b"ab", 0) == (2, b"X") and ours.charmap.longest(b"b", 0) is None
     text, source = ours.normalise("ﬁ abcd a")
     assert text == "▁fi▁longd▁A"
-    assert [source[i] for i in (0, 3, 4, 5, 8, 12)] == [0, 0, 0, 3, 4, 7] and source[-1] == 10
+    assert source.tolist() == [0, 0, 0, 0, 0, 3, 3, 3, 4, 4, 4, 4, 7, 8, 8, 8, 9, 10] and len(source) == len(text.encode()) + 1
     spans = ours.encode_spans("ﬁ abcd a")
     assert spans[-1][2] == 10 and all(0 <= a <= b <= 10 for _, a, b in spans)
 
 
+def number(n):
+    return n.to_bytes(1, "little") if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+
+
+def field(key, payload):
+    return number(key << 3 | 2) + number(len(payload)) + payload
+
+
+def with_rules(blob, rules, prefix, squeeze):
+    """The model with the library's own normalisation rules of a name."""
+    spec = sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_normalizer_spec()
+    charmap = next((v for n, _, v in pieces._fields(spec) if n == 2), b"")
+    kept = b"".join(field(n, v) if k == 2 else number(n << 3) + number(v) for n, k, v in pieces._fields(blob) if n != 3)
+    return kept + field(3, field(2, charmap) + bytes([3 << 3, prefix, 4 << 3, squeeze, 5 << 3, 1]))
+
+
+@pytest.mark.parametrize("rules", ["nmt_nfkc", "nfkc_cf", "identity"])
+@pytest.mark.parametrize(("prefix", "squeeze"), [(1, 1), (1, 0), (0, 1)])
+def test_pieces_with_rules_equal_library(rules, prefix, squeeze):
+    rng = random.Random(rules)
+    with open(pieces.model_path(), "rb") as f:
+        blob = with_rules(f.read(), rules, prefix, squeeze)
+    theirs, ours = sentencepiece.SentencePieceProcessor(model_proto=blob), pieces.PieceModel(blob)
+    for _ in range(300):
+        text = "".join(rng.choice([*" \t\n ab1ﬁＡé日①½ｶﾞ😀ﷺ▁x<>가", "\u3000", "\xa0", "\u200b", "e\u0301", "  "]) for _ in range(rng.randint(0, 25)))
+        assert ours.encode_spans(text) == [(p.id, p.begin, p.end) for p in theirs.encode(text, return_type="proto").pieces], text
+        assert ours.decode(ours.encode(text)) == theirs.decode(theirs.encode(text))
+
+
 def test_squeezed_blanks():
     ours = pieces.PieceModel(open(pieces.model_path(), "rb").read())
     ours.squeeze = True
@@ -322,9 +356,8 @@ def test_hashes_tell_regular_words_apart():
 
     a, b = thue_morse(1024)
     data = np.frombuffer((a + b).encode(), np.uint8)
-    for salt in (0, 1):
-        one, two = _text.over_bytes(data, salt).of(np.array([0, 1024]), np.array([1024, 2048]))
-        assert one != two
+    for hashes in _text.over_bytes(data).pair(np.array([0, 1024]), np.array([1024, 2048])):
+        assert hashes[0] != hashes[1]
     again = np.frombuffer(("xy" + a + "z" + a).encode(), np.uint8)
     one, two = _text.over_bytes(again).of(np.array([2, 1027]), np.array([1026, 2051]))
     assert one == two

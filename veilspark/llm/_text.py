@@ -40,10 +40,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _table(salt: int) -> np.ndarray:
-    return mix((np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F)) ^ U(salt))
-
-
 class _Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 
@@ -65,8 +61,9 @@ class _Powers:
 
 
 _BYTES, _WORDS = _Powers(_BASE), _Powers(_WORD_BASE)
-_TABLES = {s: _table(s) for s in (0, 1)}
+_TABLE = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
 PRIME = (1 << 31) - 1
+_RESIDUES = [(_TABLE >> U(31 * k)) & U(PRIME) for k in (0, 1)]
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -96,13 +93,17 @@ _PRIMES = _PrimePowers(0x2C7A61D3), _PrimePowers(0x5A1F34E9)
 
 
 class Running:
-    """Running sums over a sequence of uint64 values; hash of any [start, end) in O(1)."""
+    """Running sums over a sequence of uint64 values; hash of any [start, end) in O(1).
+
+    residues gives the values modulo the prime, one sequence for each of its bases; without it they are taken from the values.
+    """
 
-    def __init__(self, values: np.ndarray, powers: _Powers = _WORDS):
-        self._values, self._prime_sums = values, None
+    def __init__(self, values: np.ndarray, powers: _Powers = _WORDS, residues=None):
         up, self._down = powers.upto(len(values) + 1)
         self._sum = np.zeros(len(values) + 1, U)
         np.cumsum(values * up[: len(values)], out=self._sum[1:])
+        self._residues = residues or (lambda k: (values >> U(31 * k)) & U(PRIME))
+        self._prime_sums: list[tuple[np.ndarray, np.ndarray]] = []
 
     def grams(self, width: int) -> np.ndarray:
         """Hash of the width values from each place on; ordered at random by its high bits, not mixed in its low ones."""
@@ -111,35 +112,51 @@ class Running:
         out *= self._down[:n]
         return out
 
-    def _primes(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Running sums modulo the prime, and inverse powers, of each of its bases; made when first needed."""
-        if self._prime_sums is None:
-            self._prime_sums, n = [], len(self._values)
+    def _primes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Both hashes modulo the prime, side by side; their running sums are made when first needed."""
+        n = len(self._sum) - 1
+        if not self._prime_sums:
             for k, powers in enumerate(_PRIMES):
                 up, down = powers.upto(n + 1)
-                part = self._values >> U(31 * k)
-                part &= U(PRIME)
+                part = self._residues(k)
                 part *= up[:n]
+                high = part >> U(31)
+                part &= U(PRIME)
+                part += high
                 total = np.zeros(n + 1, U)
-                np.cumsum((part & U(PRIME)) + (part >> U(31)), out=total[1:])
+                np.cumsum(part, out=total[1:])
                 self._prime_sums.append((total, down))
-        return self._prime_sums
+        out = np.zeros(len(start), U)
+        for total, down in self._prime_sums:
+            part = _reduced(total[end] - total[start])
+            part *= down[start]
+            part = _reduced(part)
+            part[part == PRIME] = 0
+            out <<= U(32)
+            out |= part
+        return out
+
+    def _wide(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self._sum[end] - self._sum[start]) * self._down[start]
+        h += np.asarray(end - start).astype(U) * U(0x9FB21C651E98DF25)
+        return h
 
     def quick(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """32 bits modulo 2**64 alone, for counts that may be a little off."""
-        return ((self._sum[end] - self._sum[start]) * self._down[start] >> U(32)).astype(np.uint32)
+        """64 bits modulo 2**64 alone, where equal hashes of different slices do no harm."""
+        return mix(self._wide(start, end))
+
+    def pair(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 bits of hash, and 32 more."""
+        h = self._wide(start, end)
+        primes = mix(self._primes(start, end))
+        return mix(h ^ primes), (mix(primes + U(0x2545F4914F6CDD1D)) >> U(32)).astype(np.uint32)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self._sum[end] - self._sum[start]) * self._down[start]
-        (a, down_a), (b, down_b) = self._primes()
-        low = _reduced(_reduced(a[end] - a[start]) * down_a[start]) % U(PRIME)
-        high = _reduced(_reduced(b[end] - b[start]) * down_b[start]) % U(PRIME)
-        h = (h + np.asarray(end - start).astype(U) * U(0x9FB21C651E98DF25)) ^ mix(low | (high << U(32)))
-        return mix(h)
+        return self.pair(start, end)[0]
 
 
-def over_bytes(data: np.ndarray, salt: int = 0) -> Running:
-    return Running(_TABLES[salt][data], _BYTES)
+def over_bytes(data: np.ndarray) -> Running:
+    return Running(_TABLE[data], _BYTES, lambda k: _RESIDUES[k][data])
 
 
 class Block:

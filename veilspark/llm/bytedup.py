@@ -120,7 +120,7 @@ def _keys(n: int, length: int, gram: int):
             ids, known = _text.ids(batch.column(0))
             for block in _text.blocks(batch.column(1)):
                 s = _Stretches(block, known[block.lo : block.lo + block.n], length, gram)
-                names = s.running.quick(s.start, s.start + s.count + length - 1)
+                names = s.running.quick(s.start, s.start + s.count + length - 1).astype(np.uint32)
                 held.append((s.key, ids[block.lo + s.row], names))
                 size += len(s.key)
                 if size >= HELD:

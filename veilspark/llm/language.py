@@ -66,13 +66,13 @@ class _Words:
         each = np.arange(n)
         for k in (1, 2, 3, 4):
             use = each[size >= k]
-            add(use, running.of(start[use], start[use] + k), k)
-            add(use, running.of(end[use] - k, end[use]), 8 + k)
+            add(use, running.quick(start[use], start[use] + k), k)
+            add(use, running.quick(end[use] - k, end[use]), 8 + k)
         for k in (2, 3):
             many = np.maximum(size - k + 1, 0)
             ends = np.cumsum(many)
             spot = np.repeat(start - (ends - many), many) + np.arange(ends[-1] if n else 0)
-            add(np.repeat(each, many), running.of(spot, spot + k), 16 + k)
+            add(np.repeat(each, many), running.quick(spot, spot + k), 16 + k)
         found = np.zeros(n, bool)
         if len(lexicon):
             found = lexicon[np.minimum(np.searchsorted(lexicon, self.hash), len(lexicon) - 1)] == self.hash

@@ -66,30 +66,54 @@ class CharMap:
 
     def __init__(self, blob: bytes):
         self.units: tuple[int, ...] = ()
+        #: Bytes that begin a rule; no rule applies where another stands.
+        self.leads = np.zeros(256, bool)
         if blob:
             (size,) = struct.unpack_from("<I", blob)
             self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
             self.replacements = blob[4 + size :]
+            root = self._child(0)
+            for x in range(256):
+                self.leads[x] = (root ^ x) < len(self.units) and (self.units[root ^ x] & 0x800000FF) == x
+        self._known: dict[bytes, tuple[int, bytes] | None] = {}
+
+    def _child(self, node: int) -> int:
+        """Where the children of a node are."""
+        unit = self.units[node]
+        return node ^ (unit >> 10) << ((unit & 512) >> 6)
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest rule that data has at this place, and its replacement."""
-        if not self.units:
+        if not self.units or not self.leads[data[at]]:
             return None
         units, best = self.units, None
-        node = (units[0] >> 10) << ((units[0] & 512) >> 6)
+        base = self._child(0)
         for i in range(at, len(data)):
-            node ^= data[i]
+            node = base ^ data[i]
             if node >= len(units) or (units[node] & 0x800000FF) != data[i]:
                 break
-            unit = units[node]
-            node ^= (unit >> 10) << ((unit & 512) >> 6)
-            if unit & 256:
-                best = i + 1 - at, units[node] & 0x7FFFFFFF
+            base = self._child(node)
+            if units[node] & 256:
+                best = i + 1 - at, units[base] & 0x7FFFFFFF
         if best is None:
             return None
         end = self.replacements.index(b"\0", best[1])
         return best[0], self.replacements[best[1] : end]
 
+    def parts(self, data: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Where rules apply, from the left, the longest at each place: first byte, bytes replaced, replacement.
+
+        Only places with a leading byte of a rule at a character's begin are looked at.
+        """
+        where, sizes, out, done = [], [], [], 0
+        for at in (self.leads[codes] & ((codes & 0xC0) != 0x80)).nonzero()[0].tolist() if self.units else ():
+            if at >= done and (rule := self.longest(data, at)):
+                where.append(at)
+                sizes.append(rule[0])
+                out.append(rule[1])
+                done = at + rule[0]
+        return np.array(where, np.int64), np.array(sizes, np.int64), out
+
 
 class Memo(dict):
     """Segment -> its ids, decimal and comma-joined; looks in the generation before as well."""
@@ -154,48 +178,46 @@ class PieceModel:
         for i, (p, _, t) in enumerate(self.pieces):
             self.shown[str(i)] = bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else " ⁇ ".encode() if t == 2 else p.replace(SPACE, " ").encode()
 
-    def normalise(self, text: str) -> tuple[str, list[int]]:
-        """The normalised text, and for each of its bytes (and its end) the original byte it comes from."""
-        data = text.encode()
-        out, source, at = bytearray(), [], 0
-
-        def put(piece: bytes, origin: int) -> None:
-            piece = piece.replace(b" ", SPACE.encode()) if self.escape else piece
-            out.extend(piece)
-            source.extend([origin] * len(piece))
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
+        """The normalised text, and for each of its bytes (and its end) the original byte it comes from.
 
+        Stretches without a rule are taken over whole, with a running count as their source; a
+        replacement comes from the first byte of what it replaces.
+        """
+        data = text.encode()
+        codes = np.frombuffer(data, np.uint8)
+        where, sizes, replaced = self.charmap.parts(data, codes)
+        if len(where):
+            plain, sources, done = [], [], 0
+            for at, size, piece in zip(where.tolist(), sizes.tolist(), replaced, strict=True):
+                plain += [data[done:at], piece]
+                sources += [np.arange(done, at), np.full(len(piece), at)]
+                done = at + size
+            out = np.frombuffer(b"".join([*plain, data[done:]]), np.uint8)
+            source = np.concatenate([*sources, np.arange(done, len(data))])
+        else:
+            out, source = codes, np.arange(len(data))
         end = len(data)
         if self.squeeze:
-            while at < end and data[at] == 32:
-                at += 1
-            while end > at and data[end - 1] == 32:
-                end -= 1
-        if self.prefix and at < end:
-            put(b" ", at)
-        blank = self.squeeze
-        while at < end:
-            rule = self.charmap.longest(data, at)
-            if rule:
-                size, piece = rule
-            else:
-                size = 1
-                while at + size < end and data[at + size] & 0xC0 == 0x80:
-                    size += 1
-                piece = data[at : at + size]
-            if self.squeeze:
-                while blank and piece.startswith(b" "):
-                    piece = piece[1:]
-            if piece:
-                put(piece, at)
-                blank = self.squeeze and piece.endswith(b" ")
-            at += size
-        space = SPACE.encode() if self.escape else b" "
-        if self.squeeze:
-            while out.endswith(space):
-                end = source[len(out) - len(space)]
-                del out[-len(space) :], source[-len(space) :]
-        source.append(end)
-        return out.decode(), source
+            # Blanks before the text and after another blank go.
+            blank = out == 32
+            keep = ~(blank & np.append(True, blank[:-1])[: len(blank)])
+            out, source = out[keep], source[keep]
+        if self.prefix and len(out):
+            out, source = np.append(np.uint8(32), out), np.append(source[0], source)
+        if self.escape and (out == 32).any():
+            blank = out == 32
+            times = np.where(blank, len(SPACE.encode()), 1)
+            normal, source = out.tobytes().replace(b" ", SPACE.encode()).decode(), np.repeat(source, times)
+        else:
+            normal = out.tobytes().decode()
+        if self.squeeze:  # blanks after the text go, and the text ends where they begin
+            space = SPACE if self.escape else " "
+            left = normal.rstrip(space)
+            if len(left) < len(normal):
+                size = len(source) - (len(normal) - len(left)) * len(space.encode())
+                end, normal, source = int(source[size]), left, source[:size]
+        return normal, np.append(source, end).astype(np.int32)
 
     def merge(self, segment: str) -> list[int]:
         """Ids of a segment: the best-scored pair is merged first, the leftmost of equals."""
@@ -253,23 +275,15 @@ class PieceModel:
             self.memo = Memo(self, self.memo)
         return ",".join(map(self.memo.__getitem__, self.segment(normal)))
 
-    def _aligned(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text, and for each of its characters (and its end) the original byte it comes from."""
-        if self.charmap.units or self.squeeze or not (self.prefix and self.escape):
-            normal, source = self.normalise(text)
-            return normal, np.asarray(source, np.int32)[np.append(_heads(normal.encode()), -1)]
-        # Without rules each character stays one, after a blank that comes from the first byte.
-        data = text.encode()
-        return SPACE + text.replace(" ", SPACE), np.concatenate([[0], _heads(data), [len(data)]]).astype(np.int32)
-
     def joined_spans(self, text: str | None) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a whole text, decimal and comma-joined, then ids, first and end bytes in the original text.
 
         Of one character's byte pieces only the last spans it.
         """
-        normal, source = self._aligned(text) if text else ("", NOTHING)
+        normal, source = self.normalise(text) if text else ("", NOTHING)
         if not normal:
             return "", NOTHING, NOTHING, NOTHING
+        source = source[np.append(_heads(normal.encode()), -1)]  # of characters
         joined = self._joined(normal)
         ids = np.fromstring(joined, np.int32, sep=",")
         chars = self.chars[ids]
@@ -280,7 +294,7 @@ class PieceModel:
 
     def joined_ids(self, text: str | None) -> str:
         """Ids of a whole text, decimal and comma-joined."""
-        return self._joined(self._aligned(text)[0]) if text else ""
+        return self.joined_spans(text)[0]
 
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for x in self.joined_ids(text).split(",") if x]
@@ -292,10 +306,22 @@ class PieceModel:
     def decode_joined(self, joined: str) -> str:
         if not joined:
             return ""
-        data = b"".join(map(self.shown.__getitem__, joined.split(",")))
-        text = _replaced(data)
-        led = self.pieces[int(joined.partition(",")[0])][0].startswith(SPACE)
-        return text[1:] if self.prefix and led else text
+        ids = joined.split(",")
+        text = _replaced(b"".join(map(self.shown.__getitem__, ids)))
+        return text[self._led(ids) :] if self.prefix or self.squeeze else text
+
+    def _led(self, ids: list[str]) -> int:
+        """Blanks that decoding leaves out: the first of the text; with squeezing, that of each piece until one shows something."""
+        out = 0
+        for i in ids:
+            piece, _, kind = self.pieces[int(i)]
+            if kind == 3:
+                continue
+            led = kind not in (2, 6) and piece.startswith(SPACE)
+            out += led
+            if kind in (2, 6) or len(piece) > led or not self.squeeze:
+                break
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_joined(",".join(map(str, ids)))

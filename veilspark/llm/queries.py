@@ -44,10 +44,24 @@ windows AS (
   FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM lowered, (SELECT DISTINCT k FROM phrases))),
 hits AS (SELECT doc_id, i, k, item_id FROM windows JOIN phrases USING (phrase, k)),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
-owned AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+owned AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id),
+-- Near: 12 words in a row hold all words of a phrase, each as often; looked for around the phrase's rarest word.
+terms AS MATERIALIZED (SELECT phrase, k, w, count(*) AS need FROM (SELECT DISTINCT phrase, k, unnest(string_split(phrase, ' ')) AS w, unnest(range(k)) AS at FROM phrases) GROUP BY phrase, k, w),
+placed AS MATERIALIZED (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM lowered) WHERE w IN (SELECT w FROM terms)),
+often AS (SELECT w, count(*) AS n FROM placed GROUP BY w),
+rarest AS (SELECT phrase, k, min_by(w, coalesce(n, 0)) AS w FROM terms LEFT JOIN often USING (w) GROUP BY phrase, k),
+wanted AS (SELECT phrase, k, list(w) AS words, list(need) AS needs FROM terms GROUP BY phrase, k),
+proposed AS MATERIALIZED (
+  SELECT doc_id, phrase, k, i, words, needs, ws[greatest(i - 11, 1) : i + 11] AS span, greatest(i - 11, 1) AS lo
+  FROM rarest JOIN placed USING (w) JOIN wanted USING (phrase, k) JOIN lowered USING (doc_id)),
+possible AS MATERIALIZED (SELECT * FROM proposed WHERE list_has_all(span, words)),
+started AS (SELECT doc_id, phrase, k, words, needs, span[s - lo + 1 : s - lo + 12] AS part FROM (SELECT *, unnest(range(lo, i + 1)) AS s FROM possible)),
+counted AS (SELECT DISTINCT doc_id, phrase, k FROM started WHERE list_has_all(part, words)
+  AND len(list_filter(range(1, len(words) + 1), lambda j: len(list_filter(part, lambda x: x = words[j])) < needs[j])) = 0),
+close AS (SELECT doc_id, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near FROM (SELECT DISTINCT doc_id, item_id FROM counted JOIN phrases USING (phrase, k)) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM lowered LEFT JOIN covered USING (doc_id) LEFT JOIN owned USING (doc_id)
+  sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM lowered LEFT JOIN covered USING (doc_id) LEFT JOIN owned USING (doc_id) LEFT JOIN close USING (doc_id)
 """
 _SPANS = """
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),

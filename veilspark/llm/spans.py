@@ -20,8 +20,9 @@ table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import zlib
 from collections.abc import Callable, Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,12 @@ class _Words:
         self.place = np.arange(len(self.row)) - self.at[self.row]
         self.left = self.size[self.row] - self.place
         self.ids, self.known = ids[block.lo : block.lo + block.n], known[block.lo : block.lo + block.n]
-        self.block, self.bytes = block, _text.over_bytes(block.data)
-        self.digest = self.bytes.of(block.offs[:-1], block.offs[1:]).astype(np.uint32)
+        self.block = block
+        whole = memoryview(block.data)
+        self.digest = np.array([zlib.crc32(whole[lo:hi]) for lo, hi in itertools.pairwise(block.offs.tolist())], np.uint32)
 
-    def hashes(self, salt: int) -> _text.Running:
-        running = _text.over_bytes(self.block.data, salt) if salt else self.bytes
-        return _text.Running(running.of(self.starts, self.ends))
+    def hashes(self) -> _text.Running:
+        return _text.Running(_text.over_bytes(self.block.data).of(self.starts, self.ends))
 
     def places(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, text digest and place of words."""
@@ -92,7 +93,7 @@ def _anchors(n: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             for block in _text.blocks(batch.column(1)):
                 w = _Words(block, ids, known)
                 use = np.flatnonzero(cover[w.place % PERIOD] & (w.left >= width) & (w.size[w.row] >= window) & w.known[w.row])
-                held.append((w.hashes(0).of(use, use + width), *w.places(use)))
+                held.append((w.hashes().of(use, use + width), *w.places(use)))
                 size += len(use)
                 if size >= HELD:
                     yield from deal(held)
@@ -153,8 +154,7 @@ def _windows(n: int, window: int):
             np.add.at(delta, np.maximum(anchors - (window - width), w.at[w.row[anchors]]), 1)
             np.add.at(delta, anchors + 1, -1)
             use = np.flatnonzero((np.cumsum(delta[:-1]) > 0) & (w.left >= window))
-            check = (w.hashes(1).of(use, use + window) >> np.uint64(32)).astype(np.uint32)
-            parts.append((w.hashes(0).of(use, use + window), check, *w.places(use)))
+            parts.append((*w.hashes().pair(use, use + window), *w.places(use)))
         if not parts:
             return _packed.table(())
         return _packed.table(_first_windows(n, parts))
@@ -197,7 +197,7 @@ def _kept(window: int, keep_text: bool):
             for i in range(block.n):
                 words = block.text(i).split()
                 if lost[i]:
-                    words = compress(words, ~gone[w.at[i] : w.at[i + 1]])
+                    words = itertools.compress(words, ~gone[w.at[i] : w.at[i + 1]])
                 joined = b" ".join(words)
                 sums.append(hashlib.sha256(joined).hexdigest())
                 if keep_text:
