@@ -679,7 +679,7 @@ def test_bytes_are_decided_by_the_suffix_order(monkeypatch):
 
     rng = random.Random(2)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(20, 90))) for _ in range(60)]
-    texts += texts[:20]
+    texts += [*texts[:10], *texts[:10]]
     docs = [rng.randrange(1000) for _ in texts]
     units = np.array([0, 5, 6, 40, 80])
     given_ = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), np.array(docs), units
@@ -690,8 +690,18 @@ def test_bytes_are_decided_by_the_suffix_order(monkeypatch):
     assert bytedup.least_documents(*given_, 20).tolist() == expected
     one = (*given_[:3], np.array([0, 80]))
     together = bytedup.least_documents(*one, 20)
-    monkeypatch.setattr(bytedup, "LONG", 10)
-    assert bytedup.least_documents(*one, 20).tolist() == together.tolist()
+    for k, (t, at) in enumerate(zip(texts, np.cumsum([len(t) - 19 for t in texts]), strict=True)):
+        assert together[at - len(t) + 19 : at].tolist() == [min(d for x, d in zip(texts, docs, strict=True) if t[j : j + 20] in x) for j in range(len(t) - 19)], k
+    # All records of a key, copies beyond the second included, through the runs.
+    keys = np.sort(np.array([rng.randrange(9) for _ in texts], np.uint64))
+    for together_ in (0, 48, 10**9):
+        monkeypatch.setattr(bytedup, "TOGETHER", together_)
+        record, least, begin, end, _ = bytedup._string_documents(keys, given_[2], given_[1], given_[0], 20)
+        got = {}
+        for r, d, lo, hi in zip(record.tolist(), least.tolist(), begin.tolist(), end.tolist(), strict=True):
+            got.setdefault(r, []).extend([d] * (hi - lo))
+        for r, t in enumerate(texts):
+            assert got[r] == [min(d for x, d, k in zip(texts, docs, keys, strict=True) if k == keys[r] and t[j : j + 20] in x) for j in range(len(t) - 19)]
     monkeypatch.setattr(bytedup, "suffix_orders", lambda codes, starts: np.arange(len(codes)))
     assert bytedup.least_documents(*given_, 20).tolist() != expected
 

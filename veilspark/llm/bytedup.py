@@ -10,8 +10,9 @@ over buckets whose number grows with the text:
    are neighbours, compared byte by byte; so each string gets the least document that holds it;
 3. documents drop each byte that a string with a smaller document covers.
 A sender keeps one record a key (1) or stretch (2), with its least document, and finds its own
-documents' runs again in 3, so nothing is sent once an occurrence. A bitmap slot that several
-keys share only makes more keys hot, for all documents alike.
+documents' runs again in 3, so nothing is sent once an occurrence. Of records with one text, two
+are sorted: the one of the least document, and another whose answer holds for the rest. A bitmap
+slot that several keys share only makes more keys hot, for all documents alike.
 
 Defined cases: null or empty text has no bytes; a row without doc_id is not compared and loses
 nothing; rows with the same doc_id are one document; a text shorter than LENGTH loses nothing;
@@ -35,9 +36,8 @@ from veilspark.llm.suffixes import _ranges, suffix_order, suffix_orders
 
 LENGTH, GRAM = 50, 20
 #: (key, document) pairs that a map task holds before it deals them out; bytes of stretches that are
-#: looked at together (more where one key has more); codes that are sorted at once, by keys of at
-#: most LONG: a longer key's are sorted by themselves.
-HELD, SLICE, SORTED, LONG = 1 << 20, 4 << 20, 1 << 19, 1 << 10
+#: looked at together (more where one key has more); bytes hashed and codes sorted at once.
+HELD, SLICE, BLOCK, SORTED, TOGETHER = 1 << 20, 8 << 20, 1 << 20, 1 << 19, 16
 #: Different stretches of a key beyond which it is taken apart, and bits of the bitmap of such keys.
 HOT, HOT_BITS = 20_000, 22
 
@@ -257,7 +257,7 @@ def least_documents(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, units
     codes = np.zeros(len(text) + len(sizes), np.int64)  # 0 parts the records
     codes[np.arange(len(text)) + record] = text.astype(np.int64) + 1
     edge = np.concatenate([[0], ends + np.arange(1, len(sizes) + 1)])[units]
-    if len(edge) == 2 and edge[1] > LONG:
+    if len(edge) == 2:
         order = np.array(suffix_order(codes.tolist()), np.int64)
     else:
         order = suffix_orders(codes, edge)
@@ -276,54 +276,94 @@ def least_documents(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, units
     return answer
 
 
+def _representatives(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, text: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which records stand for all with their text, two at most of each; and the record each one takes its answer from.
+
+    The record of the least document stands for itself, that of the next one for all others.
+    """
+    order = np.lexsort((docs, names, keys))
+    head = np.flatnonzero(_firsts(order, keys, names))
+    many = np.diff(np.append(head, len(order)))
+    nth = np.arange(len(order)) - np.repeat(head, many)
+    second = np.repeat(order[head + np.minimum(many - 1, 1)], many)
+    stands, source = np.ones(len(keys), bool), np.arange(len(keys))
+    more = order[nth > 1]
+    if len(more):
+        like = second[nth > 1]
+        starts = np.cumsum(sizes) - sizes
+        alike = sizes[more] == sizes[like]
+        more, like = more[alike], like[alike]
+        differ = text[_ranges(starts[more], sizes[more])] != text[_ranges(starts[like], sizes[like])]
+        alike = np.add.reduceat(differ, np.cumsum(sizes[more]) - sizes[more]) == 0 if len(more) else alike
+        stands[more[alike]] = False
+        source[more[alike]] = like[alike]
+    return stands, source
+
+
 def _string_documents(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of strings with one least document: record, document, first and last + 1 string; names of the records.
 
     Records of one key are all here and stand together.
     """
-    starts = np.cumsum(sizes) - sizes
-    strings = sizes - length + 1
+    starts, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+    names = np.zeros(len(keys), np.uint64)
+    for lo, hi in _cuts(ends, BLOCK):
+        begin = starts[lo]
+        names[lo:hi] = _text.over_bytes(text[begin : ends[hi - 1]]).of(starts[lo:hi] - begin, ends[lo:hi] - begin)
+    stands, source = _representatives(keys, docs, sizes, text, names)
+    chosen = np.flatnonzero(stands)
+    strings = sizes[chosen] - length + 1
     first = np.cumsum(strings) - strings
-    answer = np.repeat(docs, strings)
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    many = np.diff(np.append(heads, len(keys)))
-    weight = np.add.reduceat(sizes + 1, heads)
+    answer = np.repeat(docs[chosen], strings)
+    heads = np.flatnonzero(np.concatenate([[True], keys[chosen][1:] != keys[chosen][:-1]]))
+    many = np.diff(np.append(heads, len(chosen)))
+    weight = np.add.reduceat(sizes[chosen] + 1, heads)
     # Keys of one record need no order; the others by weight, so that those sorted together take equally long.
     left = np.flatnonzero(many > 1)
     left = left[np.argsort(weight[left], kind="stable")]
-    total = np.cumsum(weight[left])
-    lo = 0
-    while lo < len(left):
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SORTED, side="right"))
-        hi = max(lo + 1, min(hi, lo + int(np.searchsorted(weight[left[lo:]], LONG, side="right"))))
+    for lo, hi in _cuts(np.cumsum(weight[left]), SORTED):
         unit = left[lo:hi]
-        use = _ranges(heads[unit], many[unit])
-        found = least_documents(_gather(text, starts[use], sizes[use]), sizes[use], docs[use], np.concatenate([[0], np.cumsum(many[unit])]), length)
-        answer[_ranges(first[use], strings[use])] = found
-        lo = hi
-    owner = np.repeat(np.arange(len(sizes)), strings)
+        # A step of the common sort costs as much as some TOGETHER codes of a sort by itself.
+        for part in [unit] if weight[unit].sum() >= TOGETHER * weight[unit[-1]] else unit[:, None]:
+            use = _ranges(heads[part], many[part])
+            of = chosen[use]
+            found = least_documents(_gather(text, starts[of], sizes[of]), sizes[of], docs[of], np.concatenate([[0], np.cumsum(many[part])]), length)
+            answer[_ranges(first[use], strings[use])] = found
+    owner = np.repeat(np.arange(len(chosen)), strings)
     new = np.ones(len(answer), bool)
     new[1:] = (answer[1:] != answer[:-1]) | (owner[1:] != owner[:-1])
     run = np.flatnonzero(new)
     begin = run - first[owner[run]]
     end = begin + np.diff(np.append(run, len(answer)))
-    return owner[run], answer[run], begin.astype(np.uint32), end.astype(np.uint32), _text.over_bytes(text).of(starts, starts + sizes)
+    # Each record has the runs of the one it takes its answer from.
+    place = (np.cumsum(stands) - 1)[source]
+    run_at = np.searchsorted(owner[run], np.arange(len(chosen) + 1))
+    each = np.diff(run_at)[place]
+    which = _ranges(run_at[place], each)
+    return np.repeat(np.arange(len(keys)), each), answer[run[which]], begin[which].astype(np.uint32), end[which].astype(np.uint32), names
+
+
+def _cuts(total: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items of about size in all, one item at least; total: running sums."""
+    lo = 0
+    while lo < len(total):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + size, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 def _answers(length: int):
     def reduce(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
         origins, keys, docs, several, sizes, text = _read(payloads)
-        weight = np.cumsum(sizes)
         fresh = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
-        out, lo = [], 0
-        while lo < len(keys):
-            done = weight[lo - 1] if lo else 0
-            hi = int(fresh[np.searchsorted(fresh, max(int(np.searchsorted(weight, done + SLICE, side="right")), lo + 1))])  # up to the next key
-            record, least, begin, end, names = _string_documents(keys[lo:hi], docs[lo:hi], sizes[lo:hi], text[done : weight[hi - 1]], length)
+        weight = np.cumsum(sizes)
+        out = []
+        for a, b in _cuts(weight[fresh[1:] - 1], SLICE):  # whole keys
+            lo, hi = int(fresh[a]), int(fresh[b])
+            record, least, begin, end, names = _string_documents(keys[lo:hi], docs[lo:hi], sizes[lo:hi], text[weight[lo] - sizes[lo] : weight[hi - 1]], length)
             use = (least < docs[lo + record]) | (several[lo + record] > 0)
             record = record[use]
             out.append((origins[lo + record], names[record], least[use], begin[use], end[use]))
-            lo = hi
         yield from _packed.dealt(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     return reduce
