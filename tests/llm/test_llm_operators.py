@@ -557,7 +557,7 @@ def test_isolation_forest_finds_the_odd_rows():
 # 8
 
 
-def naive_lines(rows, windows=(1, 1, 1, 2)):
+def naive_lines(rows, windows=(1, 1, 1, 1, 1, 2)):
     chunked = []
     for i, t in rows:
         parts = t.split("\n") if t is not None else []
@@ -619,7 +619,7 @@ def test_lines_of_planted_passages(spark):
                 passages[len(rows)] = passage
                 rows.append((len(rows), "\n".join([*(line() for _ in range(5)), *passage, *(line() for _ in range(5))])))
     out = by_id(lines.remove_repeated_chunks(frame(spark, rows)))
-    for size, least in ((4, 0.4), (6, 0.6), (8, 0.7), (12, 0.75)):
+    for size, least in ((4, 0.55), (6, 0.7), (8, 0.8), (12, 0.85)):
         lost = sum(out[i]["n_removed"] for i, p in passages.items() if len(p) == size)
         assert least < lost / 60 / size < 1
     for i, p in passages.items():

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import _tables
 
-WINDOWS = (1, 1, 1, 2)
+WINDOWS = (1, 1, 1, 1, 1, 2)
 
 
 def _ends(level: int, window: int) -> str:

@@ -113,8 +113,7 @@ WITH lines AS (
 hashed AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h FROM lines),
 rolled AS (SELECT doc_id, i, line, h, xor(h, coalesce(lag(h, 1) OVER (PARTITION BY doc_id ORDER BY i), 0) << 1) AS h2 FROM hashed),
 levels AS (
-  SELECT doc_id, i, line, 0 AS lv, (h >> 20) & 1 = 0 AS ends FROM rolled UNION ALL SELECT doc_id, i, line, 1, (h >> 21) & 1 = 0 FROM rolled
-  UNION ALL SELECT doc_id, i, line, 2, (h >> 22) & 1 = 0 FROM rolled UNION ALL SELECT doc_id, i, line, 3, (h2 >> 23) & 1 = 0 FROM rolled),
+  SELECT doc_id, i, line, lv, ((CASE WHEN lv = 5 THEN h2 ELSE h END) >> (20 + lv)) & 1 = 0 AS ends FROM rolled, (SELECT unnest(range(6)) AS lv)),
 numbered AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, lv ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM levels),
 chunks AS (SELECT doc_id, min(i) AS place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, lv, part HAVING count(*) > 1),
 judged AS (SELECT doc_id, place, n, dense_rank() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM chunks),
