@@ -266,3 +266,31 @@ def test_published_clusters_stay():
     assert few._reuse(Item("x", {"v": 0.25})) is None and [x[0] for x in few.s.published] == [9997, 9998, 9999, 20_001, 20_002]
     assert len(full(outlier="most_used").s.published) == 10_002
     assert CastleConfig.from_properties("published=7").published == 7
+
+
+def test_yaml_and_pipeline_values():
+    from veilspark.config import PipelineConfig, parse_yaml
+
+    text = "# settings\ndata:\n  type: \"ev\"  # kind\n  delay: 0.3\nfields:\n  - kwh\n  - power\nlist: [a, 'b']\n"
+    assert parse_yaml(text) == {"data.type": "ev", "data.delay": "0.3", "fields": "kwh,power", "list": "a,b"}
+    config = PipelineConfig.from_yaml("algorithm: doca-alt\nanonymized_fields: [kwh, power]\ninput-topic: in\nenable-metrics: false")
+    assert config.algorithm == "doca-alt" and config.anonymized_fields == ("kwh", "power") and config.source == "in" and not config.metrics
+
+
+def test_held_tuples_can_be_bounded():
+    from veilspark.config import DocaConfig
+    from veilspark.streaming.castle import Item
+    from veilspark.streaming.doca import Doca
+
+    core = Doca(DocaConfig(delta=0.5, held=10, window=1000))
+    for i in range(50):
+        assert core.push(Item(str(i), {"kwh": float(i)})) == []
+    assert len(core.s.held) == 10 and core.s.suppressed == 40
+
+
+def test_day_seed():
+    import datetime
+
+    from veilspark.operators.forecast import day_seed
+
+    assert day_seed(datetime.datetime(2024, 2, 1)) == 32 and 1 <= day_seed() <= 366

@@ -1,13 +1,16 @@
 """All registered queries of the engine against their SQL; adapters, messages, sources."""
 
+import dataclasses
+import json
 import os
+import time
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.config import CastleConfig, DocaConfig
+from veilspark.config import CastleConfig, DocaConfig, PipelineConfig
 from veilspark.functions import noise
 from veilspark.operators import clusters, domain, forecast, measure, messages, sequence
 from veilspark.plans import queries as plans
@@ -151,7 +154,7 @@ def test_history_goes_on(spark):
     rows = spark.createDataFrame([(5,), (3,)], "t long")
     first = tables.append_history(None, rows, "t")
     assert sorted((r["t"], r["seq"]) for r in first.collect()) == [(3, 1), (5, 2)]
-    assert sorted(r["seq"] for r in tables.append_history(first, rows, "t").collect()) == [3, 4]
+    assert sorted(r["seq"] for r in tables.append_history(first, rows, "t", slice_of=F.floor(F.col("t") / 4)).collect()) == [3, 4]
 
 
 def test_generators(spark):
@@ -205,3 +208,78 @@ def test_hashed_laplace_has_its_scale(spark):
 def test_plan_reads_only_needed_columns(spark, sf):
     plan = plans.k_size(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan
+
+
+def test_messages_with_keys_and_times(spark):
+    rows = spark.createDataFrame([("a", 1.5)], "ae_session_id string, kwh double")
+    got = tables.produced(rows, "ae_session_id").first()
+    value = json.loads(got["value"])
+    assert got["key"] == "a" and value["kwh"] == 1.5 and abs(value["producer_timestamp"] / 1000 - time.time()) < 600
+
+
+def test_pipeline_passes_fields_through(spark):
+    rows = spark.createDataFrame([(f'{{"id": "{i}", "t": {i}, "v": {i * 1.5}, "w": 2, "name": "n{i}", "ok": true}}',) for i in range(30)] + [("nonsense",), (None,)], "value string")
+    base = "anonymized_fields=v,w\nid=id\norder=t\nalgorithm="
+    for algorithm, config in (("castleguard", CastleConfig(k=2, l=1, delta=3, headers=("v", "w"))), ("doca", DocaConfig(delay=3, headers=("v", "w"))), ("doca-alt", None)):
+        pipeline = PipelineConfig.from_properties(base + algorithm)
+        assert type(adapters.by_name(pipeline)).__name__ == {"castleguard": "CastleConfig", "doca": "DocaConfig", "doca-alt": "DocaAltConfig"}[algorithm]
+        out = [json.loads(r["value"]) for r in adapters.piped(rows, "value", pipeline, config, flush=True).collect()]
+        assert len(out) > 20 and list(out[0])[:3] == ["id", "v", "w"]
+        assert all(x["name"] == f"n{x['id']}" and x["t"] == x["id"] and x["ok"] == "true" for x in out)
+        assert algorithm == "castleguard" or len(out) == 30
+    with pytest.raises(Exception, match="missing"):
+        adapters.piped(rows, "value", PipelineConfig(anonymized_fields=("none",), id="id", order="t")).collect()
+
+
+def test_a_stream_through_the_pipeline(spark, tmp_path):
+    rows = spark.createDataFrame([(f'{{"id": "{i}", "t": {i}, "v": {i % 7}.5, "name": "n{i}"}}',) for i in range(40)], "value string")
+    rows.coalesce(1).write.text(str(tmp_path / "in"))
+    pipeline = PipelineConfig(anonymized_fields=("v",), id="id", order="t")
+    config = CastleConfig(k=2, l=1, delta=5, headers=("v",))
+    source = tables.stream(spark, "text", str(tmp_path / "in"), "value string")
+    tables.write_stream(adapters.piped(source, "value", pipeline, config), "parquet", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    batch = adapters.piped(rows, "value", pipeline, config)
+    assert canonical(spark.read.parquet(str(tmp_path / "out")).collect()) == canonical(batch.collect())
+
+
+def test_k_counts_individuals(spark):
+    rows = spark.createDataFrame([(i, float(i), "one", str(i)) for i in range(9)] + [(10 + i, float(i), f"p{i}", str(i)) for i in range(9)], "i long, v double, pid string, s string")
+    config = CastleConfig(k=3, l=1, delta=2, headers=("v",), beta=1)
+    run = lambda df, **more: adapters.anonymise_batch(adapters.prepared(df, dataclasses.replace(config, **more), "_", "i", "i", "s", "pid"), dataclasses.replace(config, **more), flush=True)
+    same = rows.where("i < 9").withColumn("_", F.lit("a"))
+    assert run(same).count() == 0 and run(same, shipped=True, l=1).count() == 9
+    out = run(rows.withColumn("_", F.lit("a"))).join(rows.select(F.col("i").cast("string").alias("id"), "pid"), "id")
+    assert out.count() > 0 and out.groupBy("cluster").agg(F.countDistinct("pid").alias("n")).where("n < 3").count() == 0
+
+
+def test_metrics_as_csv_and_state_that_is_forgotten(spark, tmp_path):
+    folder = tmp_path / "in"
+    for part, rows in enumerate(([("a", "p", 1), ("a", "q", 2)], [("b", "p", 3)])):
+        spark.createDataFrame(rows, "id string, stage string, at long").coalesce(1).write.mode("append").parquet(str(folder))
+        os.utime(max(folder.glob("*.parquet"), key=os.path.getmtime), (1000 + part, 1000 + part))
+    source = tables.stream(spark, "parquet", str(folder), "id string, stage string, at long", files_per_trigger=1)
+    done = adapters.complete_stream(source, ["p", "q"], ["p"], 50)
+    tables.write_stream_csv(done, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = tables.read(spark, "csv", str(tmp_path / "out" / "*"), "id string, seen long, complete boolean, p long, q long").collect()
+    assert [tuple(r) for r in got] == [("a", 2, True, 1, 2)]
+
+
+def test_observed_ranges_and_scratch(spark, monkeypatch):
+    rows, seen = tables.observed(spark.range(5).selectExpr("cast(id as double) v"), "ranges", ["v"])
+    rows.collect()
+    assert seen.get == {"lo_v": 0.0, "hi_v": 4.0}
+    assert tables.scratch(spark, "x") != tables.scratch(spark, "x")
+
+
+def test_cumulative_in_slices(spark):
+    rows = spark.createDataFrame([(t,) for t in (-3, -3, 0, 5, 17, 17, 40)], "t long")
+    for size in (1, 7, 4096):
+        got = [(r["tick"], r["total"]) for r in measure.cumulative(rows, F.col("t"), size).orderBy("tick").collect()]
+        assert [t for t, _ in got] == list(range(-3, 41)) and dict(got)[-3] == 2 and dict(got)[16] == 4 and dict(got)[17] == 6 and got[-1] == (40, 7)
+    assert measure.cumulative(rows.where("false"), F.col("t")).count() == 0
+
+
+def test_truncated_normal(spark):
+    u = lambda k: (noise.hashed_uniform(f"u{k}", F.col("id")), noise.hashed_uniform(f"v{k}", F.col("id")))
+    got = spark.range(20000).select(noise.truncated_normal([u(k) for k in range(4)], 0.0, 1.0, 0.0).alias("x")).agg(F.avg("x").alias("m"), F.min("x").alias("lo"), F.avg((F.col("x") == 0).cast("int")).alias("zero")).first()
+    assert abs(got["m"] - 0.798) < 0.07 and got["lo"] >= 0 and got["zero"] < 0.1

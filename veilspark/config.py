@@ -18,6 +18,38 @@ def parse_properties(text: str) -> dict[str, str]:
     return out
 
 
+def parse_yaml(text: str) -> dict[str, str]:
+    """A flat or nested mapping of scalars and lists in YAML, as key=value texts; nested keys are joined by points, lists by commas.
+
+    Block mappings, block lists and [a, b] lists are read; comments are skipped.
+    """
+    out: dict[str, str] = {}
+    path: list[tuple[int, str]] = []
+    for line in text.splitlines():
+        bare = line.split(" #")[0].rstrip() if not line.lstrip().startswith("#") else ""
+        if not bare.strip() or bare.strip() == "---":
+            continue
+        depth, body = len(bare) - len(bare.lstrip()), bare.strip()
+        if body.startswith("- "):
+            name = ".".join(x for _, x in path)
+            out[name] = ",".join(x for x in (out.get(name, ""), _scalar(body[2:])) if x)
+            continue
+        key, _, value = body.partition(":")
+        while path and path[-1][0] >= depth:
+            path.pop()
+        path.append((depth, _scalar(key)))
+        if value.strip():
+            value = value.strip()
+            listed = value.startswith("[") and value.endswith("]")
+            out[".".join(x for _, x in path)] = ",".join(map(_scalar, value[1:-1].split(","))) if listed else _scalar(value)
+    return out
+
+
+def _scalar(text: str) -> str:
+    text = text.strip()
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text
+
+
 def _typed(cls, values: Mapping[str, str], names: Mapping[str, str]):
     known, out = {f.name: f for f in fields(cls)}, {}
     for key, value in values.items():
@@ -61,6 +93,7 @@ class CastleConfig:
     outlier: str = "suppress"
     seed: int = 0
     published: int = 0  # newest published clusters that a key keeps for reuse; 0: all
+    # k counts individuals (pids); tuples without pid are one each. shipped counts tuples.
     shipped: bool = False  # the defaults' observed behaviour instead of the described one
 
     def __post_init__(self) -> None:
@@ -90,6 +123,7 @@ class DocaConfig:
     window: int = 200
     spread: float = 0.8
     history: int = 80
+    held: int = 0  # newest tuples that wait for a stable domain, older ones are suppressed; 0: all wait
     headers: tuple[str, ...] = ("kwh",)
     weights: tuple[float, ...] = ()
     seed: int = 0
@@ -106,6 +140,21 @@ class DocaConfig:
         return _typed(DocaConfig, parse_properties(text), {"delay_constraint": "delay"})
 
 
+@dataclass(frozen=True)
+class DocaAltConfig:
+    """Uniform noise of width 1 / eps on every field, for histories that are given as a whole."""
+
+    eps: float = 200.0
+    headers: tuple[str, ...] = ("kwh",)
+    weights: tuple[float, ...] = ()
+    seed: int = 0
+
+    def __post_init__(self) -> None:
+        if self.eps <= 0 or not self.headers:
+            raise ValueError("eps is positive and headers are named")
+        weights_of(self.headers, self.weights)
+
+
 @dataclass(frozen=True)
 class PipelineConfig:
     """Where messages come from and go to, which fields are anonymised, by what."""
@@ -116,6 +165,9 @@ class PipelineConfig:
     anonymized_fields: tuple[str, ...] = ("kwh",)
     weights: tuple[float, ...] = field(default=())
     metrics: bool = True
+    id: str = "ae_session_id"
+    key: str = ""  # field whose values are anonymised apart; none: all messages together
+    order: str = "producer_timestamp"
 
     def __post_init__(self) -> None:
         if self.algorithm not in ("castleguard", "doca", "doca-alt"):
@@ -124,4 +176,12 @@ class PipelineConfig:
 
     @staticmethod
     def from_properties(text: str) -> PipelineConfig:
-        return _typed(PipelineConfig, parse_properties(text), {"input-topic": "source", "output-topic": "sink", "enable-metrics": "metrics", "prioritization": "weights"})
+        return PipelineConfig.from_values(parse_properties(text))
+
+    @staticmethod
+    def from_yaml(text: str) -> PipelineConfig:
+        return PipelineConfig.from_values(parse_yaml(text))
+
+    @staticmethod
+    def from_values(values: Mapping[str, str]) -> PipelineConfig:
+        return _typed(PipelineConfig, values, {"input-topic": "source", "output-topic": "sink", "enable-metrics": "metrics", "prioritization": "weights"})

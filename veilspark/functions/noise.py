@@ -7,6 +7,7 @@ secret where results are published.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,9 +25,16 @@ def laplace(u: Column, scale: Column | float) -> Column:
     return F.when(u < 0.5, scale * F.log(F.lit(2.0) * u)).otherwise(-scale * F.log(F.lit(2.0) * (F.lit(1.0) - u)))
 
 
-def normal(u: Column, v: Column, mean: float = 0.0, deviation: float = 1.0) -> Column:
+def normal(u: Column, v: Column, mean: Column | float = 0.0, deviation: Column | float = 1.0) -> Column:
     """Normal draw from two uniform ones."""
-    return F.lit(mean) + F.lit(deviation) * F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
+    mean, deviation = (x if isinstance(x, Column) else F.lit(float(x)) for x in (mean, deviation))
+    return mean + deviation * F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
+
+
+def truncated_normal(draws: Sequence[tuple[Column, Column]], mean: Column | float, deviation: Column | float, least: float) -> Column:
+    """The first of several normal draws that is least at least; least itself where none is."""
+    tried = [normal(u, v, mean, deviation) for u, v in draws]
+    return F.coalesce(*(F.when(x >= least, x) for x in tried), F.lit(float(least)))
 
 
 def pick(u: Column, values: list) -> Column:

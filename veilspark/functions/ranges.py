@@ -36,6 +36,20 @@ def enlargement(of: Sequence[Range], more: Sequence[Range], whole: Sequence[Rang
     return (cluster_loss(grown, whole, weights) - cluster_loss(of, whole, weights)) / F.lit(float(len(of)))
 
 
+def loss_with(of: Sequence[Range], more: Sequence[Range], whole: Sequence[Range], weights: Sequence[float] | None = None) -> Column:
+    """Loss after joining a cluster's ranges or a tuple's (t, t)."""
+    return cluster_loss([hull(a, b) for a, b in zip(of, more, strict=True)], whole, weights)
+
+
+def safe_divide(a: Column, b: Column) -> Column:
+    """a / b by elements of two arrays; 0 where b is 0."""
+    return F.zip_with(a, b, lambda x, y: F.coalesce(F.try_divide(x.cast("double"), y.cast("double")), F.lit(0.0)))
+
+
+def array_total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+
 def raw_enlargement(of: Sequence[Range], values: Sequence[Column]) -> Column:
     """How far the values lie outside the ranges, neither weighted nor normalised."""
     zero = F.lit(0.0)
@@ -47,8 +61,12 @@ def distance(of: Sequence[Range], values: Sequence[Column]) -> Column:
     return total([F.abs(v - F.abs(hi - lo)) for (lo, hi), v in zip(of, values, strict=True)])
 
 
+def every(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
 def within(of: Sequence[Range], values: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [v.between(lo, hi) for (lo, hi), v in zip(of, values, strict=True)])
+    return every([v.between(lo, hi) for (lo, hi), v in zip(of, values, strict=True)])
 
 
 def midpoint(of: Range) -> Column:

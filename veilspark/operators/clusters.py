@@ -82,8 +82,13 @@ def first_bounding(tuples: DataFrame, published: DataFrame, keys: list[str], hea
     """The least number of a published cluster of the same keys whose ranges hold the tuple; tuples without one are left out.
 
     A range join on keys; published clusters are bounded by configuration or calendar, so Spark
-    broadcasts them where they are small and splits hot keys where they are not.
+    broadcasts them where they are small and splits hot keys where they are not. A cluster inside
+    an earlier one of its keys is never first and is left out before the join.
     """
+    first = W.partitionBy(*keys).orderBy(number).rowsBetween(W.unboundedPreceding, -1)
+    held = [F.collect_list(F.struct(*(f"{p}_{h}" for h in headers for p in ("lo", "hi")))).over(first).alias("_earlier")]
+    inside = F.exists("_earlier", lambda c: ranges.every([(c[f"lo_{h}"] <= F.col(f"lo_{h}")) & (F.col(f"hi_{h}") <= c[f"hi_{h}"]) for h in headers]))
+    published = published.select("*", *held).where(~inside).drop("_earlier")
     joined = tuples.join(published, keys).where(before & ranges.within([(F.col(f"lo_{h}"), F.col(f"hi_{h}")) for h in headers], [F.col(h) for h in headers]))
     return joined.groupBy(id).agg(F.min(number).alias(name))
 
@@ -93,5 +98,6 @@ def quota_sample(df: DataFrame, bucket: str, order: list[Column], k: int) -> Dat
     sizes = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
     whole = df.agg(F.count(F.lit(1)).alias("_all"))
     quota = sizes.crossJoin(F.broadcast(whole)).select(bucket, F.greatest(F.floor(F.lit(k) * F.col("_n") / F.col("_all")), F.lit(1)).alias("quota"))
-    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(bucket).orderBy(*order)))
+    # No quota is above k, so Spark keeps k rows a bucket in each task before it shuffles.
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(bucket).orderBy(*order))).where(F.col("rank") <= max(k, 1))
     return ranked.join(quota, bucket).where("rank <= quota")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veilspark.operators.sequence import numbered
+
 
 def difference(original: DataFrame, anonymised: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Rows of original with a match in anonymised, the first by order: key and noise = theirs - ours."""
@@ -47,11 +51,50 @@ def complete(df: DataFrame, key: str, stage: str, stages: list[str], required: l
     return out.where((F.col("_all") == 1) | ((F.col("_required") == 1) & (F.col("seen") >= patience))).select(key, "seen", (F.col("_all") == 1).alias("complete"))
 
 
-def cumulative(df: DataFrame, tick: Column) -> DataFrame:
-    """tick (an integer), events up to and including it; every tick between the first and the last has a row."""
+def cumulative(df: DataFrame, tick: Column, slice_ticks: int = 4096) -> DataFrame:
+    """tick (an integer), events up to and including it; every tick between the first and the last has a row.
+
+    Ticks are summed up within slices of slice_ticks, and shifted by the totals of earlier slices:
+    the one task that sums all sees a row a slice.
+    """
     counted = df.groupBy(tick.cast("long").alias("tick")).agg(F.count(F.lit(1)).alias("_n"))
-    axis = counted.agg(F.explode(F.sequence(F.min("tick"), F.max("tick"))).alias("tick"))
-    return axis.join(counted, "tick", "left").select("tick", F.sum(F.coalesce("_n", F.lit(0))).over(W.orderBy("tick").rowsBetween(W.unboundedPreceding, 0)).alias("total"))
+    cut = lambda c: F.floor(c / F.lit(slice_ticks)).cast("long")
+    ends = counted.agg(F.min("tick").alias("_first"), F.max("tick").alias("_last"))
+    slices = ends.select("_first", "_last", F.explode(F.sequence(cut(F.col("_first")), cut(F.col("_last")))).alias("_slice"))
+    sums = counted.groupBy(cut(F.col("tick")).alias("_slice")).agg(F.sum("_n").alias("_all"))
+    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.join(sums, "_slice", "left").withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    lo, hi = F.greatest(F.col("_first"), F.col("_slice") * slice_ticks), F.least(F.col("_last"), (F.col("_slice") + 1) * slice_ticks - 1)
+    axis = slices.repartition("_slice").select("_slice", "_before", F.explode(F.sequence(lo, hi)).alias("tick"))
+    within = W.partitionBy("_slice").orderBy("tick").rowsBetween(W.unboundedPreceding, 0)
+    return axis.join(counted, "tick", "left").select("tick", (F.sum(F.coalesce("_n", F.lit(0))).over(within) + F.col("_before")).alias("total"))
+
+
+def latencies(df: DataFrame, id: str, spans: dict[str, tuple[str, str]]) -> DataFrame:
+    """Seconds between two stage times (epoch milliseconds) by name, for each id."""
+    return df.select(id, *(((F.col(b) - F.col(a)) / F.lit(1000.0)).alias(name) for name, (a, b) in spans.items()))
+
+
+def rate(seconds: Column) -> Column:
+    """Messages in 1000 of the time that one takes; null for none."""
+    return F.try_divide(F.lit(1000.0), seconds)
+
+
+def attached(pipe: DataFrame, consumer: DataFrame, id: str, column: str) -> DataFrame:
+    """pipe's rows with a column of the consumer's row of the same id, the first of several; null without one."""
+    first = consumer.groupBy(id).agg(F.min(column).alias(column))
+    return pipe.join(first, id, "left")
+
+
+def automatic_histogram(df: DataFrame, value: str) -> DataFrame:
+    """As histogram(), with ceil(log2 n) + 1 bins for n values."""
+    n = df.where(F.col(value).isNotNull()).count()
+    return histogram(df, value, max(1, math.ceil(math.log2(n)) + 1) if n else 1)
+
+
+def bin_label(lo: Column, hi: Column) -> Column:
+    """"lo - hi" with two decimals."""
+    return F.format_string("%.2f - %.2f", lo, hi)
 
 
 def resampled(df: DataFrame, seconds: Column, value: str, days: int = 20) -> DataFrame:
@@ -65,7 +108,6 @@ def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(p.alias("_p")).select(*keys, F.col("_p")[0].alias("q1"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("q3"))
 
 
-def aligned(df: DataFrame, run: str, runs: list, order: list[str], value: str) -> DataFrame:
-    """Several runs side by side: row number, one column a run."""
-    ranked = df.withColumn("nth", F.row_number().over(W.partitionBy(run).orderBy(*order)))
-    return ranked.groupBy("nth").pivot(run, runs).agg(F.first(value))
+def aligned(df: DataFrame, run: str, runs: list, order: list[str], value: str, slice_of: Column | None = None) -> DataFrame:
+    """Several runs side by side: row number, one column a run. With slice_of runs are numbered slice by slice (sequence.numbered)."""
+    return numbered(df, [run], order, "nth", slice_of).groupBy("nth").pivot(run, runs).agg(F.first(value))

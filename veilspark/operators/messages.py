@@ -22,6 +22,30 @@ def passed_through(message: Column, fields: list[str]) -> Column:
     return F.map_filter(whole, lambda k, _: ~k.isin(*fields)) if fields else whole
 
 
+def projected(item: Column, headers: list[str]) -> list[Column]:
+    """Output columns of a map of values: a missing header is 0."""
+    return [F.coalesce(F.try_element_at(item, F.lit(h)).cast("double"), F.lit(0.0)).alias(h) for h in headers]
+
+
+def edited(item: Column, drop: list[str] | None = None, put: dict[str, Column] | None = None) -> Column:
+    """A map of values without some headers, and with others set or added."""
+    out = F.map_filter(item, lambda k, _: ~k.isin(*drop)) if drop else item
+    if put:
+        out = F.map_filter(out, lambda k, _: ~k.isin(*put))
+        out = F.map_concat(out, F.create_map(*(x for k, v in put.items() for x in (F.lit(k), v))))
+    return out
+
+
+def without_ids(rows: DataFrame, gone: DataFrame, id: str) -> DataFrame:
+    """rows but those whose id is among gone's; rows without an id stay."""
+    return rows.join(gone.select(id).distinct(), id, "left_anti")
+
+
+def chosen(rows: DataFrame, id: str, value: str = "kwh") -> DataFrame:
+    """The id and one numeric field of the user's choice, as columns id and value."""
+    return rows.select(F.col(id).alias("id"), F.col(value).cast("double").alias("value"))
+
+
 def quarantined(df: DataFrame, message: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose message parses (column parsed), and the rows whose does not."""
     marked = df.withColumn("parsed", F.from_json(message, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))

@@ -6,16 +6,17 @@ value, (ts, event_id) the arrival order. Doubles are rounded to 6 digits on both
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.config import CastleConfig, DocaConfig
+from veilspark.config import CastleConfig, DocaConfig, PipelineConfig
 from veilspark.functions import noise, ranges
 from veilspark.operators import clusters, domain, forecast, measure, messages, sequence
-from veilspark.sources import generators
+from veilspark.sources import generators, tables
 from veilspark.sources.tables import table
 from veilspark.streaming import adapters
 
@@ -161,6 +162,17 @@ def tuple_enlargement(spark: SparkSession, d: str) -> DataFrame:
     return with_whole(following_tuple(spark, d), spark, d).select("user_id", "grp", "v", r6(ranges.enlargement(_of(), [(v, v)], _whole()), "enlargement"))
 
 
+@query(f"""WITH {_CLUSTERS}, {_WHOLE}, {_NEXT} SELECT user_id, grp, round((greatest(hi, v) - least(lo, v)) / (ghi - glo), 6) AS loss, round((2.0 * (greatest(hi, v) - least(lo, v)) / (ghi - glo) + 0.5 * n / n), 6) AS weighted,
+  CAST(CASE WHEN n - {BLOCK} = 0 THEN 0.0 ELSE n / (n - {BLOCK}) END AS DOUBLE) AS divided, CAST(n + diversity AS DOUBLE) AS total FROM cl JOIN nxt USING (user_id, grp), whole""")
+def loss_given_tuple(spark: SparkSession, d: str) -> DataFrame:
+    """Loss of a cluster with the tuple that follows it; the same by weight with a second header; division by 0 is 0."""
+    v, whole = F.col("v"), (F.lit(0.0), F.lit(1.0))
+    rows = with_whole(following_tuple(spark, d), spark, d)
+    two = [*_of(), (F.lit(0.0), F.lit(0.5))], [(v, v), (F.lit(0.25), F.lit(0.25))], [*_whole(), whole]
+    divided = ranges.safe_divide(F.array("n"), F.array(F.col("n") - BLOCK))[0]
+    return rows.select("user_id", "grp", r6(ranges.loss_with(_of(), [(v, v)], _whole()), "loss"), r6(ranges.loss_with(*two, weights=[2.0, 1.0]), "weighted"), divided.alias("divided"), ranges.array_total(F.array("n", "diversity")).alias("total"))
+
+
 @query(f"WITH {_CLUSTERS}, {_WHOLE} SELECT a.user_id, a.grp, round((greatest(a.hi, b.hi) - least(a.lo, b.lo) - (a.hi - a.lo)) / (ghi - glo), 6) AS enlargement FROM cl a JOIN cl b ON a.user_id = b.user_id AND b.grp = a.grp + 1, whole")
 def cluster_enlargement(spark: SparkSession, d: str) -> DataFrame:
     made = event_clusters(spark, d)
@@ -198,15 +210,17 @@ def available_pids(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).join(used, "user_id", "left_anti").select("event_id", "user_id", "value")
 
 
-@query("""WITH cl AS (SELECT l_linenumber AS c, min(l_quantity) AS lo1, max(l_quantity) AS hi1, min(l_tax) AS lo2, max(l_tax) AS hi2 FROM lineitem GROUP BY 1),
+@query("""WITH cl AS (SELECT l_suppkey AS c, min(l_quantity) AS lo1, max(l_quantity) AS hi1, min(l_tax) AS lo2, max(l_tax) AS hi2 FROM lineitem GROUP BY 1),
 t AS (SELECT DISTINCT l_quantity AS q, l_tax AS x FROM lineitem),
 m AS (SELECT q, x, c, abs(q - abs(hi1 - lo1)) + abs(x - abs(hi2 - lo2)) AS dist, row_number() OVER (PARTITION BY q, x ORDER BY abs(q - abs(hi1 - lo1)) + abs(x - abs(hi2 - lo2)), c) AS nth FROM t, cl)
-SELECT q AS l_quantity, x AS l_tax, c AS nearest, round(dist, 6) AS distance FROM m WHERE nth = 1""")
+SELECT l_orderkey, l_linenumber, c AS nearest, round(dist, 6) AS distance FROM lineitem JOIN m ON q = l_quantity AND x = l_tax WHERE nth = 1""")
 def nearest_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """Every order line's nearest of the suppliers' ranges; equal values are measured once."""
     rows = table(spark, d, "lineitem")
-    made = clusters.summarised(rows, ["l_linenumber"], ["l_quantity", "l_tax"])
-    found = clusters.nearest(rows.select("l_quantity", "l_tax").distinct(), made, ["l_quantity", "l_tax"], "l_linenumber")
-    return found.select("l_quantity", "l_tax", "nearest", r6(F.col("distance"), "distance"))
+    made = clusters.summarised(rows, ["l_suppkey"], ["l_quantity", "l_tax"])
+    found = clusters.nearest(rows.select("l_quantity", "l_tax").distinct(), made, ["l_quantity", "l_tax"], "l_suppkey")
+    found = rows.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax").join(found, ["l_quantity", "l_tax"])
+    return found.select("l_orderkey", "l_linenumber", "nearest", r6(F.col("distance"), "distance"))
 
 
 # Running ranges, quantiles, domains.
@@ -342,13 +356,16 @@ def compare_noise_hist(spark: SparkSession, d: str) -> DataFrame:
     return measure.histogram(compared, "noise").select("bin", "n")
 
 
-@query(f"WITH a AS (SELECT event_id, value, {_NOISED} AS noised FROM events WHERE event_type = 'click') SELECT event_id, round(value, 6) AS input, round(noised, 6) AS output FROM a")
+_PAIR = _laplace_sql(_u_sql("42|pair", "md5('42|id|' || event_id)"), "1.0")
+
+
+@query(f"SELECT md5('42|id|' || event_id) AS ae_session_id, round(value, 6) AS input, round(value + ({_PAIR}), 6) AS output FROM events")
 def dual_topics(spark: SparkSession, d: str) -> DataFrame:
-    """The same row sent to two topics, one with noise, brought together again by id."""
-    clicks = events(spark, d).where("event_type = 'click'")
-    sent = clicks.withColumn("value", F.col("value") + noise.laplace(_u("laplace", "event_id"), 1.0 / PHI))
-    both = measure.difference(clicks, sent, "event_id", "value", "ts").join(clicks.select("event_id", "value"), "event_id")
-    return both.select("event_id", r6(F.col("value"), "input"), r6(F.col("value") + F.col("noise"), "output"))
+    """Every row sent to two topics, one with noise, and brought together again by id."""
+    rows = events(spark, d).select(F.md5(F.concat_ws("|", F.lit(f"{SEED}|id"), F.col("event_id").cast("string"))).alias("ae_session_id"), F.col("value").alias("kwh"), "ts")
+    one, two = generators.noised_pair(rows, SEED)
+    both = measure.difference(one, two, "ae_session_id", "kwh", "ts").join(one.select("ae_session_id", "kwh"), "ae_session_id")
+    return both.select("ae_session_id", r6(F.col("kwh"), "input"), r6(F.col("kwh") + F.col("noise"), "output"))
 
 
 @query("""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
@@ -392,15 +409,41 @@ def latency_quartiles(spark: SparkSession, d: str) -> DataFrame:
     return measure.quartiles(head, ["o_orderpriority"], "days").select("o_orderpriority", *(F.round(c, 6).alias(c) for c in ("q1", "median", "q3")))
 
 
+_MOMENTS = "moments AS (SELECT l_orderkey AS id, l_linenumber AS line, epoch_ms(o_orderdate) AS producer, epoch_ms(o_orderdate) + 60000 * l_linenumber AS pipe_entry, epoch_ms(l_shipdate) AS pipe_exit, min(epoch_ms(l_shipdate) + CAST(1000 * l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey, l_linenumber) AS consumer FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query(f"WITH {_MOMENTS} SELECT id, line, round((pipe_exit - pipe_entry) / 1000.0, 6) AS pipe, round((consumer - producer) / 1000.0, 6) AS e2e, round(1000.0::DOUBLE / nullif((pipe_exit - pipe_entry) / 1000.0::DOUBLE, 0), 12) AS throughput FROM moments")
+def stage_latencies(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds in the pipe and from end to end, and the throughput they stand for; the consumer's times come from a table of their own, the first of an id."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    rows = table(spark, d, "lineitem").join(orders, "l_orderkey").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    ms = lambda c: seconds(c) * 1000
+    pipe = rows.select("id", F.col("l_orderkey"), F.col("l_linenumber"), ms("o_orderdate").alias("producer"), (ms("o_orderdate") + 60000 * F.col("l_linenumber")).alias("pipe_entry"), ms("l_shipdate").alias("pipe_exit"))
+    consumer = rows.select("id", (ms("l_shipdate") + (1000 * F.col("l_quantity")).cast("long")).alias("consumer"))
+    whole = measure.attached(pipe, consumer, "id", "consumer")
+    took = measure.latencies(whole, "id", {"pipe": ("pipe_entry", "pipe_exit"), "e2e": ("producer", "consumer")})
+    parts = F.split("id", "-")
+    return took.select(parts[0].cast("long").alias("id"), parts[1].cast("int").alias("line"), r6(F.col("pipe"), "pipe"), r6(F.col("e2e"), "e2e"), F.round(measure.rate(F.col("pipe")), 12).alias("throughput"))
+
+
+@query("""WITH e AS (SELECT min(value) AS lo, max(value) AS hi, CAST(ceil(log2(count(value))) + 1 AS BIGINT) AS bins FROM events),
+c AS (SELECT least(CAST(floor((value - lo) / ((hi - lo) / bins)) AS BIGINT), bins - 1) AS bin, count(*) AS n FROM events, e GROUP BY 1)
+SELECT bin, format('{:.2f} - {:.2f}', lo + bin * ((hi - lo) / bins), lo + (bin + 1) * ((hi - lo) / bins)) AS label, n FROM c, e""")
+def automatic_bins(spark: SparkSession, d: str) -> DataFrame:
+    """The distribution of all values in as many bins as their number asks for, labelled."""
+    return measure.automatic_histogram(events(spark, d), "value").select("bin", measure.bin_label(F.col("lo"), F.col("hi")).alias("label"), "n")
+
+
 @query(f"WITH {_LATENCY} SELECT count(*) AS n, CAST(sum(CASE WHEN days < 0 THEN 1 ELSE 0 END) AS BIGINT) AS lossy, bool_or(days < 0) AS violated FROM lat")
 def lossy_rows(spark: SparkSession, d: str) -> DataFrame:
     bad = F.col("days") < 0
     return _latency(spark, d).agg(F.count(F.lit(1)).alias("n"), F.sum(bad.cast("long")).alias("lossy"), F.bool_or(bad).alias("violated"))
 
 
-@query("SELECT event_id, value FROM events ORDER BY ts, event_id LIMIT 1000 OFFSET 500")
+@query("SELECT event_id, value FROM events ORDER BY ts, event_id OFFSET 500")
 def skip_warm_up(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).orderBy(*ORDER).offset(500).limit(1000).select("event_id", "value")
+    """All but the first 500 events."""
+    return sequence.numbered(events(spark, d), [], ORDER, slice_of=F.to_date("ts")).where("seq > 500").select("event_id", "value")
 
 
 @query(f"SELECT user_id, event_id, {_EPOCH} - first_value({_EPOCH}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rebased FROM events")
@@ -411,7 +454,7 @@ def rebase_times(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nth FROM events) SELECT nth, " + ", ".join(f"max(CASE WHEN event_type = '{s}' THEN value END) AS {s}" for s in STAGES) + " FROM r GROUP BY nth")
 def align_runs(spark: SparkSession, d: str) -> DataFrame:
-    return measure.aligned(events(spark, d), "event_type", STAGES, ORDER, "value").withColumn("nth", F.col("nth").cast("long"))
+    return measure.aligned(events(spark, d), "event_type", STAGES, ORDER, "value", slice_of=F.to_date("ts"))
 
 
 @query("""WITH c AS (SELECT user_id, count(*) AS seen, count(DISTINCT event_type) AS kinds, max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) + max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS required FROM events GROUP BY 1)
@@ -453,10 +496,40 @@ def overnight_carry(spark: SparkSession, d: str) -> DataFrame:
     return grid.groupBy("day").agg(F.count(F.lit(1)).alias("used"), F.countDistinct("minute").alias("minutes"), F.sum(F.col("carried").cast("long")).alias("carried"))
 
 
-@query()
+def _normal_sql(what: str, mean: str, deviation: str) -> str:
+    u, v = (_u_sql(f"{SEED}|{what}|{x}", "day", "session") for x in "uv")
+    return f"({mean} + {deviation} * sqrt(-2.0 * ln({u})) * cos(2 * pi() * {v}))"
+
+
+def _about(c: str) -> tuple[str, str]:
+    return f"(min_{c} + (max_{c} - min_{c}) * 0.5)", f"((max_{c} - min_{c}) * 0.15)"
+
+
+_TRIED = ", ".join(f"CASE WHEN {x} >= 0 THEN {x} END" for x in (_normal_sql(f"demand{k}", *_about("demand")) for k in range(4)))
+_DRAWN = f"""{_PLANS}, params AS (SELECT min(start) AS min_start, max(start) AS max_start, min(minutes) AS min_duration, max(minutes) AS max_duration, min(value) AS min_demand, max(value) AS max_demand FROM plans),
+drawn AS (
+  SELECT day, session, {_normal_sql('charge', '0.5', '0.1')} <= 0.8 AS charge, CAST(trunc(greatest({_normal_sql('start', *_about('start'))}, 0)) AS INTEGER) AS start,
+    CAST(trunc(greatest({_normal_sql('duration', *_about('duration'))}, 0)) AS INTEGER) AS duration, coalesce({_TRIED}, 0.0) AS demand,
+    CASE WHEN floor({_u_sql('42|power', 'day', 'session')} * 2) = 0 THEN 11.0 ELSE 22.0 END AS power
+  FROM (SELECT unnest(range(60)) AS day), (SELECT unnest(range(10)) AS session), params)"""
+
+
+@query(f"WITH {_DRAWN} SELECT day, session, charge, CASE WHEN charge THEN start ELSE 0 END AS start, CASE WHEN charge THEN duration ELSE 0 END AS duration, round(CASE WHEN charge THEN demand ELSE 0 END, 4) AS demand, CAST(CASE WHEN charge THEN power ELSE 0 END AS DOUBLE) AS power FROM drawn")
+def forecast_draws(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions to charge, starts, durations, demands and powers of each day's sessions."""
+    plans = _plans(spark, d).select("start", F.col("minutes").alias("duration"), F.col("value").alias("demand"))
+    drawn = forecast.drawn(spark, forecast.parameters(plans, "start", "duration", "demand"), days=60, seed=SEED)
+    return drawn.select("day", F.col("session").cast("long").alias("session"), "charge", "start", "duration", F.round("demand", 4).alias("demand"), F.col("power").cast("double").alias("power"))
+
+
+@query(f"""WITH {_DRAWN}, sized AS (SELECT day, start, power, least(CAST(ceil(demand / power * 60.0) AS INTEGER), duration) AS minutes FROM drawn WHERE charge),
+m AS (SELECT day, power, unnest(range(start, start + minutes)) AS m FROM sized WHERE minutes > 0),
+busy AS (SELECT day + m // 1440 AS day, m % 1440 AS minute, count(*) AS pipo, sum(power) AS power FROM m GROUP BY 1, 2)
+SELECT CAST(day // 20 AS BIGINT) AS window, max(pipo) AS pipo, round(sum(power / 60), 4) AS demand, round(avg(power), 6) AS power FROM busy GROUP BY 1""")
 def ev_forecast(spark: SparkSession, d: str) -> DataFrame:
     plans = _plans(spark, d).select("start", F.col("minutes").alias("duration"), F.col("value").alias("demand"))
-    return forecast.simulate(spark, forecast.parameters(plans, "start", "duration", "demand"), days=60, seed=SEED)
+    made = forecast.simulate(spark, forecast.parameters(plans, "start", "duration", "demand"), days=60, seed=SEED)
+    return made.select("window", "pipo", F.round("demand", 4).alias("demand"), r6(F.col("power"), "power"))
 
 
 # Messages.
@@ -473,11 +546,27 @@ def passthrough_fields(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "kwh", F.col("p")["user_id"].alias("user_id"), F.col("p")["event_type"].alias("event_type"), F.size("p").alias("others"))
 
 
-@query("""SELECT event_id, '{"id":"' || event_id || '","kwh":' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '.0,"event_type":"' || event_type || '"}' AS item FROM events WHERE floor(value) >= 1""")
+@query("""SELECT event_id, '{"id":"' || event_id || '","kwh":' || CAST(CAST(value AS FLOAT) AS VARCHAR) || ',"event_type":"' || event_type || '"}' AS item FROM events""")
 def to_json_item(spark: SparkSession, d: str) -> DataFrame:
-    rows = events(spark, d).where("floor(value) >= 1")
+    """Items with their value as a 32-bit float."""
     passed = F.create_map(F.lit("event_type"), F.col("event_type"))
-    return rows.select("event_id", messages.item_json(F.col("event_id"), {"kwh": F.floor("value").cast("double")}, passed).alias("item"))
+    return events(spark, d).select("event_id", messages.item_json(F.col("event_id"), {"kwh": F.col("value")}, passed).alias("item"))
+
+
+@query("SELECT event_id, round(value, 6) AS kwh, CAST(0.0 AS DOUBLE) AS power, event_type = 'click' AS clicked, 3 AS fields FROM events")
+def output_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Items by headers: a header that is missing is 0; one dropped, one set, one added."""
+    item = F.create_map(F.lit("kwh"), F.col("value").cast("string"), F.lit("kind"), F.col("event_type"), F.lit("pid"), F.col("user_id").cast("string"))
+    changed = messages.edited(item, drop=["pid"], put={"kind": F.upper("event_type"), "sent": F.lit("1")})
+    rows = events(spark, d).select("event_id", changed.alias("item"))
+    return rows.select("event_id", *messages.projected(F.col("item"), ["kwh", "power"]), (F.col("item")["kind"] == "CLICK").alias("clicked"), F.size("item").alias("fields")).withColumn("kwh", F.round("kwh", 6))
+
+
+@query("SELECT event_id AS id, value FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')")
+def without_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose id has not been removed; the user's choice of id and value columns."""
+    rows = events(spark, d)
+    return messages.chosen(messages.without_ids(rows, rows.where("event_type = 'error'"), "event_id"), "event_id", "value")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -494,10 +583,16 @@ def payload_arrays(spark: SparkSession, d: str) -> DataFrame:
     return messages.payload_items(rows, "payload", "k:bigint").select("event_id", "item.k")
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq, value AS kwh, event_type FROM events")
+@query("""WITH o AS (SELECT event_id, value, event_type, row_number() OVER (ORDER BY event_type <> 'click' AND event_type <> 'view', ts, event_id) AS seq FROM events)
+SELECT event_id, seq, value AS kwh, event_type FROM o""")
 def history_append(spark: SparkSession, d: str) -> DataFrame:
-    rows = sequence.numbered(events(spark, d).withColumn("all", F.lit(0)), ["all"], ORDER, slice_of=F.to_date("ts"))
-    return rows.select("event_id", "seq", F.col("value").alias("kwh"), "event_type")
+    """Clicks and views as a history that is written, then all others appended to it; read back by number."""
+    rows, at = events(spark, d), tables.scratch(spark, "history")
+    early = "event_type in ('click', 'view')"
+    append = lambda old, new: tables.append_history(old, new, ORDER, slice_of=F.to_date("ts")).select("event_id", "seq", F.col("value").alias("kwh"), "event_type")
+    tables.write(append(None, rows.where(early)), "parquet", at)
+    tables.write(append(spark.read.parquet(at), rows.where(f"not {early}")), "parquet", at)
+    return tables.read_history(spark, at)
 
 
 @query("SELECT p_partkey, replace(replace(p_name, 'e', '3'), 'o', '0') || ' X' AS sent FROM part")
@@ -527,9 +622,15 @@ def batch_of_4(spark: SparkSession, d: str) -> DataFrame:
     return clusters.tumbling_clusters(rows, ["user_id"], ["value"], 4).select("user_id", "grp", F.col("lo_value").alias("lo"), F.col("hi_value").alias("hi"))
 
 
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events")
+def newest_first(spark: SparkSession, d: str) -> DataFrame:
+    """Events numbered from a user's last one, the order in which they are shown."""
+    return sequence.newest_first(events(spark, d), ["user_id"], ORDER, slice_of=F.to_date("ts")).select("user_id", "event_id", "back")
+
+
 @query("SELECT event_id, user_id, value FROM events ORDER BY ts, event_id LIMIT 10")
 def first_messages(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).orderBy(*ORDER).limit(10).select("event_id", "user_id", "value")
+    return tables.first_messages(events(spark, d), ORDER).select("event_id", "user_id", "value")
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean FROM events WHERE event_type = 'purchase' GROUP BY 1")
@@ -591,17 +692,11 @@ def doca_bounded(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, d: str, config: CastleConfig | DocaConfig, name: str, sensitive: str | None) -> DataFrame:
     """Runs a file stream to its end and returns what it wrote, from the shared folder."""
-    import tempfile
-    import uuid
-
-    from veilspark.sources.tables import stream, write_stream
-
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='veilspark-')}").rstrip("/")
-    at = f"{shared}/{name}-{uuid.uuid4().hex}"
+    at = tables.scratch(spark, name)
     schema = events(spark, d).schema
-    rows = stream(spark, "parquet", f"{d}/events.parquet", schema).withColumnRenamed("value", "kwh")
+    rows = tables.stream(spark, "parquet", f"{d}/events.parquet", schema).withColumnRenamed("value", "kwh")
     released = adapters.anonymise_stream(adapters.prepared(rows, config, "user_id", "event_id", "ts", sensitive), config)
-    running = write_stream(released, "parquet", f"{at}/rows", f"{at}/checkpoint")
+    running = tables.write_stream(released, "parquet", f"{at}/rows", f"{at}/checkpoint")
     running.awaitTermination()
     return spark.read.schema(released.schema).parquet(f"{at}/rows")
 
@@ -614,3 +709,86 @@ def castleguard_stream(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def doca_stream(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, DocaConfig(delay=30, seed=SEED), "doca", None)
+
+
+# From messages to items, and what holds of all that is released.
+
+
+@query(f"""WITH {_CLUSTERS} SELECT CAST(event_id AS VARCHAR) AS id, '{{"id":"' || event_id || '","kwh":' || CAST(CAST((lo + hi) / 2 AS FLOAT) AS VARCHAR) || ',"at":"' || CAST({_EPOCH} * 1000000 + event_id AS VARCHAR) || '","user_id":"' || user_id || '","event_type":"' || event_type || '"}}' AS value
+FROM grouped JOIN cl USING (user_id, grp)""")
+def piped_items(spark: SparkSession, d: str) -> DataFrame:
+    """From end to end: JSON messages in a topic, parsed, anonymised as configured, written as items to a sink and read back."""
+    config = PipelineConfig.from_properties("input-topic=events\noutput-topic=items\nalgorithm=castleguard\nanonymized_fields=kwh\nid=event_id\nkey=user_id\norder=at")
+    rows = events(spark, d).select("event_id", F.col("value").alias("kwh"), (seconds("ts") * 1000000 + F.col("event_id")).alias("at"), "user_id", "event_type")
+    at = tables.scratch(spark, config.sink)
+    sent = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    done = adapters.piped(sent, "value", config, CastleConfig(shipped=True), sensitive="kwh")
+    tables.write(done, "parquet", at)
+    return spark.read.schema(done.schema).parquet(at).select("id", "value")
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS id, round(value + ({_u_sql(f'{SEED}|alt|kwh', 'event_id')} - 0.5) / {EPS}, 6) AS kwh FROM events")
+def doca_alt_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """The algorithm that a pipeline names: the alternative for histories that are given as a whole."""
+    config = dataclasses.replace(adapters.by_name(PipelineConfig(algorithm="doca-alt")), seed=SEED)
+    return adapters.anonymise(adapters.prepared(_arrivals(spark, d), config, "user_id", "event_id", "ts"), config).select("id", r6(F.col("kwh"), "kwh"))
+
+
+def _held(spark: SparkSession, d: str, released: DataFrame, k: int, l: int, pid: str | None, sensitive: str, exact: bool) -> DataFrame:  # noqa: E741
+    """One row of what must hold of released tuples: individuals and sensitive values of each cluster, ranges, each tuple once."""
+    given = events(spark, d).select(F.col("event_id").cast("string").alias("id"), F.col("value").alias("_given"), F.col(pid or "event_id").alias("_pid"), F.col(sensitive).alias("_sensitive"))
+    rows = released.join(given, "id", "left")
+    inside = F.col("_given").between(F.col("lo_kwh") - 1e-9, F.col("hi_kwh") + 1e-9) if exact else F.lit(True)
+    fine = inside & (F.abs(F.col("kwh") - (F.col("lo_kwh") + F.col("hi_kwh")) / 2) < 1e-9) & F.col("spc_kwh").between(F.col("lo_kwh"), F.col("hi_kwh")) & F.col("_given").isNotNull()
+    made = rows.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("_pid").alias("k"), F.countDistinct("_sensitive").alias("l"), F.bool_and(fine).alias("fine"), F.max("size").alias("size"))
+    return made.agg(F.bool_and(F.col("k") >= k).alias("k_held"), F.bool_and(F.col("l") >= l).alias("l_held"), F.bool_and("fine").alias("contained"), F.bool_and((F.col("n") >= F.col("size")) & (F.col("n") == F.col("ids"))).alias("once"), (F.sum("n") > 0).alias("released"))
+
+
+_HELD = "SELECT true AS k_held, true AS l_held, true AS contained, true AS once, true AS released"
+
+
+@query(_HELD)
+def castleguard_holds(spark: SparkSession, d: str) -> DataFrame:
+    return _held(spark, d, castleguard(spark, d), 5, 2, None, "event_type", True)
+
+
+@query(_HELD)
+def castleguard_split_holds(spark: SparkSession, d: str) -> DataFrame:
+    return _held(spark, d, castleguard_split(spark, d), 3, 2, "user_id", "user_id", True)
+
+
+@query(_HELD)
+def castleguard_dp_holds(spark: SparkSession, d: str) -> DataFrame:
+    return _held(spark, d, castleguard_dp(spark, d), 5, 2, None, "event_type", False)
+
+
+@query(_HELD)
+def castleguard_stream_holds(spark: SparkSession, d: str) -> DataFrame:
+    return _held(spark, d, castleguard_stream(spark, d), 5, 2, None, "event_type", True)
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, CAST(count(*) AS BIGINT) AS once, true AS alike FROM events GROUP BY 1")
+def doca_holds(spark: SparkSession, d: str) -> DataFrame:
+    """With flush every tuple of a key is released once, and all of a cluster with one value."""
+    config = DocaConfig(delay=30, seed=SEED)
+    made = adapters.anonymise_batch(adapters.prepared(_arrivals(spark, d), config, "user_id", "event_id", "ts"), config, flush=True)
+    of_cluster = made.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), ((F.min("kwh") == F.max("kwh")) & (F.max("size") == F.count(F.lit(1)))).alias("alike"))
+    return of_cluster.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ids").alias("once"), F.bool_and("alike").alias("alike"))
+
+
+@query("SELECT count(DISTINCT event_type) AS keys, true AS inside, true AS alike, true AS once FROM events")
+def doca_bounded_holds(spark: SparkSession, d: str) -> DataFrame:
+    """Bounded domains release at most what came, each tuple once, a cluster with one value."""
+    given = events(spark, d).groupBy(F.col("event_type").alias("key")).agg(F.count(F.lit(1)).alias("given"))
+    made = doca_bounded(spark, d).groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), (F.min("kwh") == F.max("kwh")).alias("alike"))
+    by_key = given.join(made.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.bool_and("alike").alias("alike")), "key", "left")
+    return by_key.agg(F.count(F.lit(1)).alias("keys"), F.bool_and(F.coalesce("n", F.lit(0)) <= F.col("given")).alias("inside"), F.bool_and(F.coalesce("alike", F.lit(True))).alias("alike"), F.bool_and(F.coalesce(F.col("n") == F.col("ids"), F.lit(True))).alias("once"))
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS key, CAST(event_id AS VARCHAR) AS id, true AS equal FROM events")
+def doca_stream_holds(spark: SparkSession, d: str) -> DataFrame:
+    """The stream releases what the batch does; tuples that neither has released count as equal."""
+    batch = doca(spark, d).select("id", F.col("kwh").alias("_batch"))
+    live = doca_stream(spark, d).select("id", F.col("kwh").alias("_live"))
+    rows = events(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("id"))
+    return rows.join(batch, "id", "left").join(live, "id", "left").select("key", "id", F.col("_batch").eqNullSafe(F.col("_live")).alias("equal"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from veilspark.operators.sequence import numbered
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -66,8 +71,35 @@ def write_stream(df: DataFrame, kind: str, path: str, checkpoint: str, mode: str
     return writer.format(kind).option("path", path).start()
 
 
-def first_messages(df: DataFrame, offset: str, n: int = 10) -> DataFrame:
-    return df.orderBy(offset).limit(n)
+def write_stream_csv(df: DataFrame, path: str, checkpoint: str):
+    """Completed metrics as CSV files with a header, one folder a micro-batch, written once each."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        write(batch, "csv", f"{path}/batch={number}", "overwrite")
+
+    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name that all machines share; it is deleted when the driver ends.
+
+    It lies in spark.checkpoint.dir. Where that is unset a folder of this machine serves a local
+    master; on a cluster that is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        at = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    at = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
+def first_messages(df: DataFrame, offset: str | list[str], n: int = 10) -> DataFrame:
+    return df.orderBy(*([offset] if isinstance(offset, str) else offset)).limit(n)
 
 
 def tagged(df: DataFrame, stage: str) -> DataFrame:
@@ -75,9 +107,28 @@ def tagged(df: DataFrame, stage: str) -> DataFrame:
     return df.withColumn(stage, F.unix_millis(F.current_timestamp()))
 
 
-def append_history(history: DataFrame | None, rows: DataFrame, order: str) -> DataFrame:
-    """rows with sequence numbers that go on from the history's greatest."""
-    from veilspark.operators.sequence import numbered
+def produced(rows: DataFrame, key: str) -> DataFrame:
+    """Rows as messages: key, and value as a JSON object that has the time of sending as producer_timestamp."""
+    sent = tagged(rows, "producer_timestamp")
+    return sent.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*sent.columns)).alias("value"))
+
+
+def observed(df: DataFrame, name: str, headers: list[str]) -> tuple[DataFrame, Observation]:
+    """df, and the range of each header as it is measured while df is used."""
+    seen = Observation(name)
+    return df.observe(seen, *(x for h in headers for x in (F.min(h).alias(f"lo_{h}"), F.max(h).alias(f"hi_{h}")))), seen
+
 
+def append_history(history: DataFrame | None, rows: DataFrame, order: str | list[str], slice_of: Column | None = None) -> DataFrame:
+    """rows with sequence numbers that go on from the history's greatest.
+
+    slice_of as in sequence.numbered(): a column of few values (a day) that never falls along the
+    order, so that each slice is a task's work.
+    """
     start = 0 if history is None else (history.agg(F.max("seq")).first()[0] or 0)
-    return numbered(rows, [], [order], slice_of=F.col(order)).withColumn("seq", F.col("seq") + F.lit(start))
+    return numbered(rows, [], [order] if isinstance(order, str) else order, slice_of=slice_of).withColumn("seq", F.col("seq") + F.lit(start))
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """A history table in the order of its numbers."""
+    return spark.read.parquet(path).orderBy("seq")

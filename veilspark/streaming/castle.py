@@ -55,6 +55,11 @@ class Cluster:
         """Distinct individuals; tuples without pid are one."""
         return len({x.pid for x in self.items})
 
+    @property
+    def individuals(self) -> int:
+        """Distinct individuals; a tuple without pid is one by itself."""
+        return len({x.pid for x in self.items if x.pid is not None}) + sum(x.pid is None for x in self.items)
+
     @property
     def diversity(self) -> int:
         return len({x.sensitive for x in self.items})
@@ -191,9 +196,13 @@ class Castle:
             return None
         return min(least_grown, key=lambda n: (len(self.s.open[n].items), n))
 
+    def _many(self, cluster: Cluster) -> int:
+        """What k counts: individuals, or tuples in the shipped behaviour."""
+        return len(cluster.items) if self.c.shipped else cluster.individuals
+
     def _ready(self, cluster: Cluster) -> bool:
-        many = cluster.diversity > self.c.l if self.c.shipped else cluster.diversity >= self.c.l
-        return len(cluster.items) >= self.c.k and many
+        varied = cluster.diversity > self.c.l if self.c.shipped else cluster.diversity >= self.c.l
+        return self._many(cluster) >= self.c.k and varied
 
     def _home(self, item: Item) -> int | None:
         return next((n for n, x in self.s.open.items() if any(y is item for y in x.items)), None)
@@ -262,10 +271,10 @@ class Castle:
             self._leave(number, item)
             return [reused]
         larger = sum(len(x.items) > len(cluster.items) for x in self.s.open.values())
-        everyone = [x for c in self.s.open.values() for x in c.items]
-        if larger > len(self.s.open) // 2 or len(everyone) < self.c.k or len({x.sensitive for x in everyone}) < self.c.l:
+        everyone = Cluster([x for c in self.s.open.values() for x in c.items])
+        if larger > len(self.s.open) // 2 or self._many(everyone) < self.c.k or everyone.diversity < self.c.l:
             return self._outlier(number, item)
-        while len(cluster.items) < self.c.k or cluster.diversity < self.c.l:
+        while self._many(cluster) < self.c.k or cluster.diversity < self.c.l:
             other = min((n for n in self.s.open if n != number), key=lambda n: (enlargement(cluster.ranges, self.s.open[n].ranges, self.s.ranges, self.weights), n))
             for x in self.s.open.pop(other).items:
                 cluster.insert(x)

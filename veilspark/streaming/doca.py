@@ -72,6 +72,9 @@ class Doca:
         s = self.s
         middle = lambda x: mean(list(x.values.values()))
         s.held.append(item)
+        if self.c.held and len(s.held) > self.c.held:
+            s.held.pop(0)
+            s.suppressed += 1
         s.summary.add(middle(item))
         s.lower = [*s.lower, s.summary.quantile((1 - self.c.delta) / 2)][-self.c.window :]
         s.upper = [*s.upper, s.summary.quantile((1 + self.c.delta) / 2)][-self.c.window :]
