@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -99,6 +100,35 @@ def test_pii_kinds_and_scores():
     assert pii.find(None) == [] == pii.find("")
 
 
+def test_pii_context_decides():
+    code = "GB82 WEST 1234 5698 7654 32"
+    kinds = lambda text: [x.kind for x in pii.find(text)]
+    assert kinds(f"transfer to {code} now") == ["iban"] == kinds(code)
+    assert kinds(f"sample {code}") == [] == kinds(f"{code} is a part") and kinds(f"sample account {code}") == ["iban"]
+    assert kinds("sample" + " x" * 30 + f" {code}") == ["iban"]  # too far away
+    plain, near, inner = (pii.find(f"{w} 10.0.0.25")[0].score for w in ("seen", "server", "description"))
+    assert near > plain == inner
+    assert pii.find("server x 10.0.0.25")[0].score > pii.find("server and then much later 10.0.0.25")[0].score
+    assert kinds("an example: token = abcdef12") == ["secret"] and kinds("example token = abcdef") == []
+
+
+def test_pii_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    parts = ["a.b@c.de", "10.0.0.25", "999.1.1.1", "4111 1111-1111 1111", "4111111111111112", "+1 (986) 555-4218", "GB82 WEST 1234 5698 7654 32", "token=abc123def", "é日", "and", "call"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(90, None), (91, ""), (None, parts[0]), (3, parts[1]), (92, "x " * 600_000 + parts[0])]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for i, text in rows:
+        base = naive_pii(text)
+        found = {(k, s, e) for k, s, e, _ in pii.find(text)}
+        assert set(base) <= found
+        spans = sorted(found, key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2]))
+        counts = [sum(k == kind for k, _, _ in base) for kind in ("email", "ip", "card", "phone")]
+        expected.append((i, *counts, sha(",".join(f"{k}:{s}:{e}" for k, s, e in base)), ",".join(f"{k}:{s}:{e}" for k, s, e in spans)))
+    got = queries.QUERIES["op1_pii"](spark, str(tmp_path)).drop("least_score").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+
+
 def test_pii_long_runs_are_linear():
     assert pii.find("1" * 300_000 + "." * 5) == []
     assert pii.find("a" * 300_000 + "@") == []
@@ -401,6 +431,24 @@ def test_language(spark, sf):
     held = [r for r in out if r["held_out"]]
     assert len(held) > 20 and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) >= 0.95
     assert all(0 <= r["score"] <= 1 for r in out)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
+
+
+def test_language_learns_only_from_rows_it_may(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, langs: seen.append(sorted(zip(texts, langs, strict=True))))
+    text = lambda i: f"word{i} and so on"
+    rows = [(i, text(i), "en" if i % 2 else "de") for i in range(300)] + [(None, "no id", "en"), (1000, None, "en"), (1001, "no lang", None), (1002, "x" * 100_001, "en")]
+    rows += [(i, text(i), "en" if i % 2 else "de") for i in range(0, 300, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    language.fit(docs, rows=100_000)
+    every = sorted((text(i), "en" if i % 2 else "de") for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert set(seen[0]) <= set(every) and len(seen[0]) == len(set(seen[0])) > 0.98 * len(every)
+    language.fit(docs, rows=50)
+    assert 20 < len(seen[1]) <= 50 and set(seen[1]) <= set(every)
+    monkeypatch.setattr(language, "TRAIN_BYTES", 100)
+    language.fit(docs, rows=100_000)
+    assert sum(len(t) for t, _ in seen[2]) <= 100
 
 
 def test_language_of_words_in_mixed_text(spark, sf):
@@ -545,6 +593,24 @@ def test_quality_forest(spark, sf):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in out.where("kept").collect()}
 
 
+def test_quality_verdict_equals_its_rules(spark, sf):
+    """The query's verdict from the naive base rules and the forest's score of every row by itself; held-out labels."""
+    import numpy as np
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    forest = quality.fit(quality.rule_stats(docs), labels)
+    features = {r["doc_id"]: np.array([r["features"]]) for r in quality.rule_stats(docs).collect()}
+    rows = queries.QUERIES["op7_quality"](spark, sf).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows:
+        n_words, chars, symbols, lines_, repeats = naive_rules(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n_words, chars, symbols, lines_, repeats)
+        failed = n_words < 10 or 100 * repeats > 20 * n_words
+        assert r["base_failed"] == failed and r["kept"] == (not failed and forest.score(features[r["doc_id"]])[0] <= forest.threshold)
+    kept, caught, good, bad = forest.held_out
+    assert good + bad > 0 and kept > 0.8
+
+
 def test_isolation_forest_finds_the_odd_rows():
     import numpy as np
 
@@ -728,15 +794,15 @@ def test_suffix_orders_of_many_texts(texts):
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "\\", "a\\</s>", "<s>[ROLE]user[/ROLE]", "é日😀\n", "", None, "<|endoftext|>", "[/ROLE", "\\\\<unk>"]
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", odd[(c + t) % len(odd)]) for c in range(6) for t in range(5)]
-    rows += [(None, 1, "assistant", "x"), (9, None, None, "y"), (9, 1, "sys]</s>tem", "z"), (9, 1, "sys]</s>tem", "z")]
+    rows += [(None, 1, "assistant", "x"), (None, 0, "user", "y"), (9, None, None, "y"), (9, 1, "sys]</s>tem", "z"), (9, 1, "sys]</s>tem", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     out = chat.format_chat(df).collect()
     import numpy as np
     import public_tokenizers
 
     v = chat.Vocabulary(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
-    assert len(out) == 8
-    for r in out:
+    assert len(out) == 9 and sum(r["conv_id"] is None and r["n_turns"] == 1 for r in out) == 2
+    for r in (r for r in out if r["conv_id"] is not None):
         turns, loss = chat.read_back(np.frombuffer(r["tokens"], np.int32), np.frombuffer(r["mask"], np.int8), v)
         mine = sorted((x for x in rows if x[0] == r["conv_id"]), key=lambda x: (x[1] is not None, x[1] or 0))
         assert turns == [(x[2] or "", x[3] or "") for x in mine]
@@ -748,6 +814,18 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(df.where("false")).count() == 0
 
 
+def test_chat_query_equals_sql_on_odd_rows(spark, tmp_path):
+    odd = ["</s>[INST] ok [/INST]", "\\", "a\\</s>", "<s>[ROLE]user[/ROLE]", "é日😀\n", "", None, "\\\\<unk>"]
+    rows = [(c, t, ["user", "assistant", "s[ROLE]\\<s>", None][(c + t) % 4], odd[(c * 3 + t) % len(odd)]) for c in range(6) for t in range(4)]
+    rows += [(None, 0, "assistant", "x</s>"), (None, 0, "assistant", "x</s>"), (2, 0, "user", "again")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cursor = con.execute(queries.ORACLE_SQL["op10_chat"])
+    names = [c[0] for c in cursor.description]
+    assert sorted(map(str, map(tuple, queries.QUERIES["op10_chat"](spark, str(tmp_path)).select(*names).collect()))) == sorted(map(str, cursor.fetchall()))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="\\<s>/[INST]ROLE|a", max_size=40))
 def test_escape_is_reversible(text):

@@ -8,8 +8,8 @@ Rendered form of a turn:  <s>[ROLE] role [/ROLE] text </s>  (without the blanks
 A control string inside a content is broken by a backslash after its first character, and a
 backslash is doubled, so removing the escapes gives back every text exactly.
 
-Defined cases: a null text is empty, a null role is the empty role and bears no loss; rows
-without conv_id form one conversation of their own; turns are taken by (turn, role, text), null
+Defined cases: a null text is empty, a null role is the empty role and bears no loss; each row
+without conv_id is a conversation of its own; turns are taken by (turn, role, text), null
 turns first; repeated rows are repeated turns; an empty table gives an empty result.
 """
 
@@ -138,7 +138,8 @@ def format_chat(rows: DataFrame, path: str | None = None, pattern: str | None =
     kinds = "conv_id long, turn long, role string, text string, role_ids binary, text_ids binary"
     coded = rows.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text").mapInArrow(encode, kinds)
     order = F.struct("turn", "role", "text", "role_ids", "text_ids")
-    whole = coded.groupBy("conv_id").agg(F.sort_array(F.collect_list(order)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    whole = coded.withColumn("alone", alone).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(order)).alias("turns"))
     whole = whole.selectExpr("conv_id", "transform(turns, t -> struct(t.role, t.role_ids, t.text_ids)) turns")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

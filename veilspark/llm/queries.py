@@ -17,19 +17,19 @@ QUERIES = {"op1_pii": op1_pii, "op2_leaks": op2_leaks, "op3_pieces": op3_pieces,
 
 _FORMATTED = """
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
 escaped AS (
   SELECT *, replace(text, '\\', '\\\\') AS a0, replace(role, '\\', '\\\\') AS b0 FROM said),
 marked AS (
-  SELECT *, regexp_replace(a0, '(<s>|</s>|\\[ROLE\\]|\\[/ROLE\\]|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|im_start\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<unk>)', '\\\\\\1', 'g') AS a1 FROM escaped)
+  SELECT *, regexp_replace(a0, _CONTROL, '\\\\\\1', 'g') AS a1, regexp_replace(b0, _CONTROL, '\\\\\\1', 'g') AS b1 FROM escaped)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  CAST(sum(20 + length(a1) + length(b0)) AS BIGINT) AS formatted_chars
-FROM marked GROUP BY conv_id
-"""
+  CAST(sum(20 + length(a1) + length(b1)) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id, alone
+""".replace("_CONTROL", r"'(<s>|</s>|\[ROLE\]|\[/ROLE\]|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<unk>)'")
 _LEAKS = """
 WITH lowered AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
