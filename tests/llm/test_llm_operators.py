@@ -109,7 +109,7 @@ def test_pii_context_decides():
     plain, near, inner = (pii.find(f"{w} 10.0.0.25")[0].score for w in ("seen", "server", "description"))
     assert near > plain == inner
     assert pii.find("server x 10.0.0.25")[0].score > pii.find("server and then much later 10.0.0.25")[0].score
-    assert kinds("an example: token = abcdef12") == ["secret"] and kinds("example token = abcdef") == []
+    assert kinds("token = abcdef12") == ["secret"] == kinds("private token = abcdef") and kinds("token = abcdef") == [] == kinds("an example: token = abcdef12")
 
 
 def test_pii_query_equals_brute_force(spark, tmp_path):
