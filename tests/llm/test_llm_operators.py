@@ -772,6 +772,37 @@ def test_bytes_are_decided_by_the_suffix_order(monkeypatch):
     assert bytedup.least_documents(*given_, 20).tolist() != expected
 
 
+def test_a_heavy_key_is_sorted_in_small_units(monkeypatch):
+    """Many different stretches of one key, of unlike and of equal strings, periodic ones too: right answers, and no sort grows with their number."""
+    import numpy as np
+
+    rng = random.Random(4)
+    phrase = "a passage that stands in many places of the corpus, word by word"
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = [(noise(rng.randint(0, 20)) + rng.choice([phrase, phrase[:30], "ab" * rng.randint(15, 40), "a" * 40]) + noise(rng.randint(20, 30))).encode() for _ in range(1500)]
+    texts += texts[:200]
+    keys, docs = np.sort(np.array([rng.randrange(3) for _ in texts], np.uint64)), np.array([rng.randrange(900) for _ in texts])
+    sizes, text, length = np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8), 25
+    sorted_ = []
+    plain = bytedup.least_documents
+
+    def seen(text, sizes, docs, units, length):
+        sorted_.append(max(int((sizes[lo:hi] + 1).sum()) for lo, hi in zip(units[:-1], units[1:], strict=True)))
+        return plain(text, sizes, docs, units, length)
+
+    monkeypatch.setattr(bytedup, "least_documents", seen)
+    record, least, begin, end, _ = bytedup._string_documents(keys, docs, sizes, text, length)
+    assert 0 < max(sorted_) <= 512 < len(text) // 100
+    first, got = {}, {}
+    for t, d, k in zip(texts, docs.tolist(), keys.tolist(), strict=True):
+        for j in range(len(t) - length + 1):
+            first[k, t[j : j + length]] = min(first.get((k, t[j : j + length]), d), d)
+    for r, d, lo, hi in zip(record.tolist(), least.tolist(), begin.tolist(), end.tolist(), strict=True):
+        got.setdefault(r, []).extend([d] * (hi - lo))
+    for r, t in enumerate(texts):
+        assert got[r] == [first[int(keys[r]), t[j : j + length]] for j in range(len(t) - length + 1)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60) | st.lists(st.integers(0, 255), max_size=40) | st.lists(st.integers(0, 1), max_size=12).map(lambda x: x * 5))
 def test_suffix_order(text):

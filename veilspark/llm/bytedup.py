@@ -38,6 +38,8 @@ LENGTH, GRAM = 50, 20
 #: (key, document) pairs that a map task holds before it deals them out; bytes of stretches that are
 #: looked at together (more where one key has more); bytes hashed and codes sorted at once.
 HELD, SLICE, BLOCK, SORTED, TOGETHER = 1 << 20, 8 << 20, 1 << 20, 1 << 19, 16
+#: Codes of a key's stretches beyond which its strings are dealt to smaller units before they are sorted.
+HEAVY = 512
 #: Different stretches of a key beyond which it is taken apart, and bits of the bitmap of such keys.
 HOT, HOT_BITS = 20_000, 22
 
@@ -58,15 +60,20 @@ class _Stretches:
             least, size = np.minimum(least[:-size], least[size:]), 2 * size
         if size < width:
             least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-        row = np.repeat(np.arange(block.n), np.diff(block.offs))[:strings]
-        inside = (np.arange(strings) + length <= block.offs[row + 1]) & known[row]
+        # No string begins in the last bytes of a row, or in a row without id.
+        begins, ends = block.offs[:-1], block.offs[1:]
+        edge = np.zeros(n + 1, np.int8)
+        np.add.at(edge, np.where(known, np.maximum(begins, ends - length + 1), begins), 1)
+        np.add.at(edge, ends, -1)
+        inside = np.cumsum(edge, dtype=np.int8)[:strings] == 0
         new = np.ones(strings, bool)
-        new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (inside[1:] != inside[:-1])
+        new[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
+        new[begins[begins < strings]] = True
         heads = np.flatnonzero(new)
         count = np.diff(np.append(heads, strings))
         use = inside[heads]
         self.start, self.count = heads[use], count[use]
-        self.key, self.row = least[self.start], row[self.start]
+        self.key, self.row = least[self.start], np.searchsorted(block.offs, self.start, side="right") - 1
 
 
 def _is_hot(keys: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
@@ -97,10 +104,48 @@ def _token(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return _text.mix(keys ^ _text.mix(docs.view(np.uint64)))
 
 
-def _heads(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ordered(keys: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """As np.lexsort((more, keys)), equal rows in any order; only equal keys take more than a sort of plain numbers."""
+    order = np.argsort(keys)
+    fresh = _firsts(order, keys)
+    tied = ~fresh
+    tied[:-1] |= ~fresh[1:]
+    at = np.flatnonzero(tied)
+    if len(at):
+        part, group = order[at], np.cumsum(fresh)[at]
+        second = more[part]
+        lo, hi = int(second.min()), int(second.max())
+        if hi < 1 << 62 and lo > -(1 << 62) and (hi - lo + 1) * (len(keys) + 1) < 1 << 62:
+            by = np.argsort(group * (hi - lo + 1) + (second.astype(np.int64) - lo))
+        else:
+            by = np.lexsort((second, group))
+        order[at] = part[by]
+    return order
+
+
+class _Places:
+    """np.searchsorted in ascending hashes that are spread evenly: their high bits tell nearly where."""
+
+    def __init__(self, table: np.ndarray):
+        bits = max(1, len(table).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.edges = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.table = np.append(table, np.uint64(2**64 - 1))
+
+    def of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each is or would be, and whether it is there."""
+        at = self.edges.take((wanted >> self.shift).view(np.int64))
+        left = (self.table.take(at) < wanted).nonzero()[0]
+        while len(left):
+            at[left] += 1
+            left = left.take((self.table.take(at.take(left)) < wanted.take(left)).nonzero()[0])
+        return at, (self.table.take(at) == wanted) & (at < len(self.table) - 1)
+
+
+def _heads(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct rows in order, where each key begins among them, and how many it has."""
-    order = np.lexsort((*more, keys))
-    order = order[_firsts(order, keys, *more)]
+    order = _ordered(keys, more)
+    order = order[_firsts(order, keys, more)]
     heads = np.flatnonzero(_firsts(order, keys))
     return order, heads, np.diff(np.append(heads, len(order)))
 
@@ -141,7 +186,7 @@ def _shared_keys(n: int, hot: int):
         use = order[np.repeat(many > 1, many)]
         yield from _packed.dealt(_packed.id_bucket(docs[use], n), _token(keys[use], docs[use]))
         by_name, heads, firsts = _heads(keys, names)
-        by_key = np.argsort(keys, kind="stable")
+        by_key = np.argsort(keys)
         more = np.add.reduceat(different[by_key].astype(np.int64) - 1, np.flatnonzero(_firsts(by_key, keys))) if len(keys) else firsts
         found = keys[by_name[heads[firsts + more > hot]]]
         if len(found):
@@ -169,7 +214,12 @@ def _hot_keys(keys: DataFrame, n: int) -> np.ndarray | None:
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return data[_ranges(starts, sizes)]
+    """Those pieces of data, joined; the places of BLOCK bytes at a time are in memory."""
+    total = np.cumsum(sizes)
+    out = np.empty(int(total[-1]) if len(total) else 0, np.uint8)
+    for lo, hi in _cuts(total, BLOCK):
+        out[total[lo] - sizes[lo] : total[hi - 1]] = data[_ranges(starts[lo:hi], sizes[lo:hi])]
+    return out
 
 
 def _candidates(n: int, length: int, gram: int, hot):
@@ -180,13 +230,14 @@ def _candidates(n: int, length: int, gram: int, hot):
         tokens = np.unique(tokens)
         if not len(tokens):
             return _packed.table(())
+        tokens = _Places(tokens)
         ids, known = _text.ids(docs.column("doc_id"))
         names, keys, owners, sizes, texts = [], [], [], [], []
         for block in _text.blocks(docs.column("text")):
             s = _Stretches(block, known[block.lo : block.lo + block.n], length, gram)
             owner = ids[block.lo + s.row]
             token = _token(s.key, owner)
-            use = np.flatnonzero(tokens[np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)] == token)
+            use = np.flatnonzero(tokens.of(token)[1])
             if len(use):
                 start, count, found, of = _apart(s.running, s.start[use], s.count[use], s.key[use], length, hot.value)
                 size = count + length - 1
@@ -199,7 +250,7 @@ def _candidates(n: int, length: int, gram: int, hot):
             return _packed.table(())
         names, keys, owners, sizes, texts = (np.concatenate(x) for x in (names, keys, owners, sizes, texts))
         starts = np.cumsum(sizes) - sizes
-        order = np.lexsort((owners, names))
+        order = _ordered(names, owners)
         heads = np.flatnonzero(_firsts(order, names))
         first = order[heads]
         several = (np.maximum.reduceat(owners[order], heads) != owners[first]).astype(np.uint8)
@@ -231,7 +282,7 @@ def _read(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
         parts.append((*columns, np.frombuffer(payload, np.uint8, -1, at)))
     origins, keys, docs, several, sizes, data = (np.concatenate(x) for x in zip(*parts, strict=True))
     sizes = sizes.astype(np.int64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     texts = _gather(data, (np.cumsum(sizes) - sizes)[order], sizes[order])
     return origins[order], keys[order], docs[order], several[order], sizes[order], texts
 
@@ -293,13 +344,104 @@ def _representatives(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, text
         starts = np.cumsum(sizes) - sizes
         alike = sizes[more] == sizes[like]
         more, like = more[alike], like[alike]
-        differ = text[_ranges(starts[more], sizes[more])] != text[_ranges(starts[like], sizes[like])]
-        alike = np.add.reduceat(differ, np.cumsum(sizes[more]) - sizes[more]) == 0 if len(more) else alike
+        alike = np.zeros(len(more), bool)
+        for lo, hi in _cuts(np.cumsum(sizes[more]), BLOCK):
+            a, b, size = starts[more[lo:hi]], starts[like[lo:hi]], sizes[more[lo:hi]]
+            differ = text[_ranges(a, size)] != text[_ranges(b, size)]
+            alike[lo:hi] = ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
         stands[more[alike]] = False
         source[more[alike]] = like[alike]
     return stands, source
 
 
+def _least(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, heads: np.ndarray, many: np.ndarray, length: int) -> np.ndarray:
+    """As least_documents, of units with any numbers of records (from heads on, many of them) anywhere in text."""
+    strings = sizes - length + 1
+    first = np.cumsum(strings) - strings
+    answer = np.repeat(docs, strings)
+    weight = np.add.reduceat(sizes + 1, heads) if len(heads) else many
+    # Units of one record need no order; the others by weight, so that those sorted together take equally long.
+    left = np.flatnonzero(many > 1)
+    left = left[np.argsort(weight[left], kind="stable")]
+    for lo, hi in _cuts(np.cumsum(weight[left]), SORTED):
+        unit = left[lo:hi]
+        # A step of the common sort costs as much as some TOGETHER codes of a sort by itself.
+        for part in [unit] if weight[unit].sum() >= TOGETHER * weight[unit[-1]] else unit[:, None]:
+            use = _ranges(heads[part], many[part])
+            found = least_documents(_gather(text, starts[use], sizes[use]), sizes[use], docs[use], np.concatenate([[0], np.cumsum(many[part])]), length)
+            answer[_ranges(first[use], strings[use])] = found
+    return answer
+
+
+def _taken_apart(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
+    """As least_documents, of all records of some keys, sorted in units that do not grow with a key.
+
+    Strings whose hash one document holds alone are found nowhere else. The others are joined where the
+    same one follows at every occurrence: all occurrences of such a segment are equal unless hashes
+    collide, and meet as records of a key of their own. Equal strings come to the same segments.
+    """
+    strings = sizes - length + 1
+    place = _ranges(starts, strings)
+    record = np.repeat(np.arange(len(sizes)), strings)
+    hashes = np.zeros(len(place), np.uint64)
+    at = np.concatenate([[0], np.cumsum(strings)])
+    for lo, hi in _cuts(np.cumsum(sizes), BLOCK):
+        part = sizes[lo:hi]
+        begin = _ranges(np.cumsum(part) - part, strings[lo:hi])
+        hashes[at[lo] : at[hi]] = _text.over_bytes(_gather(text, starts[lo:hi], part)).of(begin, begin + length)
+    hashes ^= _text.mix(keys)[record]
+    answer = docs[record]
+    order = np.argsort(hashes)
+    fresh = _firsts(order, hashes)
+    heads = np.flatnonzero(fresh)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    same = lambda x: (np.minimum.reduceat(x[order], heads) == np.maximum.reduceat(x[order], heads))[group]
+    shared = ~same(answer)
+    both = shared[1:] & shared[:-1] & (record[1:] == record[:-1])
+    after, before = np.full((2, len(order)), -1)
+    after[:-1][both], before[1:][both] = group[1:][both], group[:-1][both]
+    begins = shared.copy()
+    begins[1:] &= ~(both & same(after)[:-1] & same(before)[1:])
+    head = np.flatnonzero(begins)
+    if not len(head):
+        return answer
+    count = np.bincount(np.cumsum(begins)[shared] - 1, minlength=len(head))
+    by = np.argsort(group[head], kind="stable")
+    head, count = head[by], count[by]
+    size = count + length - 1
+    key = group[head].view(np.uint64)
+    stands, source, found = _standing(key, docs[record[head]], size, _gather(text, place[head], size), key, length, False)
+    many = count[stands]
+    each = (np.cumsum(stands) - 1)[source]
+    answer[_ranges(head, count)] = found[_ranges((np.cumsum(many) - many)[each], count)]
+    return answer
+
+
+def _standing(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, text: np.ndarray, names: np.ndarray, length: int, apart: bool = True) -> tuple[np.ndarray, ...]:
+    """_representatives, and the least document of each string of those that stand; records of one key stand together."""
+    stands, source = _representatives(keys, docs, sizes, text, names)
+    chosen = np.flatnonzero(stands)
+    starts, sizes, docs, keys = (np.cumsum(sizes) - sizes)[chosen], sizes[chosen], docs[chosen], keys[chosen]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    many = np.diff(np.append(heads, len(keys)))
+    weight = np.add.reduceat(sizes + 1, heads)
+    heavy = (weight > HEAVY) & (many > 1) & apart
+    if not heavy.any():
+        return stands, source, _least(text, starts, sizes, docs, heads, many, length)
+    strings = sizes - length + 1
+    first = np.cumsum(strings) - strings
+    answer = np.zeros(int(strings.sum()), np.int64)
+    light = np.flatnonzero(~heavy)
+    use = _ranges(heads[light], many[light])
+    answer[_ranges(first[use], strings[use])] = _least(text, starts[use], sizes[use], docs[use], np.cumsum(many[light]) - many[light], many[light], length)
+    heavy = np.flatnonzero(heavy)
+    for lo, hi in _cuts(np.cumsum(weight[heavy]), SORTED):
+        use = _ranges(heads[heavy[lo:hi]], many[heavy[lo:hi]])
+        answer[_ranges(first[use], strings[use])] = _taken_apart(text, starts[use], sizes[use], docs[use], keys[use], length)
+    return stands, source, answer
+
+
 def _string_documents(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of strings with one least document: record, document, first and last + 1 string; names of the records.
 
@@ -310,26 +452,10 @@ def _string_documents(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, tex
     for lo, hi in _cuts(ends, BLOCK):
         begin = starts[lo]
         names[lo:hi] = _text.over_bytes(text[begin : ends[hi - 1]]).of(starts[lo:hi] - begin, ends[lo:hi] - begin)
-    stands, source = _representatives(keys, docs, sizes, text, names)
-    chosen = np.flatnonzero(stands)
-    strings = sizes[chosen] - length + 1
+    stands, source, answer = _standing(keys, docs, sizes, text, names, length)
+    strings = sizes[stands] - length + 1
     first = np.cumsum(strings) - strings
-    answer = np.repeat(docs[chosen], strings)
-    heads = np.flatnonzero(np.concatenate([[True], keys[chosen][1:] != keys[chosen][:-1]]))
-    many = np.diff(np.append(heads, len(chosen)))
-    weight = np.add.reduceat(sizes[chosen] + 1, heads)
-    # Keys of one record need no order; the others by weight, so that those sorted together take equally long.
-    left = np.flatnonzero(many > 1)
-    left = left[np.argsort(weight[left], kind="stable")]
-    for lo, hi in _cuts(np.cumsum(weight[left]), SORTED):
-        unit = left[lo:hi]
-        # A step of the common sort costs as much as some TOGETHER codes of a sort by itself.
-        for part in [unit] if weight[unit].sum() >= TOGETHER * weight[unit[-1]] else unit[:, None]:
-            use = _ranges(heads[part], many[part])
-            of = chosen[use]
-            found = least_documents(_gather(text, starts[of], sizes[of]), sizes[of], docs[of], np.concatenate([[0], np.cumsum(many[part])]), length)
-            answer[_ranges(first[use], strings[use])] = found
-    owner = np.repeat(np.arange(len(chosen)), strings)
+    owner = np.repeat(np.arange(len(strings)), strings)
     new = np.ones(len(answer), bool)
     new[1:] = (answer[1:] != answer[:-1]) | (owner[1:] != owner[:-1])
     run = np.flatnonzero(new)
@@ -337,7 +463,7 @@ def _string_documents(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, tex
     end = begin + np.diff(np.append(run, len(answer)))
     # Each record has the runs of the one it takes its answer from.
     place = (np.cumsum(stands) - 1)[source]
-    run_at = np.searchsorted(owner[run], np.arange(len(chosen) + 1))
+    run_at = np.searchsorted(owner[run], np.arange(len(strings) + 1))
     each = np.diff(run_at)[place]
     which = _ranges(run_at[place], each)
     return np.repeat(np.arange(len(keys)), each), answer[run[which]], begin[which].astype(np.uint32), end[which].astype(np.uint32), names
@@ -372,7 +498,10 @@ def _answers(length: int):
 def _kept(length: int, gram: int, keep_text: bool, hot):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         names, least, lo, hi = _packed.unpack(_packed.payloads(answers), "u8", "i8", "u4", "u4")
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
+        heads = np.flatnonzero(_firsts(order, names))
+        of_name = np.append(np.diff(np.append(heads, len(order))), 0)
+        places, heads = _Places(names[order[heads]]), np.append(heads, 0)
         names, least, lo, hi = names[order], least[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
         ids, known = _text.ids(docs.column("doc_id"))
         sizes, removed, spans, sums, texts = [], [], [], [], []
@@ -382,8 +511,8 @@ def _kept(length: int, gram: int, keep_text: bool, hot):
                 s = _Stretches(block, known[block.lo : block.lo + block.n], length, gram)
                 start, count, _, of = _apart(s.running, s.start, s.count, s.key, length, hot.value)
                 name = s.running.of(start, start + count + length - 1)
-                a, b = np.searchsorted(names, name, "left"), np.searchsorted(names, name, "right")
-                many = b - a
+                at, found = places.of(name)
+                a, many = heads[at], np.where(found, of_name[at], 0)
                 ends = np.cumsum(many)
                 stretch = np.repeat(np.arange(len(many)), many)
                 which = np.repeat(a - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)

@@ -148,7 +148,7 @@ def _point(members: np.ndarray, names: np.ndarray, group: np.ndarray, smaller: n
 def _raise(targets: np.ndarray, old: np.ndarray, times: np.ndarray, line: np.ndarray, seat: np.ndarray, group: np.ndarray, stop: np.ndarray, moving: np.ndarray) -> None:
     """Move distinct suffixes to the top of their groups (old), those of most times highest; each number of times is a new group."""
     alike = times.max() == 1
-    order = old.argsort(kind="stable") if alike else np.lexsort((times, old))
+    order = old.argsort() if alike else np.lexsort((times, old))
     targets, old = targets.take(order), old.take(order)
     fresh = np.empty(len(old), bool)
     fresh[0] = True
@@ -197,7 +197,7 @@ def suffix_orders(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     owner[1:] = np.repeat(np.arange(texts), sizes + 1)
     key = owner << 16
     key[_ranges(begin, sizes)] += np.asarray(codes, np.int64) + 1
-    line = key.argsort(kind="stable")
+    line = key.argsort()
     base = begin  # a text's seats are as many as its positions and begin alike
     key = key.take(line)
     fresh = np.ones(n, bool)
