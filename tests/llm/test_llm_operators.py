@@ -611,6 +611,34 @@ def test_quality_verdict_equals_its_rules(spark, sf):
     assert good + bad > 0 and kept > 0.8
 
 
+def test_quality_is_fitted_on_the_whole_table(spark):
+    """Trees draw from all documents, and every labelled row counts in the threshold."""
+    import numpy as np
+
+    n = 24_000
+    odd = "case when id % 10 = 0 then 1 else 0 end"
+    numbers = ", ".join(f"cast(pmod(xxhash64(id, {k}L), 1000) as double) / 1000 + {odd}" for k in range(1, len(quality.FEATURES)))
+    stats = spark.range(n).selectExpr("id doc_id", "100L n_words", "0L n_repeat_words", f"array(cast(id as double) / {n}, {numbers}) features")
+    labels = stats.selectExpr("doc_id", "cast(pmod(doc_id, 10) > 0 as int) quality")
+    forest = quality.fit(stats, labels)
+    kept, caught, good, bad = forest.held_out
+    held = stats.selectExpr("pmod(xxhash64(doc_id, 2), 4) = 0 out", "doc_id % 10 > 0 good").where("out").collect()
+    assert (good, bad) == (sum(r["good"] for r in held), sum(not r["good"] for r in held))
+    assert kept > 0.99 and caught > 0.99
+    assert len(forest.trees) == quality.TREES and forest.size == quality.SAMPLE
+    drawn = quality._subsamples(stats, 2 * quality.SAMPLE / n).collect()
+    trees = {}
+    for r in sorted(drawn, key=lambda r: r["hash"]):
+        trees.setdefault(r["tree"], []).append(round(r["features"][0] * n))
+    used = [set(ids[: quality.SAMPLE]) for ids in trees.values()]
+    assert all(len(x) == quality.SAMPLE for x in used) and len(set().union(*used)) > n // 2
+    # The best cut of all labelled rows that are not held out, row by row.
+    rows = stats.selectExpr("features", "doc_id % 10 > 0 good", "pmod(xxhash64(doc_id, 2), 4) = 0 out").where("not out").collect()
+    scores, fine = forest.score(np.array([r["features"] for r in rows])), np.array([r["good"] for r in rows])
+    worth = lambda c: (scores[~fine] > c).sum() - quality.GOOD_COST * (scores[fine] > c).sum() * (~fine).sum() / fine.sum()
+    assert worth(forest.threshold) == max(worth(c) for c in np.unique(np.ceil(scores * quality.BINS) / quality.BINS))
+
+
 def test_isolation_forest_finds_the_odd_rows():
     import numpy as np
 

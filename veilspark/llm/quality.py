@@ -1,12 +1,13 @@
 """Quality rules: rule statistics per document, judged by an isolation forest.
 
-rule_stats measures every whole text. Forest grows random-split trees on a bounded sample
-of those rows (FIT_ROWS, one a slot of the hashed id); a row's mean path length over the trees,
-against the length expected of an unsuccessful search, gives its anomaly score in (0, 1).
-fit sets the score above which a document goes, from labelled rows (LABEL_ROWS at
-most): the cut with the best share of bad rows caught, less GOOD_COST times the share of good
-ones; where no cut separates them, or there are no labels, nothing is rejected by score. A
-quarter of the labelled rows is held out from that and gives Forest.held_out.
+rule_stats measures every whole text. A forest has TREES random-split trees, each grown where it is
+drawn, on SAMPLE documents of its own out of the whole table (those of least hash of id and tree;
+subsampling is the method's own); a row's mean path length over the trees, against the length
+expected of an unsuccessful search, gives its anomaly score in (0, 1). fit sets the score above
+which a document goes, from all labelled rows, counted by score in BINS bins: the cut with the
+best share of bad rows caught, less GOOD_COST times the share of good ones; where no cut
+separates them, or there are no labels, nothing is rejected by score. A quarter of the labelled
+rows is held out from that and gives Forest.held_out.
 
 Defined cases: a null or empty text has zero counts and fails the base rules; a null doc_id is
 carried along and never sampled; repeated rows each get their result; an empty table gives an
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import _tables, _text
 
-FIT_ROWS, LABEL_ROWS, TREES, SAMPLE, SEED, GOOD_COST = 4096, 20_000, 100, 256, 7, 10.0
+TREES, SAMPLE, SEED, GOOD_COST, BINS = 100, 256, 7, 10.0, 1 << 16
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: What the forest sees: ratios drawn towards 0 in short texts (as if PRIOR more clean characters stood there).
 FEATURES = ("symbols", "symbol_words", "capitals", "marks", "stutters", "repetition", "word_length")
@@ -105,14 +106,24 @@ class Forest:
 
     def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.size = min(sample, len(rows))
-        depth = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
-        self.trees = [self._tree(rows[rng.choice(len(rows), self.size, replace=False)], depth, rng) for _ in range(trees)]
+        size = min(sample, len(rows))
+        self._set([self.tree(rows[rng.choice(len(rows), size, replace=False)], size, rng) for _ in range(trees)], size)
+
+    def _set(self, trees: list[tuple[np.ndarray, ...]], size: int) -> None:
+        self.trees, self.size = trees, size
         self.threshold, self.held_out = np.inf, None
 
+    @classmethod
+    def of(cls, trees: list[tuple[np.ndarray, ...]], size: int) -> Forest:
+        """Of trees that are grown, each on size rows."""
+        out = cls.__new__(cls)
+        out._set(trees, size)
+        return out
+
     @staticmethod
-    def _tree(rows: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    def tree(rows: np.ndarray, size: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         feature, cut, left, right, path = [], [], [], [], []
+        limit = max(1, int(np.ceil(np.log2(max(size, 2)))))
 
         def grow(part: np.ndarray, depth: int) -> int:
             me = len(feature)
@@ -149,44 +160,84 @@ class Forest:
             total += path[node]
         return 2.0 ** (-total / len(self.trees) / max(float(_mean_path(self.size)), 1e-9))
 
-
-    def calibrate(self, rows: np.ndarray, good: np.ndarray, out: np.ndarray, good_cost: float) -> None:
-        """Set the threshold from labelled rows but those held out; held_out: of these, the shares of good ones kept and of bad ones caught, and their numbers."""
-        scores = self.score(rows)
-        seen, bad = good[~out], ~good[~out]
-        if seen.any() and bad.any():
-            known = scores[~out]
-            cuts = np.unique(np.quantile(known, np.linspace(0, 1, 1001)))
-            caught = np.array([(known[bad] > c).sum() for c in cuts])
-            lost = np.array([(known[seen] > c).sum() for c in cuts])
-            best = int(np.argmax(caught - good_cost * lost * bad.sum() / seen.sum()))
+    def calibrate(self, bins: np.ndarray, good: np.ndarray, out: np.ndarray, count: np.ndarray, good_cost: float) -> None:
+        """Set the threshold from counts of labelled rows by score (in steps of 1 / BINS, rounded up) but those held out; held_out: of these, the shares of good ones kept and of bad ones caught, and their numbers."""
+        table = np.zeros((2, 2, BINS + 1), np.int64)  # held out, good
+        np.add.at(table, (out.astype(int), good.astype(int), bins), count)
+        above = table.sum(2)[:, :, None] - table.cumsum(2)  # rows beyond each cut
+        bad, seen = table[0].sum(1)
+        if seen and bad:
+            caught, lost = above[0]
+            best = int(np.argmax(caught - good_cost * lost * bad / seen))
             # A cut is used only where it catches bad rows at a far higher rate than good ones.
-            if caught[best] / bad.sum() > 5 * lost[best] / seen.sum():
-                self.threshold = float(cuts[best])
-        share = lambda kept: float(kept.mean()) if len(kept) else float("nan")
-        fine = scores <= self.threshold
-        self.held_out = share(fine[out & good]), share(~fine[out & ~good]), int((out & good).sum()), int((out & ~good).sum())
+            if caught[best] / bad > 5 * lost[best] / seen:
+                self.threshold = best / BINS
+        bad, seen = table[1].sum(1)
+        over = np.zeros(2) if self.threshold == np.inf else above[1][:, int(self.threshold * BINS)]
+        self.held_out = float(1 - over[1] / seen) if seen else float("nan"), float(over[0] / bad) if bad else float("nan"), int(seen), int(bad)
 
 
-def _matrix(df: DataFrame):
-    """The features of df's rows as a matrix, and the rows as a pandas frame."""
-    got = df.toPandas()
-    return np.array(got["features"].tolist(), float).reshape(len(got), len(FEATURES)), got
+def _subsamples(rows: DataFrame, share: float) -> DataFrame:
+    """tree, hash, features: for each tree the documents whose hash lies under that share of all hashes."""
+    bound = np.uint64(min(int(share * 2**63), 2**63 - 1))
 
-
-def fit(stats: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS, label_rows: int = LABEL_ROWS, good_cost: float = GOOD_COST) -> Forest | None:
-    """The forest and its threshold, from two bounded samples; None on an empty table."""
-    fair = F.col("n_words") >= 10
-    sample, _ = _matrix(_tables.sampled(stats.where(fair & F.col("doc_id").isNotNull()), fit_rows, 0, "features").select("doc_id", "features").orderBy("doc_id"))
-    if not len(sample):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0)).view(np.uint64)
+            for tree in range(TREES):
+                h = _text.mix(_text.mix(ids) ^ _text.mix(np.array([SEED * TREES + tree + 1], np.uint64))) >> np.uint64(1)
+                use = np.flatnonzero(h <= bound)
+                if len(use):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(use), tree, np.int32)), pa.array(h[use].view(np.int64)), batch.column(1).take(pa.array(use))], names=["tree", "hash", "features"])
+
+    drawn = rows.select("doc_id", "features").mapInArrow(run, "tree int, hash long, features array<double>")
+    return drawn.groupBy("tree", "hash").agg(F.min("features").alias("features"))
+
+
+def _grown(stats: DataFrame) -> Forest | None:
+    """The forest of a whole table; the driver gets its trees and no rows. None on an empty table."""
+    rows = stats.where("n_words >= 10 and doc_id is not null")
+    n = rows.agg(F.count_distinct("doc_id")).first()[0]
+    if not n:
         return None
-    forest = Forest(sample)
-    if labels is not None:
-        marked = labels.where("doc_id is not null and quality is not null").selectExpr("cast(doc_id as long) doc_id", "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        marked = _tables.sampled(marked, label_rows, 1, "quality").select("doc_id", "quality", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("out"))
-        rows, got = _matrix(stats.where(fair & F.expr("100 * n_repeat_words <= 20 * n_words")).join(F.broadcast(marked), "doc_id").groupBy("doc_id", "quality", "out").agg(F.min("features").alias("features")))
-        if len(rows):
-            forest.calibrate(rows, got["quality"].to_numpy() > 0, got["out"].to_numpy(bool), good_cost)
+    size = min(SAMPLE, n)
+
+    def grow(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("hash").slice(0, size)
+        tree = key[0].as_py()
+        part = np.array(group.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
+        grown = Forest.tree(part, size, np.random.default_rng([SEED, tree]))
+        return pa.table({"tree": pa.array([tree], pa.int32())} | {k: pa.array([x], pa.list_(pa.float64())) for k, x in zip(names, grown, strict=True)})
+
+    names = ("feature", "cut", "left", "right", "path")
+    # Twice as many as a tree takes lie under the bound on average; fewer than it takes do with odds of some exp(-78).
+    drawn = _subsamples(rows, 2 * SAMPLE / n)
+    got = drawn.groupBy("tree").applyInArrow(grow, "tree int, " + ", ".join(f"{k} array<double>" for k in names)).orderBy("tree").collect()
+    whole = lambda k, x: np.array(x, float if k in ("cut", "path") else np.int64)
+    return Forest.of([tuple(whole(k, r[k]) for k in names) for r in got], size)
+
+
+def fit(stats: DataFrame, labels: DataFrame | None, good_cost: float = GOOD_COST) -> Forest | None:
+    """The forest, and its threshold from all labelled rows that the base rules leave; None on an empty table."""
+    forest = _grown(stats)
+    if forest is None or labels is None:
+        return forest
+    model = stats.sparkSession.sparkContext.broadcast(forest)
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            scores = model.value.score(flat) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ceil(scores * BINS).astype(np.int64))], names=["doc_id", "bin"])
+
+    marked = labels.where("doc_id is not null and quality is not null").selectExpr("cast(doc_id as long) doc_id", "quality").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
+    fair = stats.where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words and doc_id is not null").select("doc_id", "features")
+    binned = _tables.likely(fair, "doc_id", marked).mapInArrow(bins, "doc_id long, bin long").groupBy("doc_id").agg(F.min("bin").alias("bin"))
+    out = (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("out")
+    got = binned.join(marked, "doc_id").groupBy("bin", "good", out).count().collect()
+    if got:
+        column = lambda k: np.array([r[k] for r in got])
+        forest.calibrate(column("bin"), column("good"), column("out"), column("count"), good_cost)
     return forest
 
 
